@@ -32,7 +32,7 @@ BASE = {
 }
 #: Generators of candidates, all of high recall; each starts where its run starts.
 GENERATORS = {
-    "address": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}+){1,5}+",
+    "address": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?|\.)[A-Za-z0-9-]{1,63}+){1,5}+",
     "digits": r"(?<![0-9A-Za-z+])\(?[0-9](?:[\x20().-]{0,2}+[0-9]){6,22}+(?![0-9A-Za-z])",
     "token": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,200}+(?![A-Za-z0-9_/+=-])",
 }
@@ -136,7 +136,7 @@ def examples(seed: int = 3, n: int = 60) -> list[tuple[str, str, str, int]]:
         at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" [at] ", " [dot] ")])
         out += [
             ("address", f"{word()}{at}{word()}{dot}com", r.choice([plain(), "mail "]), 1),
-            ("address", f"{word()} at {word()}. {word()}", plain(), 0),
+            ("address", f"{word()} at {word()}.{word()}", plain(), 0),
             ("digits", f"({digit(3)}) {digit(3)}-{digit(4)}", r.choice([plain(), cue()]), 1),
             ("digits", f"{digit(3)}-{digit(3)}-{digit(4)}", r.choice([plain(), cue()]), 1),
             ("digits", f"{digit(3)}-{digit(2)}-{digit(4)}", r.choice(["ssn ", "social security ", plain()]), 1),
