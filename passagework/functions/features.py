@@ -14,49 +14,62 @@ _MARKER = "(?:" + "|".join(re.escape(m) for m in LIST_MARKERS) + ")"
 _INTRO = "(?:" + "|".join(map(re.escape, LIST_INTROS)) + ")"
 _CONJUNCTION = "(?:" + "|".join(map(re.escape, LIST_CONJUNCTIONS)) + ")"
 
-B, A, C = F.col("before"), F.col("after"), F.col("c")
+def _before() -> Column:
+    return F.col("before")
+
+
+def _after() -> Column:
+    return F.col("after")
+
+
+def _char() -> Column:
+    return F.col("c")
 
 
 def _last(n: int) -> Column:
-    return F.when(F.length(B) > n, F.substring(B, -n, n)).otherwise(B)
+    return F.when(F.length(_before()) > n, F.substring(_before(), -n, n)).otherwise(_before())
+
+
+def _prev() -> Column:
+    return F.substring(_before(), -1, 1)
 
 
-_PREV = F.substring(B, -1, 1)
-_NEXT = F.substring(A, 2, 1)
+def _next() -> Column:
+    return F.substring(_after(), 2, 1)
 
 
 def window(left: int, right: int) -> Column:
     """Codes of the characters from left before to right after, padded as white space."""
     padded = F.concat(
-        F.transform(F.sequence(F.lit(-left), F.lit(right)), lambda k: F.when(k < 0, F.substring(B, F.length(B) + k + 1, F.lit(1))).otherwise(F.substring(A, k + 1, F.lit(1))))
+        F.transform(F.sequence(F.lit(-left), F.lit(right)), lambda k: F.when(k < 0, F.substring(_before(), F.length(_before()) + k + 1, F.lit(1))).otherwise(F.substring(_after(), k + 1, F.lit(1))))
     )
-    inside = F.transform(padded, lambda c, i: F.when((i - left < -F.length(B)) | (i - left >= F.length(A)), F.lit(PADDING)).otherwise(encode(c)))
+    inside = F.transform(padded, lambda c, i: F.when((i - left < -F.length(_before())) | (i - left >= F.length(_after())), F.lit(PADDING)).otherwise(encode(c)))
     return inside
 
 
 def abbreviation(entries: list[str] | Column) -> Column:
     """1 where a full stop ends a run of letters, digits and stops that is a known abbreviation."""
-    run = F.concat(F.regexp_extract(_last(49), r"[\p{L}\p{N}.]*\z", 0), C)
+    run = F.concat(F.regexp_extract(_last(49), r"[\p{L}\p{N}.]*\z", 0), _char())
     known = F.array_contains(entries, run) if isinstance(entries, Column) else run.isin(*entries) if entries else F.lit(False)
-    return F.when((C == ".") & known, 1).otherwise(0)
+    return F.when((_char() == ".") & known, 1).otherwise(0)
 
 
 def terminator() -> Column:
-    return F.when(C.isin(*PRIMARY), 1).when(C.isin(*SECONDARY), -1).otherwise(0)
+    return F.when(_char().isin(*PRIMARY), 1).when(_char().isin(*SECONDARY), -1).otherwise(0)
 
 
 def balanced() -> Column:
     even = (F.col("straight") % 2 == 0) & (F.col("opened") == F.col("closed")) & (F.col("single") % 2 == 0) & (F.col("single_opened") == F.col("single_closed"))
-    return F.when(~C.isin(*OPENING_QUOTES, *CLOSING_QUOTES) | even, 1).otherwise(0)
+    return F.when(~_char().isin(*OPENING_QUOTES, *CLOSING_QUOTES) | even, 1).otherwise(0)
 
 
 def complete() -> Column:
-    open_end = _NEXT.rlike(f"^(?:{SPACE}|{_PUNCTUATION})") | _NEXT.isin(*SENTENCE_MARKS)
-    return F.when(C.isin(*CLOSING_QUOTES) & (_NEXT != "") & ~open_end & _NEXT.rlike(r"^\p{javaLowerCase}"), 0).otherwise(1)
+    open_end = _next().rlike(f"^(?:{SPACE}|{_PUNCTUATION})") | _next().isin(*SENTENCE_MARKS)
+    return F.when(_char().isin(*CLOSING_QUOTES) & (_next() != "") & ~open_end & _next().rlike(r"^\p{javaLowerCase}"), 0).otherwise(1)
 
 
 def lower_next() -> Column:
-    return F.when(_NEXT.rlike(r"^\p{javaLowerCase}"), 1).otherwise(0)
+    return F.when(_next().rlike(r"^\p{javaLowerCase}"), 1).otherwise(0)
 
 
 def _among(c: Column, chars: str) -> Column:
@@ -66,32 +79,32 @@ def _among(c: Column, chars: str) -> Column:
 
 def list_item() -> Column:
     before = _last(20)
-    typical = _among(C, "()0123456789abcdefghijklmnopqrstuvwxyz." + BULLETS)
-    inner = (B != "") & (F.length(A) > 1) & (_among(C, ".,;:") | _among(_PREV, ".,;:"))
-    marked = B.rlike(_MARKER + r"\z") | A.rlike("^" + _MARKER)
-    edge = _among(C, ".,;:()[]") | _among(_PREV, ".,;:()") | _among(_NEXT, ".,;:()[]")
+    typical = _among(_char(), "()0123456789abcdefghijklmnopqrstuvwxyz." + BULLETS)
+    inner = (_before() != "") & (F.length(_after()) > 1) & (_among(_char(), ".,;:") | _among(_prev(), ".,;:"))
+    marked = _before().rlike(_MARKER + r"\z") | _after().rlike("^" + _MARKER)
+    edge = _among(_char(), ".,;:()[]") | _among(_prev(), ".,;:()") | _among(_next(), ".,;:()[]")
     introduced = (F.length(before) >= 5) & F.substring(before, -5, 5).contains(":") & before.rlike(_INTRO)
-    first = lambda conj: F.instr(F.substring(A, 1, 20), conj) - 1
+    first = lambda conj: F.instr(F.substring(_after(), 1, 20), conj) - 1
     joined = F.lit(False)
     for conj in LIST_CONJUNCTIONS:
         at = first(conj)
-        joined = joined | (at.between(1, 4) & F.substring(A, at, F.lit(1)).isin(";", ","))
-    joined = (_among(C, ";,") | _among(_PREV, ";,")) & joined
-    reachable = edge | _among(C, "0123456789abcdefghijklmnopqrstuvwxyz" + BULLETS)
+        joined = joined | (at.between(1, 4) & F.substring(_after(), at, F.lit(1)).isin(";", ","))
+    joined = (_among(_char(), ";,") | _among(_prev(), ";,")) & joined
+    reachable = edge | _among(_char(), "0123456789abcdefghijklmnopqrstuvwxyz" + BULLETS)
     return F.when(reachable & (typical | inner) & (marked | (edge & (introduced | joined))), 1).otherwise(0)
 
 
 def semicolon_list() -> Column:
-    before, after = _last(50), F.substring(A, 1, 50)
+    before, after = _last(50), F.substring(_after(), 1, 50)
     both = F.concat(before, after)
     several = F.length(both) - F.length(F.replace(both, F.lit(";"), F.lit(""))) >= 2
-    return F.when((C == ";") & (several | both.rlike(_MARKER) | before.rlike(_INTRO) | after.rlike(_CONJUNCTION)), 1).otherwise(0)
+    return F.when((_char() == ";") & (several | both.rlike(_MARKER) | before.rlike(_INTRO) | after.rlike(_CONJUNCTION)), 1).otherwise(0)
 
 
 def near_colon(gated: bool = True) -> Column:
     """1 with a colon among the ten characters before; gated asks for one at or beside the place, too."""
     seen = _last(10).contains(":")
-    beside = (C == ":") | (_PREV == ":") | (_NEXT == ":")
+    beside = (_char() == ":") | (_prev() == ":") | (_next() == ":")
     return F.when(seen & beside if gated else seen, 1).otherwise(0)
 
 
