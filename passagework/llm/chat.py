@@ -14,8 +14,8 @@ roles travel for the matrices, texts only once.
 Defined results: null text is an empty turn; a null or unknown role can only be
 relabelled, at a lower cost.  Turns are ordered by turn, then role, then text, nulls
 last, so ties and repeated rows fall into a fixed order; rows without a turn number
-come last.  Of equally cheap repairs, the one with roles first in the order system,
-user, assistant wins.  An empty table gives no rows; other columns are not read.
+come last.  Of equally cheap repairs one is taken the same way in every run; another
+stretch length may take another of them.  An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -30,11 +30,11 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def normalised(text: str | Column) -> Column:
     """Text with A-Z in lower case and all else as it was; null as empty.
 
-    lower() is far cheaper than translate(), and is the same where no character
-    outside ASCII has a lower case of its own.
+    lower() is far cheaper than translate(), and is the same where all characters are
+    in Latin-1 and none of them is one of its capitals outside ASCII.
     """
     c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    other = c.rlike(r"[\x{80}-\x{10FFFF}&&[\p{javaUpperCase}\p{Lt}]]")
+    other = c.rlike(r"[\x{C0}-\x{DE}\x{100}-\x{10FFFF}]")
     return F.when(other, F.translate(c, _UPPER, _UPPER.lower())).otherwise(F.lower(c))
 
 
