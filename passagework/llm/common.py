@@ -63,3 +63,8 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove a table of ``scratch`` that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def table(df: DataFrame):
+    """Rows of bounded number as a pandas frame, by way of Arrow, which holds them far more compactly than rows do."""
+    return df.toArrow().to_pandas()

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fold
+from .common import fold, table
 
 #: Orders of the character n-grams.
 ORDERS = (1, 3, 4)
@@ -71,7 +71,7 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, dim: int,
     if not 0 < base < 1:
         return QualityModel(np.zeros(1 << bits, dtype=np.float32), float(np.log((base + 1e-9) / (1 - base + 1e-9))), bits)
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
+    vector = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), dtype=np.float32), np.log(np.array([1 - base, base], dtype=np.float32))
     steps, step = epochs * len(rows), 0
     for _ in range(epochs):
@@ -79,7 +79,7 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, dim: int,
             ids, share, label = rows[i]
             lr = rate * (1 - step / steps)
             step += 1
-            vectors = table[ids]
+            vectors = vector[ids]
             h = share @ vectors
             z = h @ out + bias
             p = np.exp(z - z.max())
@@ -89,9 +89,9 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, dim: int,
             out -= lr * np.outer(h, p)
             bias -= lr * 0.1 * p
             # the classic rule spreads the error over all features of the text alike
-            table[ids] = vectors - lr * (share * len(ids))[:, None] * back
+            vector[ids] = vectors - lr * (share * len(ids))[:, None] * back
     delta = out[:, 1] - out[:, 0]
-    return QualityModel((table @ delta).astype(np.float32), float(bias[1] - bias[0]), bits)
+    return QualityModel((vector @ delta).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
 def train(labelled: DataFrame, max_rows: int = 2500, bits: int = 16, dim: int = 8, epochs: int = 6, rate: float = 0.1, seed: int = 5) -> QualityModel:
@@ -107,7 +107,7 @@ def train(labelled: DataFrame, max_rows: int = 2500, bits: int = 16, dim: int =
                 ids, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.int64), np.zeros(0))
                 yield pd.DataFrame({"i": [ids.astype(np.int32).tobytes()], "s": [(n / max(n.sum(), 1)).astype(np.float32).tobytes()], "y": [int(label)], "k": [hash_of(text)]})
 
-    rows = labelled.mapInPandas(hashed, "i binary, s binary, y int, k long").toPandas().sort_values(["k", "y"])
+    rows = table(labelled.mapInPandas(hashed, "i binary, s binary, y int, k long")).sort_values(["k", "y"])
     cases = [(np.frombuffer(i, dtype=np.int32), np.frombuffer(s, dtype=np.float32), int(y)) for i, s, y in zip(rows["i"], rows["s"], rows["y"], strict=True)]
     return _train([c for c in cases if len(c[0])], bits, dim, epochs, rate, seed)
 
