@@ -21,9 +21,10 @@ stretch length may take another of them.  An empty table gives no rows; other co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice, pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,83 +105,86 @@ def repair(roles: list[str | None], before: int, after: int) -> list[tuple[int,
     return out[::-1]
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Groups of a partition sorted by the keys, each whole though batches may cut it."""
-    held: list[pd.DataFrame] = []
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """Columns of each group of a partition sorted by the keys, whole though batches may cut it."""
     last: tuple | None = None
+    held: dict[str, list] = {}
     for b in batches:
-        if not len(b):
-            continue
-        k = b[keys].astype(object).where(b[keys].notna(), None)
-        change = (k != k.shift()).any(axis=1) & ~(k.isna() & k.shift().isna()).all(axis=1)
-        edges = [0, *[i for i in np.flatnonzero(change.to_numpy()) if i], len(b)]
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            name = tuple(k.iloc[a])
-            if held and name != last:
-                yield last, pd.concat(held, ignore_index=True)
-                held = []
-            held.append(b.iloc[a:z])
-            last = name
+        columns = b.to_pydict()
+        key = list(zip(*(columns[k] for k in keys), strict=True))
+        edges = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)] if key else []
+        for a, z in pairwise(edges):
+            part = {c: v[a:z] for c, v in columns.items()}
+            if held and key[a] == last:
+                for c, v in part.items():
+                    held[c] += v
+                continue
+            if held:
+                yield last, held
+            held, last = part, key[a]
     if held:
-        yield last, pd.concat(held, ignore_index=True)
+        yield last, held
 
 
-def _role(x: object) -> str | None:
-    return x if isinstance(x, str) and x in ROLES else None
+def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 2048) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = [(*name, matrix([_role(r) for r in g["role"]]).ravel().tolist()) for name, g in _groups(batches, ["conv_id", "stretch"])]
-    yield _frame(rows, ["conv_id", "stretch", "m"])
+def _role(x: str | None) -> str | None:
+    return x if x in ROLES else None
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    for c in ("conv_id", "turn"):
-        if c in out:
-            out[c] = out[c].astype("Int64")
-    return out
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((*name, matrix([_role(r) for r in g["role"]]).ravel().tolist()) for name, g in _groups(batches, ["conv_id", "stretch"]))
+    return _batched(rows, pa.schema({"conv_id": pa.int64(), "stretch": pa.int64(), "m": pa.list_(pa.float64())}))
 
 
-def _borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """States before and after each stretch on the cheapest way through a conversation."""
-    for (conv, ), g in _groups(batches, ["conv_id"]):
+def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for (conv,), g in _groups(batches, ["conv_id"]):
         ms = [np.array(m).reshape(4, 4) for m in g["m"]]
         cost = [np.where(np.arange(4) == START, 0.0, np.inf)]
         for m in ms:
             cost.append((cost[-1][:, None] + m).min(axis=0))
-        state, rows = int((cost[-1] + FINISH).argmin()), []
+        state = int((cost[-1] + FINISH).argmin())
         for t in range(len(ms) - 1, -1, -1):
             was = int((cost[t] + ms[t][:, state]).argmin())
-            rows.append((conv, int(g["stretch"].iloc[t]), was, state, t == len(ms) - 1))
+            yield conv, g["stretch"][t], was, state, t == len(ms) - 1
             state = was
-        yield _frame(rows, ["conv_id", "stretch", "before", "after", "last"])
 
 
-def _rendered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["conv_id", "turn", "role", "action", "new_role", "rendered"]
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """States before and after each stretch on the cheapest way through a conversation."""
+    return _batched(_ways(batches), pa.schema({"conv_id": pa.int64(), "stretch": pa.int64(), "before": pa.int32(), "after": pa.int32(), "last": pa.bool_()}))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for (conv, _), g in _groups(batches, ["conv_id", "stretch"]):
-        before, after, last = int(g["before"].iloc[0]), int(g["after"].iloc[0]), bool(g["last"].iloc[0])
-        roles = [r if isinstance(r, str) else None for r in g["role"]]
-        rows, state = [], before
-        for turn, role, text, (new, path, merged) in zip(g["turn"], roles, g["text"], repair([_role(r) for r in roles], before, after), strict=True):
+        rows, state = [], g["before"][0]
+        steps = repair([_role(r) for r in g["role"]], state, g["after"][0])
+        for turn, role, text, (new, path, merged) in zip(g["turn"], g["role"], g["text"], steps, strict=True):
             out = []
             for p in path:
                 out.append((END if state != START else "") + TAGS.format(ROLES[p - 1]))
                 state = p
-            body = text if isinstance(text, str) else ""
+            body = text or ""
             out.append(f"\n{body}" if merged else (END if state != START else "") + TAGS.format(ROLES[new - 1]) + body)
             action = "+".join([*["insert"] * bool(path), *["merge"] * merged, *["relabel"] * (role != ROLES[new - 1])]) or "keep"
-            rows.append((conv, None if pd.isna(turn) else int(turn), role, action, ROLES[new - 1], "".join(out)))
+            rows.append((conv, turn, role, action, ROLES[new - 1], "".join(out)))
             state = new
-        if last:
+        if g["last"][0]:
             tail = END
             if state != ASSISTANT:
                 for p in (*_BRIDGES[state, ASSISTANT][1], ASSISTANT):
                     tail += TAGS.format(ROLES[p - 1]) + END
                 rows[-1] = (*rows[-1][:3], "+".join([rows[-1][3], "complete"]), *rows[-1][4:])
             rows[-1] = (*rows[-1][:5], rows[-1][5] + tail)
-        yield _frame(rows, names)
+        yield from rows
+
+
+def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text = {c: pa.string() for c in ("role", "action", "new_role", "rendered")}
+    return _batched(_pieces(batches), pa.schema({"conv_id": pa.int64(), "turn": pa.int64(), **text}))
 
 
 def format_chats(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -197,11 +201,11 @@ def format_chats(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     tie = F.xxhash64("text")
     small = rows.select("conv_id", "stretch", "turn", "role", tie.alias("tie"))
     stretches = small.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", *order, "tie").select("conv_id", "stretch", "role")
-    matrices = stretches.mapInPandas(_matrices, "conv_id long, stretch long, m array<double>")
-    borders = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "stretch").mapInPandas(_borders, "conv_id long, stretch long, before int, after int, last boolean")
+    matrices = stretches.mapInArrow(_matrices, "conv_id long, stretch long, m array<double>")
+    borders = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "stretch").mapInArrow(_borders, "conv_id long, stretch long, before int, after int, last boolean")
     both = rows.join(borders.withColumnRenamed("conv_id", "c").withColumnRenamed("stretch", "s"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s"))).drop("c", "s")
     both = both.withColumn("tie", tie).repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", *order, "tie").drop("tie")
-    return both.mapInPandas(_rendered, "conv_id long, turn long, role string, action string, new_role string, rendered string")
+    return both.mapInArrow(_rendered, "conv_id long, turn long, role string, action string, new_role string, rendered string")
 
 
 def op2_chat(turns: DataFrame) -> DataFrame:
