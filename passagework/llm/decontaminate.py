@@ -34,6 +34,8 @@ from .common import fresh
 Q = 8
 HITS = "array<struct<item_id: long, start: long, end: long, edits: int>>"
 _SLOTS = 20
+#: Postings that a task counts at once.
+_POSTINGS = 1 << 20
 #: Lower case of each code point of the basic plane that has one of a single code point.
 _LOWER = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(1 << 16)], dtype=np.uint32)
 
@@ -104,6 +106,21 @@ def _regions(code: np.ndarray, offsets: np.ndarray, x: Index) -> tuple[np.ndarra
     none = np.zeros(0, dtype=np.int64)
     if not len(some):
         return none, none, none
+    upto = np.cumsum(n)
+    # a window is counted with all that a passage which begins in it can reach
+    reach = int((x.budget + [len(p) for p in x.passages]).max()) + 1
+    found, a = [], 0
+    while a < len(some):
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] - n[a] + _POSTINGS, "right")))
+        e = int(np.searchsorted(some, some[z - 1] + reach, "right"))
+        found.append(_bands(some[a:e], low[a:e], n[a:e], offsets, x))
+        a = z
+    text, item, first = (np.concatenate(part) for part in zip(*found, strict=True))
+    return text, item, first
+
+
+def _bands(some: np.ndarray, low: np.ndarray, n: np.ndarray, offsets: np.ndarray, x: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bands of ``_regions`` among the grams at some; their n postings each begin at low."""
     at = np.repeat(some, n)
     post = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
     item = x.item[post]
@@ -113,7 +130,7 @@ def _regions(code: np.ndarray, offsets: np.ndarray, x: Index) -> tuple[np.ndarra
     step = x.budget[item] + 1
     band = diagonal // step
     # each diagonal lies in the band that starts at its step and in the one before
-    key = (text * len(x.ids) + item)
+    key = text * len(x.ids) + item
     both = np.concatenate((key, key)), np.concatenate((band, band - 1))
     order = np.lexsort((both[1], both[0]))
     k, b = both[0][order], both[1][order]
