@@ -7,7 +7,8 @@ maximisation estimates the document's language proportions.  The set of language
 is grown from the best single one while the penalised likelihood improves.
 
 Defined results: null text, empty text and text without any letter give ``und``
-with score 0 and no proportions; if nothing can be learned (no labelled row) every
+with score 0 and no proportions; letters outside every alphabet that is read speak for
+all languages alike; if nothing can be learned (no labelled row) every
 text gives ``und``.  Ties between languages fall to the smaller name.  Repeated
 rows are scored alike, and columns of the input are passed through untouched.
 Very long texts are whole: their words are gathered block by block.
@@ -202,9 +203,12 @@ def identify(text: str | Column, model: LanguageModel, penalty: float = 3.0, tem
             for _, texts in tokens.blocks(list(part)):
                 pi, n = infer(texts, model, penalty, temper)
                 for t, p, words in zip(texts, pi, n, strict=True):
-                    if not words or not len(names) or not p.any() or not any(map(str.isalpha, t)):
+                    if not len(names) or not any(map(str.isalpha, t)):
                         rows.append((UNDETERMINED, 0.0, [], []))
                         continue
+                    if not words:
+                        # letters of no known alphabet speak for every language alike
+                        p = np.full(len(names), 1 / len(names))
                     order = [i for i in np.lexsort((np.arange(len(p)), -p)) if p[i] > 0]
                     rows.append((names[order[0]], float(min(1.0, p[order[0]])), list(names[order]), [float(x) for x in p[order]]))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "languages", "proportions"])
