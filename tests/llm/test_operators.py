@@ -52,6 +52,8 @@ def test_language(spark):
     kept = language.keep_identified(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns and kept.count() == len(rows) - 3
     assert language.op7_language(docs(spark, rows).limit(0)).count() == 0
+    odd = docs(spark, [*corpus(2, 20), (2001, "\u2113 \u2124", None, "a")])
+    assert language.op7_language(odd).where("doc_id = 2001").first().lang_pred in WORDS
     nobody = docs(spark, [(1, "the house", None, "a")])
     assert language.op7_language(nobody).first().lang_pred == "und"
 
@@ -162,6 +164,13 @@ def test_mixing(spark):
     assert mixing.op3_mixing(df.limit(0)).count() == 0
 
 
+def test_mixing_of_a_small_source(spark):
+    rows = [(1, "w " * 40, "en", "a"), (2, "w " * 60, "en", "a"), (3, "w " * 9000, "en", "b"), (4, None, "en", "a")]
+    got = {r.doc_id: r for r in mixing.op3_mixing(docs(spark, rows)).collect()}
+    assert (got[1].target, got[1].taken, got[2].taken, got[4].taken) == (300.0, 120, 180, 0)
+    assert abs(got[3].taken - 8800) <= 64
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 64, 1000):
         rows = spark.range(n).select(F.lit(n).cast("long").alias("n"), F.lit(99).cast("long").alias("key"), "id")
@@ -274,6 +283,18 @@ def test_decontamination(spark):
     assert decontaminate.keep_clean(df, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_in_windows(monkeypatch):
+    r = random.Random(12)
+    passages = [" ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(25)) for _ in range(5)]
+    text = "\n".join(f"{' '.join(r.choice(['beta', 'omega']) for _ in range(30))} {p[:40]}x{p[41:]}" for p in passages * 3)
+    index = decontaminate.build(list(enumerate(passages)), 0.1)
+    whole = decontaminate.search([text, "", passages[2]], index)
+    assert {h[0] for h in whole[0]} == set(range(5))
+    for most in (1, 50, 700):
+        monkeypatch.setattr(decontaminate, "_POSTINGS", most)
+        assert decontaminate.search([text, "", passages[2]], index) == whole
+
+
 def test_licenses(spark):
     gap = " filler words" * 30
     rows = [(1, f"x{gap}.\nReleased under the MIT License.\n{gap}", "en", "a"), (2, "Licensed under CC BY-NC 4.0.", "en", "a"), (3, "a license to chill", "en", "a"), (4, None, "en", "a"), (5, "", "en", "a")]
