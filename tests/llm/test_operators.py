@@ -310,6 +310,19 @@ def test_licenses(spark):
     assert len(got[7]) == 2
 
 
+def test_several_licenses_in_one_header(spark):
+    w = licenses.TEMPLATES
+    headers = {1: ["GPL-3.0-notice", "CC-BY-NC-4.0", "Unlicense"], 2: ["proprietary", "Apache-2.0"], 3: ["MIT", "ISC", "BSD", "CC0"], 4: list(w), 5: ["MIT-notice", "MIT-notice", "GPL-2.0-notice", "GPL-3.0-notice"]}
+    rows = [(i, "\n".join(w[n] for n in names), "en", "a") for i, names in headers.items()]
+    # wrapped lines without a cue of their own, and a mark of comments that is never closed
+    rows += [(6, "Copyright 2024 A. Nobody. " + w["proprietary"] + "\n# if a < b:\n# " + w["MIT"].replace(" software", "\n# software").replace(" sell", "\n# sell") + "\n# if b > a", "en", "a")]
+    headers[6] = ["proprietary", "MIT"]
+    got = {i: [] for i in headers}
+    for x in licenses.op1_licenses(docs(spark, rows)).orderBy("doc_id", "start").collect():
+        got[x.doc_id].append(x.license)
+    assert got == headers
+
+
 def cheapest(roles):
     """Least cost over all ways of putting out turns, by plain search over states."""
     cost = {chat.START: 0.0}
