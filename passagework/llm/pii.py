@@ -30,11 +30,12 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Generators of candidates, all of high recall; each starts where its run starts.
+#: Generators of candidates, all of high recall and without a greatest length; each starts where its run starts, and
+#: no run fails at its end, so that runs are read once.  Groups of digits that end in a letter are no part of a run.
 GENERATORS = {
-    "address": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?|\.)[A-Za-z0-9-]{1,63}+){1,5}+",
-    "digits": r"(?<![0-9A-Za-z+])\(?[0-9](?:[\x20().-]{0,2}+[0-9]){6,22}+(?![0-9A-Za-z])",
-    "token": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,200}+(?![A-Za-z0-9_/+=-])",
+    "address": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]++(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?|\.)[A-Za-z0-9-]++)++",
+    "digits": r"(?<![0-9A-Za-z+])\(?(?=[0-9](?:[\x20().-]{0,2}+[0-9]){6})[0-9]++(?![A-Za-z])(?:[\x20().-]{1,2}+[0-9]++(?![A-Za-z]))*+",
+    "token": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+(?![A-Za-z0-9_/+=-])",
 }
 FEATURES = ("kind", "length", "digits", "letters", "marks", "groups", "cue", "upper_mix", "luhn", "first_group")
 #: Names of what is found beyond the base kinds, in the order in which they are listed.
@@ -156,7 +157,33 @@ def examples(seed: int = 3, n: int = 60) -> list[tuple[str, str, str, int]]:
             ("token", f"{word()}-{word()}-{word()}-{word()}-{word()}-{word()}{word()}", plain(), 0),
             ("token", "=" * 20 + word(), plain(), 0),
         ]
-    return [(k, p, b, y) for k, p, b, y in out if k != "token" or len(p) >= 20]
+    return [(k, p, b, y) for k, p, b, y in [*out, *_long_examples(n)] if k != "token" or len(p) >= 20]
+
+
+def _long_examples(n: int, seed: int = 5) -> list[tuple[str, str, str, int]]:
+    """More made candidates, all far longer than those of ``examples``."""
+    r = random.Random(seed)
+    coded = lambda k, a: "".join(r.choice(a) for _ in range(k))
+    word = lambda: r.choice(["an", "ter", "lo", "min", "ka", "re", "sto", "vi"]) + r.choice(["da", "lin", "mo", "sa"])
+    plain = lambda: f"{word()} {word()} {word()} "
+    secret = lambda: r.choice(['token = "', "api_key=", "secret: ", 'password = "', "auth "])
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    out = []
+    for _ in range(n):
+        at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" [at] ", " [dot] ")])
+        out += [
+            ("token", coded(r.randint(201, 2000), alnum), secret(), 1),
+            ("token", coded(r.randint(201, 2000), alnum + "_-"), secret(), 1),
+            ("token", coded(r.randint(201, 2000), alnum + "+/") + r.choice(["", "=", "=="]), secret(), 1),
+            ("token", coded(r.randint(201, 1000), "0123456789abcdef"), r.choice([secret(), plain()]), 1),
+            ("token", r.choice("-=_") * r.randint(201, 2000), plain(), 0),
+            ("token", "".join(word() for _ in range(r.randint(50, 300))), plain(), 0),
+            ("token", r.choice("-_/").join(word() for _ in range(r.randint(40, 200))), plain(), 0),
+            ("address", f"{''.join(word() for _ in range(r.randint(1, 20)))}{at}{dot.join(word() for _ in range(r.randint(6, 12)))}{dot}com", r.choice([plain(), "mail "]), 1),
+            ("digits", coded(r.randint(24, 400), "0123456789"), plain(), 0),
+            ("digits", " ".join(coded(r.randint(1, 5), "0123456789") for _ in range(r.randint(12, 100))), plain(), 0),
+        ]
+    return out
 
 
 def _tree(node) -> tuple | float:
@@ -247,7 +274,8 @@ def _accepted(kind: str, trees: list, least: float) -> Column:
         before = F.substring(F.col("norm_"), start + 1, s["start"] - start)
         f = F.array(*_features(F.lit(kind), s["piece"], before))
         # one element, so that the trees share the features that were computed once
-        return F.element_at(F.transform(F.array(f), lambda v: margin(trees, v)), 1) >= F.lit(least)
+        sure = F.element_at(F.transform(F.array(f), lambda v: margin(trees, v)), 1) >= F.lit(least)
+        return (F.length(_digits(s["piece"])) >= 7) & sure if kind == "digits" else sure
 
     return F.filter(kind, good)
 

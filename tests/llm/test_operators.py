@@ -207,6 +207,23 @@ def test_pii(spark):
     assert got[1004].spans == "token:13:53" and got[1005].spans.startswith("address:0:") and got[1006].spans == ""
 
 
+def test_pii_of_any_length(spark):
+    r = random.Random(12)
+    code = lambda n: "".join(r.choice("ABCDEFGHabcdefghijklmnop0123456789") for _ in range(n))
+    head = 'the token = "'
+    rows = [(n, f'{head}{code(n)}" here', "en", "a") for n in (40, 199, 200, 201, 350, 1500, 9000)]
+    far = "".join("ab" for _ in range(40)) + " (at) " + " (dot) ".join(["mail"] * 9) + " (dot) org"
+    rows += [(1, far, "en", "a"), (2, "call me on 555-123-4567 3rd floor", "en", "a"), (3, "1 2" * 60_000 + "x", "en", "a"), (4, "lo" * 80 + " at home. " + "-" * 400, "en", "a")]
+    got = {x.doc_id: x.spans for x in pii.op4_pii(docs(spark, rows)).collect()}
+    for n in (40, 199, 200, 201, 350, 1500, 9000):
+        assert f"token:{len(head)}:{len(head) + n}" in got[n], n
+    assert got[1] == f"address:0:{len(far)}" and got[2] == "digits:11:23" and "token" not in got[4] and "address" not in got[4]
+    # proposed whole, whatever the trees say of it
+    for text, kind in (("9" * 60, "digits"), ("1 " * 40 + "2", "digits"), (far, "address"), ("k" * 5000, "token")):
+        found = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(pii.GENERATORS[kind]), F.lit(0))).first()[0]
+        assert found == [text]
+
+
 def labelled(spark, n, make):
     r = random.Random(8)
     rows, marks = [], []
