@@ -68,3 +68,18 @@ def discard(spark: SparkSession, path: str) -> None:
 def table(df: DataFrame):
     """Rows of bounded number as a pandas frame, by way of Arrow, which holds them far more compactly than rows do."""
     return df.toArrow().to_pandas()
+
+
+def one_row_each(docs: DataFrame, kept: DataFrame, mark: Column) -> DataFrame:
+    """One row of docs for each row of kept (doc_id, mark), which has none twice; columns stay as they are.
+
+    mark tells apart the rows of docs that repeat a doc_id; where none does, the doc_id alone will do.
+    """
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        ids = kept.select("doc_id")
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    name = fresh(docs, "row_")
+    key = lambda m: F.concat(m.cast("string"), F.coalesce(F.concat(F.lit(":"), F.col("doc_id").cast("string")), F.lit("")))
+    # repeats are dropped first, and in each task before the shuffle, so that a row repeated often is no heat
+    rows = docs.withColumn(name, key(mark)).dropDuplicates([name])
+    return rows.join(kept.select(key(F.col("mark")).alias(name)), name, "left_semi").drop(name)

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut
+from .common import checkpoint_dir, cut, one_row_each
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -112,9 +112,9 @@ def op9_exact(docs: DataFrame) -> DataFrame:
 
 
 def keep_last_copy(docs: DataFrame) -> DataFrame:
-    """The documents that stay of each group of equal texts; columns stay as they are."""
-    kept = duplicates(docs, keep="max").where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group of equal texts, of those with the largest doc_id; columns stay as they are."""
+    kept = duplicates(docs, keep="max").where("kept").select("doc_id", F.col("text_sha256").alias("mark")).distinct()
+    return one_row_each(docs, kept, digest(normalised("text")))
 
 
 OP9_SQL = f"""

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, one_row_each
 from .graph import components
 
 #: Bit j of a position's number 1..31, as a mask over the 31 positions (bit i holds position i + 1).
@@ -176,6 +176,13 @@ def links(prints: DataFrame, bits: int = 3, chunk: int = 4096) -> DataFrame:
     return spread.mapInArrow(_compare(bits), "u long, v long").distinct()
 
 
+def _labelled(prints: DataFrame, bits: int, chunk: int) -> DataFrame:
+    """(fp, least, root): the distinct fingerprints, the smallest doc_id of each, and what names its group."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = components(links(distinct.select("fp"), bits, chunk))
+    return distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(prints: DataFrame, bits: int = 3, chunk: int = 4096) -> DataFrame:
     """(doc_id, fp, component_id) from one fingerprint per document.
 
@@ -184,9 +191,7 @@ def near_duplicates(prints: DataFrame, bits: int = 3, chunk: int = 4096) -> Data
     others, and is null where nothing else is in its component.
     """
     prints = cut(prints.select("doc_id", "fp"))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = components(links(distinct.select("fp"), bits, chunk))
-    labelled = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = _labelled(prints, bits, chunk)
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of = labelled.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
@@ -204,8 +209,9 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(prints).select("doc_id", hexed("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group; columns stay as they are."""
-    near = near_duplicates(docs.select("doc_id", fingerprints("text").alias("fp")))
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+def keep_one_of_each(docs: DataFrame, bits: int = 3, chunk: int = 4096) -> DataFrame:
+    """One document of each near-duplicate group, of those with the smallest doc_id (null is larger than all others); columns stay as they are."""
+    prints = cut(docs.select("doc_id", fingerprints("text").alias("fp")))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
+    kept = _labelled(prints, bits, chunk).groupBy("root").agg(first.alias("first")).select(F.col("first.least").alias("doc_id"), F.col("first.fp").alias("mark"))
+    return one_row_each(docs, cut(kept), fingerprints("text"))

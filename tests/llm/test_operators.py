@@ -128,6 +128,17 @@ def test_exact(spark, bits):
         assert exact.op9_exact(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_stages_keep_one_row_of_each_group(spark):
+    say = lambda seed: " ".join(random.Random(seed).choice(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "zeta"]) for _ in range(80))
+    a, b, c, d = (say(i) for i in range(4))
+    rows = [(1, a), (1, a), (2, a), (2, a), (2, b), (None, a), (None, c), (None, c), (None, d), (None, d.upper()), (3, b), (4, None), (4, "")]
+    df = docs(spark, [(i, t, "en", "a") for i, t in rows])
+    for stage, want in ((exact.keep_last_copy, [(2, a), (None, c), (None, d), (3, b), (4, "")]), (simhash.keep_one_of_each, [(1, a), (2, b), (None, c), (None, d), (4, "")])):
+        out = stage(df)
+        assert out.columns == df.columns
+        assert sorted(((r.doc_id, (r.text or "").lower()) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_lower_case_is_ascii_only(spark):
     text = spark.createDataFrame([(i, chr(i)) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000], "doc_id long, text string")
     bad = text.where(exact.normalised("text") != F.translate("text", exact._UPPER, exact._UPPER.lower()))
