@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import forest
+from .operators.abbreviations import DEFAULT
 from .operators.segments import corpus_statistics, paragraph_spans, sentences, tagged
 from .plans.rules import rule_boundaries
 from .plans.search import best_model
@@ -51,7 +52,7 @@ def _analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.model:
         bounded = forest.forest_boundaries(docs, forest.load(a.model), threshold=a.threshold)
     else:
-        bounded = rule_boundaries(docs, threshold=0.5 if a.threshold is None else a.threshold)
+        bounded = rule_boundaries(docs, list(DEFAULT), threshold=0.5 if a.threshold is None else a.threshold)
     if a.format == "annotated":
         out = tagged(bounded).select("tagged")
     else:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.abbreviations import DEFAULT
 from ..operators.segments import sentence_spans
 from ..plans.rules import rule_boundaries
 
@@ -38,7 +39,7 @@ def chunked_boundaries(pieces: DataFrame, abbreviations: list[str] | None = None
 
 def sentence_stream(docs: DataFrame, abbreviations: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """Sentences of a stream (or table) of whole documents, without state."""
-    return sentence_spans(rule_boundaries(docs, abbreviations, threshold))
+    return sentence_spans(rule_boundaries(docs, list(DEFAULT) if abbreviations is None else abbreviations, threshold))
 
 
 def tail_stream(pieces: DataFrame, abbreviations: list[str] | None = None) -> DataFrame:
@@ -47,7 +48,7 @@ def tail_stream(pieces: DataFrame, abbreviations: list[str] | None = None) -> Da
     The state of a document is its unfinished sentence and how far it has come; a
     piece whose text is null ends the document and flushes the rest.
     """
-    known = set(abbreviations or [])
+    known = set(DEFAULT if abbreviations is None else abbreviations)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         tail, at = state.get if state.exists else ("", 0)

@@ -174,3 +174,14 @@ def test_against_sql(spark, name):
     clean = lambda rows: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
     want = duckdb.sql("SELECT " + ", ".join(f'"{c}"' for c in cols) + f" FROM ({queries.SQL[name]})").fetchall()
     assert clean(got.select(*cols).collect()) == clean(want)
+
+
+def test_entry_points_know_abbreviations(spark, tmp_path):
+    from passagework import cli
+    from passagework.streaming import chunks
+
+    text = "Dr. Smith knows U.S. law. He left."
+    (tmp_path / "in.txt").write_text(text)
+    cli._analyze(spark, cli._parser().parse_args(["analyze", "--input", str(tmp_path / "in.txt"), "--output", str(tmp_path / "out"), "--format", "sentences"]))
+    assert [r.value.strip() for r in spark.read.text(str(tmp_path / "out")).collect()] == ["Dr. Smith knows U.S. law.", "He left."]
+    assert chunks.sentence_stream(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 2
