@@ -48,7 +48,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _analyze(spark: SparkSession, a: argparse.Namespace) -> None:
-    docs = read_text_file(spark, a.input).withColumn("doc_id", F.monotonically_increasing_id())
+    docs = read_text_file(spark, a.input).withColumn("doc_id", F.xxhash64("text"))
     if a.model:
         bounded = forest.forest_boundaries(docs, forest.load(a.model), threshold=a.threshold)
     else:

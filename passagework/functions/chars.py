@@ -28,7 +28,24 @@ LIST_MARKERS = (*dict.fromkeys([*(f"({x})" for x in _COUNTED), *(f"{x}." for x i
 #: White space as the engine strips it; Java's own \s and trim() know less.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 _BLANK = r"[\x20\t\xA0  -    　]"
-_PUNCTUATION = r"[\p{Pe}\p{Pf}\p{Pc}\p{Pd}.,:;&“ֿ]"
+_PUNCTUATION = r"[\p{Pe}\p{Pf}\p{Pc}\p{Pd}.,:;&“ֿ&&[^\x{58A}\x{232A}\x{10EAD}]]"
+#: Digits that are no decimal digits, such as superscripts and circled ones.
+_DIGITS = "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal())
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used, also where filters repeat the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def exploded(rows: DataFrame, array: Column | str, name: str, place: str | None = None) -> DataFrame:
+    """One row per element, with its place where asked; unlike a plain explode of a column, never computes the array twice.
+
+    Spark infers a filter on the size of an array column that is exploded, and pushes
+    it down as the whole expression; outer explodes infer none.
+    """
+    out = rows.select("*", F.posexplode_outer(array).alias(place, name) if place else F.explode_outer(array).alias(name))
+    return out.where(F.col(name).isNotNull())
 
 
 def characters(text: str | Column) -> Column:
@@ -37,12 +54,39 @@ def characters(text: str | Column) -> Column:
     return F.when(F.length(c) > 0, F.split(c, "", -1)).otherwise(F.array().cast("array<string>"))
 
 
+def pieces(text: str | Column) -> Column:
+    """The text cut after every candidate: each piece but the last ends in one.  [""] for null and empty texts."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.split(F.coalesce(c, F.lit("")), "(?<=[" + "".join(CANDIDATES) + "])", -1)
+
+
+def running(sizes: Column, width: int = 64) -> Column:
+    """Sums up to each element of an array of integers, in two levels, so that many elements cost little more than few."""
+
+    def sums(a: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / width).cast("int"))
+        whole = F.transform(chunks, lambda c: F.aggregate(F.slice(a, c * width + 1, F.lit(width)), F.lit(0), lambda t, x: t + x))
+        return once(whole, lambda w: F.flatten(F.transform(chunks, lambda c: inside(F.slice(a, c * width + 1, F.lit(width)), F.aggregate(F.slice(w, F.lit(1), c), F.lit(0), lambda t, x: t + x)))))
+
+    def inside(part: Column, before: Column) -> Column:
+        row = F.struct(part.alias("p"), before.alias("b"))
+        return once(row, lambda r: F.transform(r["p"], lambda x, i: r["b"] + F.aggregate(F.slice(r["p"], F.lit(1), i + 1), F.lit(0), lambda t, y: t + y)))
+
+    return once(sizes, lambda a: F.when(F.size(a) > 0, sums(a)).otherwise(F.array().cast("array<int>")))
+
+
+def places(cut: Column) -> Column:
+    """The places of the candidates of ``pieces``."""
+    ends = running(F.transform(F.slice(cut, F.lit(1), F.size(cut) - 1), F.length))
+    return F.transform(ends, lambda e: e - 1)
+
+
 def encode(c: Column) -> Column:
     """The integer class of a character; plain integer tests decide for ASCII."""
     n = F.ascii(c)
     high = (
         F.when(c.rlike(r"^\p{L}"), F.ascii(F.lower(c)) - 96)
-        .when(c.rlike(r"^\p{Nd}"), 0)
+        .when(c.rlike(r"^\p{Nd}") | c.isin(*_DIGITS), 0)
         .when(c.isin("”", "’"), -1)
         .when(c.rlike("^" + _BLANK), -3)
         .when(c.rlike("^" + _PUNCTUATION), -4)
@@ -66,49 +110,67 @@ def encode_one_hot(c: Column) -> Column:
     return F.ascii(c)
 
 
-def once(value: Column, use) -> Column:
-    """use(value), with the value computed once however often it is used, also where filters repeat the expression."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def candidate_positions(text: str | Column) -> Column:
     """Array of the places of possible boundaries."""
-    places = F.transform(characters(text), lambda c, i: F.when(c.isin(*CANDIDATES), i))
-    return F.filter(places, lambda p: p.isNotNull())
+    return once(pieces(text), places)
 
 
 def _piece(ch: Column, start: Column, size: Column) -> Column:
     return F.array_join(F.slice(ch, start + 1, size), "")
 
 
-def surroundings(docs: DataFrame, text: str = "text", places: Column | None = None, left: int = 5, right: int = 5, mode: str = "reference", reach: int = 50) -> DataFrame:
-    """One row per place: the columns of docs but text, and pos, c, before, after and quote counts.
+def surroundings(docs: DataFrame, text: str = "text", everywhere: bool = False, left: int = 5, right: int = 5, mode: str = "reference", reach: int = 50, marks: Column | None = None) -> DataFrame:
+    """One row per candidate, or per character: the columns of docs but text, and pos, c, before, after and quote counts.
 
     before and after hold up to ``reach`` characters, after from the place on.  In mode
     ``reference`` a text of at most 50 places is seen through a clipped context of
-    2 * max(left, right) characters on both sides; ``full`` never clips.
+    2 * max(left, right) characters on both sides; ``full`` never clips.  marks: an
+    array with a value for every character, of which column mark takes the place's.
     """
-    if mode not in ("reference", "full"):
-        raise ValueError(f"unknown context mode {mode!r}")
     others = [c for c in docs.columns if c != text]
-    at = candidate_positions(text) if places is None else places
-    clip = lambda a: F.when(F.size(a) <= 50, F.lit(2 * max(left, right))).otherwise(F.lit(1 << 30)) if mode == "reference" else F.lit(1 << 30)
-    row = F.struct(characters(text).alias("ch"), at.alias("at"))
-    rows = docs.select(*others, F.explode(once(row, lambda r: _around(r["ch"], r["at"], clip(r["at"]), reach))).alias("_s"))
+    rows = docs.select(*others, F.explode(seen(text, everywhere, left, right, mode, reach, marks)).alias("_s"))
     return rows.select(*others, "_s.*")
 
 
-def _around(ch: Column, at: Column, clip: Column, reach: int) -> Column:
-    def around(p: Column) -> Column:
-        low = F.greatest(p - clip, F.lit(0))
-        seen = F.slice(ch, low + 1, p - low + 1)
-        c = F.element_at(ch, p + 1)
-        quote = c.isin(*OPENING_QUOTES, *CLOSING_QUOTES)
-        count = lambda q: F.when(quote, F.size(F.filter(seen, lambda x: x == q))).otherwise(0)
+#: Quotes whose numbers up to a place count, with their names.
+_QUOTES = {"straight": '"', "opened": "“", "closed": "”", "single": "'", "single_opened": "‘", "single_closed": "’"}
+
+
+def seen(text: str = "text", everywhere: bool = False, left: int = 5, right: int = 5, mode: str = "reference", reach: int = 50, marks: Column | None = None) -> Column:
+    """The structs of ``surroundings`` as an array in the text's row."""
+    if mode not in ("reference", "full"):
+        raise ValueError(f"unknown context mode {mode!r}")
+    ch = characters(text)
+    cut, at = (ch, F.transform(ch, lambda c, i: i)) if everywhere else (pieces(text), candidate_positions(text))
+    # the quotes of each piece that ends in a place, summed up
+    counts = {name: F.when(F.contains(text, F.lit(q)), running(F.transform(cut, _number(q)))).alias(name) for name, q in _QUOTES.items()}
+    row = F.struct(ch.alias("ch"), at.alias("at"), *counts.values(), *([marks.alias("marks")] if marks is not None else []))
+    return once(row, lambda r: _around(r, left, right, mode, reach, marks is not None))
+
+
+def _number(q: str):
+    return lambda x: F.length(x) - F.length(F.replace(x, F.lit(q), F.lit("")))
+
+
+def _around(r: Column, left: int, right: int, mode: str, reach: int, marked: bool) -> Column:
+    ch = r["ch"]
+    clipped = F.size(r["at"]) <= 50 if mode == "reference" else F.lit(False)
+    clip = F.when(clipped, F.lit(2 * max(left, right))).otherwise(F.lit(1 << 30))
+
+    def count(name: str, p: Column, i: Column, c: Column) -> Column:
+        # in a clipped context, over the few characters that are seen
+        few = F.slice(ch, F.greatest(p - clip, F.lit(0)) + 1, F.least(p, clip) + 1)
+        near = F.size(F.filter(few, lambda x: x == _QUOTES[name]))
+        upto = F.coalesce(F.try_element_at(r[name], i + 1), F.lit(0))
+        return F.when(c.isin(*_QUOTES.values()), F.when(clipped, near).otherwise(upto)).otherwise(0).alias(name)
+
+    def around(p: Column, i: Column) -> Column:
         n = F.least(p, F.lit(reach), clip)
+        c = F.element_at(ch, p + 1)
+        more = [F.element_at(r["marks"], p + 1).alias("mark")] if marked else []
         return F.struct(
             p.alias("pos"), c.alias("c"), _piece(ch, p - n, n).alias("before"), _piece(ch, p, F.least(F.lit(reach), clip) + 1).alias("after"),
-            count('"').alias("straight"), count("“").alias("opened"), count("”").alias("closed"), count("'").alias("single"), count("‘").alias("single_opened"), count("’").alias("single_closed"),
+            *(count(name, p, i, c) for name in _QUOTES), *more,
         )
 
-    return F.transform(at, around)
+    return F.transform(r["at"], around)

@@ -3,73 +3,78 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chars import BULLETS, CLOSING_QUOTES, LIST_CONJUNCTIONS, LIST_INTROS, LIST_MARKERS, OPENING_QUOTES, PADDING, PRIMARY, SECONDARY, SENTENCE_MARKS, SPACE, _PUNCTUATION, encode
+from .chars import BULLETS, CANDIDATES, CLOSING_QUOTES, LIST_CONJUNCTIONS, LIST_INTROS, LIST_MARKERS, OPENING_QUOTES, PADDING, PRIMARY, SECONDARY, SENTENCE_MARKS, SPACE, _PUNCTUATION, encode
 
 FLAGS = ("abbreviation", "terminator", "balanced", "complete", "lower_next", "list_item", "semicolon_list", "near_colon")
 _MARKER = "(?:" + "|".join(re.escape(m) for m in LIST_MARKERS) + ")"
 _INTRO = "(?:" + "|".join(map(re.escape, LIST_INTROS)) + ")"
 _CONJUNCTION = "(?:" + "|".join(map(re.escape, LIST_CONJUNCTIONS)) + ")"
 
-def _before() -> Column:
-    return F.col("before")
 
+@dataclass(frozen=True)
+class Place:
+    """The columns of one place: from rows of ``surroundings``, or from a struct of ``seen``."""
 
-def _after() -> Column:
-    return F.col("after")
+    before: Column
+    after: Column
+    c: Column
+    quotes: dict[str, Column]
 
+    @classmethod
+    def of(cls, struct: Column | None = None) -> Place:
+        get = F.col if struct is None else struct.getField
+        return cls(get("before"), get("after"), get("c"), {n: get(n) for n in ("straight", "opened", "closed", "single", "single_opened", "single_closed")})
 
-def _char() -> Column:
-    return F.col("c")
+    def last(self, n: int) -> Column:
+        return F.when(F.length(self.before) > n, F.substring(self.before, -n, n)).otherwise(self.before)
 
+    @property
+    def prev(self) -> Column:
+        return F.substring(self.before, -1, 1)
 
-def _last(n: int) -> Column:
-    return F.when(F.length(_before()) > n, F.substring(_before(), -n, n)).otherwise(_before())
+    @property
+    def next(self) -> Column:
+        return F.substring(self.after, 2, 1)
 
 
-def _prev() -> Column:
-    return F.substring(_before(), -1, 1)
-
-
-def _next() -> Column:
-    return F.substring(_after(), 2, 1)
-
-
-def window(left: int, right: int) -> Column:
+def window(left: int, right: int, at: Place | None = None) -> Column:
     """Codes of the characters from left before to right after, padded as white space."""
+    at = at or Place.of()
     padded = F.concat(
-        F.transform(F.sequence(F.lit(-left), F.lit(right)), lambda k: F.when(k < 0, F.substring(_before(), F.length(_before()) + k + 1, F.lit(1))).otherwise(F.substring(_after(), k + 1, F.lit(1))))
+        F.transform(F.sequence(F.lit(-left), F.lit(right)), lambda k: F.when(k < 0, F.substring(at.before, F.length(at.before) + k + 1, F.lit(1))).otherwise(F.substring(at.after, k + 1, F.lit(1))))
     )
-    inside = F.transform(padded, lambda c, i: F.when((i - left < -F.length(_before())) | (i - left >= F.length(_after())), F.lit(PADDING)).otherwise(encode(c)))
+    inside = F.transform(padded, lambda c, i: F.when((i - left < -F.length(at.before)) | (i - left >= F.length(at.after)), F.lit(PADDING)).otherwise(encode(c)))
     return inside
 
 
-def abbreviation(entries: list[str] | Column) -> Column:
+def abbreviation(entries: list[str] | Column, at: Place) -> Column:
     """1 where a full stop ends a run of letters, digits and stops that is a known abbreviation."""
-    run = F.concat(F.regexp_extract(_last(49), r"[\p{L}\p{N}.]*\z", 0), _char())
+    run = F.concat(F.regexp_extract(at.last(49), r"[\p{L}\p{N}.]*\z", 0), at.c)
     known = F.array_contains(entries, run) if isinstance(entries, Column) else run.isin(*entries) if entries else F.lit(False)
-    return F.when((_char() == ".") & known, 1).otherwise(0)
+    return F.when((at.c == ".") & known, 1).otherwise(0)
 
 
-def terminator() -> Column:
-    return F.when(_char().isin(*PRIMARY), 1).when(_char().isin(*SECONDARY), -1).otherwise(0)
+def terminator(at: Place) -> Column:
+    return F.when(at.c.isin(*PRIMARY), 1).when(at.c.isin(*SECONDARY), -1).otherwise(0)
 
 
-def balanced() -> Column:
-    even = (F.col("straight") % 2 == 0) & (F.col("opened") == F.col("closed")) & (F.col("single") % 2 == 0) & (F.col("single_opened") == F.col("single_closed"))
-    return F.when(~_char().isin(*OPENING_QUOTES, *CLOSING_QUOTES) | even, 1).otherwise(0)
+def balanced(at: Place) -> Column:
+    even = (at.quotes["straight"] % 2 == 0) & (at.quotes["opened"] == at.quotes["closed"]) & (at.quotes["single"] % 2 == 0) & (at.quotes["single_opened"] == at.quotes["single_closed"])
+    return F.when(~at.c.isin(*OPENING_QUOTES, *CLOSING_QUOTES) | even, 1).otherwise(0)
 
 
-def complete() -> Column:
-    open_end = _next().rlike(f"^(?:{SPACE}|{_PUNCTUATION})") | _next().isin(*SENTENCE_MARKS)
-    return F.when(_char().isin(*CLOSING_QUOTES) & (_next() != "") & ~open_end & _next().rlike(r"^\p{javaLowerCase}"), 0).otherwise(1)
+def complete(at: Place) -> Column:
+    open_end = at.next.rlike(f"^(?:{SPACE}|{_PUNCTUATION})") | at.next.isin(*SENTENCE_MARKS)
+    return F.when(at.c.isin(*CLOSING_QUOTES) & (at.next != "") & ~open_end & at.next.rlike(r"^\p{javaLowerCase}"), 0).otherwise(1)
 
 
-def lower_next() -> Column:
-    return F.when(_next().rlike(r"^\p{javaLowerCase}"), 1).otherwise(0)
+def lower_next(at: Place) -> Column:
+    return F.when(at.next.rlike(r"^\p{javaLowerCase}"), 1).otherwise(0)
 
 
 def _among(c: Column, chars: str) -> Column:
@@ -77,40 +82,41 @@ def _among(c: Column, chars: str) -> Column:
     return c.isin(*chars)
 
 
-def list_item() -> Column:
-    before = _last(20)
-    typical = _among(_char(), "()0123456789abcdefghijklmnopqrstuvwxyz." + BULLETS)
-    inner = (_before() != "") & (F.length(_after()) > 1) & (_among(_char(), ".,;:") | _among(_prev(), ".,;:"))
-    marked = _before().rlike(_MARKER + r"\z") | _after().rlike("^" + _MARKER)
-    edge = _among(_char(), ".,;:()[]") | _among(_prev(), ".,;:()") | _among(_next(), ".,;:()[]")
+def list_item(at: Place) -> Column:
+    before = at.last(20)
+    typical = _among(at.c, "()0123456789abcdefghijklmnopqrstuvwxyz." + BULLETS)
+    inner = (at.before != "") & (F.length(at.after) > 1) & (_among(at.c, ".,;:") | _among(at.prev, ".,;:"))
+    marked = at.before.rlike(_MARKER + r"\z") | at.after.rlike("^" + _MARKER)
+    edge = _among(at.c, ".,;:()[]") | _among(at.prev, ".,;:()") | _among(at.next, ".,;:()[]")
     introduced = (F.length(before) >= 5) & F.substring(before, -5, 5).contains(":") & before.rlike(_INTRO)
-    first = lambda conj: F.instr(F.substring(_after(), 1, 20), conj) - 1
+    first = lambda conj: F.instr(F.substring(at.after, 1, 20), conj) - 1
     joined = F.lit(False)
     for conj in LIST_CONJUNCTIONS:
-        at = first(conj)
-        joined = joined | (at.between(1, 4) & F.substring(_after(), at, F.lit(1)).isin(";", ","))
-    joined = (_among(_char(), ";,") | _among(_prev(), ";,")) & joined
-    reachable = edge | _among(_char(), "0123456789abcdefghijklmnopqrstuvwxyz" + BULLETS)
+        where = first(conj)
+        joined = joined | (where.between(1, 4) & F.substring(at.after, where, F.lit(1)).isin(";", ","))
+    joined = (_among(at.c, ";,") | _among(at.prev, ";,")) & joined
+    reachable = edge | _among(at.c, "0123456789abcdefghijklmnopqrstuvwxyz" + BULLETS)
     return F.when(reachable & (typical | inner) & (marked | (edge & (introduced | joined))), 1).otherwise(0)
 
 
-def semicolon_list() -> Column:
-    before, after = _last(50), F.substring(_after(), 1, 50)
+def semicolon_list(at: Place) -> Column:
+    before, after = at.last(50), F.substring(at.after, 1, 50)
     both = F.concat(before, after)
     several = F.length(both) - F.length(F.replace(both, F.lit(";"), F.lit(""))) >= 2
-    return F.when((_char() == ";") & (several | both.rlike(_MARKER) | before.rlike(_INTRO) | after.rlike(_CONJUNCTION)), 1).otherwise(0)
+    return F.when((at.c == ";") & (several | both.rlike(_MARKER) | before.rlike(_INTRO) | after.rlike(_CONJUNCTION)), 1).otherwise(0)
 
 
-def near_colon(gated: bool = True) -> Column:
+def near_colon(at: Place, gated: bool = True) -> Column:
     """1 with a colon among the ten characters before; gated asks for one at or beside the place, too."""
-    seen = _last(10).contains(":")
-    beside = (_char() == ":") | (_prev() == ":") | (_next() == ":")
+    seen = at.last(10).contains(":")
+    beside = (at.c == ":") | (at.prev == ":") | (at.next == ":")
     return F.when(seen & beside if gated else seen, 1).otherwise(0)
 
 
-def flags(abbreviations: list[str] | Column, variant: str = "array") -> list[Column]:
+def flags(abbreviations: list[str] | Column, variant: str = "array", at: Place | None = None) -> list[Column]:
     """The eight flags in order; variant ``array`` gates the colon flag, ``list`` does not."""
-    found = (abbreviation(abbreviations), terminator(), balanced(), complete(), lower_next(), list_item(), semicolon_list(), near_colon(variant == "array"))
+    at = at or Place.of()
+    found = (abbreviation(abbreviations, at), terminator(at), balanced(at), complete(at), lower_next(at), list_item(at), semicolon_list(at), near_colon(at, variant == "array"))
     return [f.alias(name) for f, name in zip(found, FLAGS, strict=True)]
 
 
@@ -118,14 +124,20 @@ def feature_count(left: int, right: int) -> int:
     return left + right + 1 + len(FLAGS)
 
 
+def features(abbreviations: list[str] | Column, left: int = 5, right: int = 5, variant: str = "array", at: Place | None = None) -> Column:
+    """The window's codes, then the flags, as one array."""
+    return F.concat(window(left, right, at), F.array(*flags(abbreviations, variant, at)))
+
+
 def with_features(places: DataFrame, abbreviations: list[str] | Column, left: int = 5, right: int = 5, variant: str = "array") -> DataFrame:
     """places with column features: the window's codes, then the flags."""
     keep = [c for c in places.columns if c not in ("before", "after", "straight", "opened", "closed", "single", "single_opened", "single_closed")]
-    return places.select(*keep, F.concat(window(left, right), F.array(*flags(abbreviations, variant))).alias("features"))
+    return places.select(*keep, features(abbreviations, left, right, variant).alias("features"))
 
 
-def analysis(docs: DataFrame, abbreviations: list[str], left: int = 5, right: int = 5) -> DataFrame:
-    """Every character with its features and label: the columns of a text analysis report."""
+def analysis(docs: DataFrame, abbreviations: list[str], left: int = 5, right: int = 5) -> tuple[DataFrame, DataFrame]:
+    """A text analysis report: every character with its features and label, and one row of totals."""
     from .labels import labelled_characters
 
-    return labelled_characters(docs, abbreviations, left, right)
+    rows = labelled_characters(docs, abbreviations, left, right)
+    return rows, rows.agg(F.count("*").alias("characters"), F.coalesce(F.sum("label"), F.lit(0)).alias("boundaries"), F.count_if(F.col("c").isin(*CANDIDATES)).alias("candidates"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chars import characters, surroundings
+from .chars import surroundings
 from .features import with_features
 
 SENTENCE_TAG, PARAGRAPH_TAG = "<|sentence|>", "<|paragraph|>"
@@ -38,11 +38,16 @@ def annotate(sentences: str | Column) -> Column:
     return F.when(F.size(c) > 0, F.concat(tagged, F.lit(PARAGRAPH_TAG))).otherwise("")
 
 
+def character_labels(annotated: str | Column) -> Column:
+    """1 for every character of the clean text that a tag follows, else 0."""
+    pieces = _pieces(annotated)
+    ends = lambda p, i: F.when(i < F.size(pieces) - 1, 1).otherwise(0)
+    return F.flatten(F.transform(pieces, lambda p, i: F.when(F.length(p) > 0, F.concat(F.array_repeat(F.lit(0), F.length(p) - 1), F.array(ends(p, i)))).otherwise(F.array().cast("array<int>"))))
+
+
 def labelled_characters(docs: DataFrame, abbreviations: list[str], left: int = 5, right: int = 5, annotated: str = "text", mode: str = "full") -> DataFrame:
     """Every character of the clean text: the other columns of docs, pos, c, label, features."""
     others = [c for c in docs.columns if c != annotated]
-    clean = docs.select(*others, clean_text(annotated).alias("_text"), boundaries(annotated).alias("_bounds"))
-    everywhere = F.transform(characters("_text"), lambda c, i: i)
-    places = surroundings(clean, "_text", everywhere, left, right, mode)
-    label = F.when(F.array_contains("_bounds", F.col("pos") + 1), 1).otherwise(0)
-    return with_features(places.withColumn("label", label).drop("_bounds"), abbreviations, left, right)
+    clean = docs.select(*others, clean_text(annotated).alias("_text"), character_labels(annotated).alias("_labels"))
+    places = surroundings(clean, "_text", True, left, right, mode, marks=F.col("_labels")).drop("_labels").withColumnRenamed("mark", "label")
+    return with_features(places, abbreviations, left, right)

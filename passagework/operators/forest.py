@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field, replace
+import uuid
+from dataclasses import asdict, dataclass, field, fields, replace
+from itertools import groupby
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorSlicer
@@ -11,8 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.chars import CANDIDATES, surroundings
-from ..functions.features import feature_count, with_features
+from ..functions.chars import CANDIDATES, once, seen
+from ..functions.features import Place, feature_count, features
 from ..functions.labels import labelled_characters
 from ..plans.rules import passes
 from .abbreviations import DEFAULT
@@ -61,10 +63,15 @@ class Segmenter:
 
 
 def training_rows(annotated: DataFrame, config: Config, text: str = "text") -> DataFrame:
-    """(label, features) of the characters that train: all boundaries, all candidates, and a sample of the rest."""
-    rows = labelled_characters(annotated.select(F.col(text).alias("text")), list(config.abbreviations), config.left, config.right)
-    wanted = (F.col("label") == 1) | F.col("c").isin(*CANDIDATES) | (F.rand(config.seed) < config.sample_rate)
-    return rows.where(wanted).select("label", "features")
+    """(label, features) of the characters that train: all boundaries, all candidates, and a sample of the rest.
+
+    The sample is drawn by a hash of text, place and seed, so it is the same in every
+    run and on every layout of the table.
+    """
+    docs = annotated.select(F.col(text).alias("text"), F.xxhash64(text, F.lit(config.seed)).alias("_key"))
+    rows = labelled_characters(docs, list(config.abbreviations), config.left, config.right)
+    drawn = F.pmod(F.xxhash64("_key", "pos"), F.lit(1 << 40)) < F.lit(int(config.sample_rate * (1 << 40)))
+    return rows.where((F.col("label") == 1) | F.col("c").isin(*CANDIDATES) | drawn).select("label", "features")
 
 
 def class_weights(rows: DataFrame) -> dict[int, float]:
@@ -74,7 +81,7 @@ def class_weights(rows: DataFrame) -> dict[int, float]:
     return {k: total / (2.0 * v) for k, v in n.items()}
 
 
-def _fit(rows: DataFrame, config: Config) -> RandomForestClassificationModel:
+def fit(rows: DataFrame, config: Config) -> RandomForestClassificationModel:
     forest = RandomForestClassifier(numTrees=config.trees, maxDepth=min(config.depth, DEEPEST), minInstancesPerNode=config.min_leaf, maxBins=128, seed=config.seed, labelCol="label", featuresCol="vector")
     if config.balanced:
         w = class_weights(rows)
@@ -83,28 +90,32 @@ def _fit(rows: DataFrame, config: Config) -> RandomForestClassificationModel:
     return forest.fit(rows)
 
 
-def _sliced(rows: DataFrame, selected: tuple[int, ...] | None) -> DataFrame:
+def sliced(rows: DataFrame, selected: tuple[int, ...] | None) -> DataFrame:
     rows = rows.withColumn("vector", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
     if selected is None:
         return rows
     return VectorSlicer(inputCol="vector", outputCol="_sliced", indices=list(selected)).transform(rows).drop("vector").withColumnRenamed("_sliced", "vector")
 
 
-def train(annotated: DataFrame, config: Config | None = None, text: str = "text", **changes) -> tuple[Segmenter, DataFrame]:
-    """A segmenter fitted on annotated texts, and its metrics over the rows that it was trained on."""
-    config = replace(config or Config(), **{k: v for k, v in changes.items() if v is not None})
+def segmenter_of(rows: DataFrame, config: Config) -> Segmenter:
+    """A segmenter fitted on (label, features), with the features selected where its model type asks for that."""
     if config.model_type not in _TYPES:
         raise ValueError(f"unknown model type {config.model_type!r}")
-    rows = training_rows(annotated, config, text).persist()
-    selected = None
-    model = _fit(_sliced(rows, None), config)
+    model, selected = fit(sliced(rows, None), config), None
     if _TYPES[config.model_type]:
         ranked = sorted(enumerate(model.featureImportances.toArray().tolist()), key=lambda x: -x[1])
         selected = tuple(i for i, v in ranked if v >= config.selection_threshold)[: config.max_features]
         if not selected:
             raise ValueError("no feature reaches the selection threshold")
-        model = _fit(_sliced(rows, selected), config)
-    made = Segmenter(config, model, selected)
+        model = fit(sliced(rows, selected), config)
+    return Segmenter(config, model, selected)
+
+
+def train(annotated: DataFrame, config: Config | None = None, text: str = "text", **changes) -> tuple[Segmenter, DataFrame]:
+    """A segmenter fitted on annotated texts, and its metrics over the rows that it was trained on."""
+    config = replace(config or Config(), **{k: v for k, v in changes.items() if v is not None})
+    rows = training_rows(annotated, config, text).persist()
+    made = segmenter_of(rows, config)
     scored_rows = metrics(with_prediction(probabilities(rows, made), config.threshold)).persist()
     scored_rows.count()
     rows.unpersist()
@@ -119,7 +130,7 @@ def importances(made: Segmenter) -> dict[int, float]:
 
 def probabilities(rows: DataFrame, made: Segmenter) -> DataFrame:
     """rows with column p, the probability of a boundary."""
-    out = made.model.setFeaturesCol("vector").transform(_sliced(rows, made.selected))
+    out = made.model.setFeaturesCol("vector").transform(sliced(rows, made.selected))
     return out.withColumn("p", vector_to_array("probability")[1]).drop("vector", "rawPrediction", "probability", "prediction")
 
 
@@ -127,17 +138,104 @@ def with_prediction(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.withColumn("pred", F.when(passes(F.col("p"), threshold), 1).otherwise(0))
 
 
-def forest_boundaries(docs: DataFrame, made: Segmenter, key: str = "doc_id", threshold: float | None = None, text: str = "text", into: str = "bounds") -> DataFrame:
-    """docs with the array of boundaries by the forest; key names documents apart.
+@dataclass(frozen=True)
+class Trees:
+    """A forest as flat arrays: the roots' nodes, and per node feature (-1: leaf), threshold, left, right and probability of label 1.
 
-    Candidates are exploded, scored in the JVM and gathered by document, which is one
-    shuffle of places, not of texts.
+    This is all that scoring needs, so it also stands for models of other makers:
+    whatever can be written as trees scores inside the row like a trained forest.
     """
-    c = made.config
-    places = surroundings(docs.select(key, text), text, None, c.left, c.right, c.mode)
-    rows = with_prediction(probabilities(with_features(places, list(c.abbreviations), c.left, c.right, c.variant), made), c.threshold if threshold is None else threshold)
-    found = rows.where("pred = 1").groupBy(key).agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias(into))
-    return docs.join(found, key, "left").withColumn(into, F.coalesce(into, F.array().cast("array<int>")))
+
+    roots: tuple[int, ...]
+    feature: tuple[int, ...]
+    threshold: tuple[float, ...]
+    left: tuple[int, ...]
+    right: tuple[int, ...]
+    value: tuple[float, ...]
+    depth: int
+
+    def probability(self, features: Column) -> Column:
+        """Mean over the trees of their leaves' probabilities, as an expression over a feature array.
+
+        The arrays are folded constants, so the plan does not grow with the forest; each
+        tree is walked by at most its depth of steps.
+        """
+        table = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+        at = lambda values, kind, node: F.element_at(table(values, kind), node + 1)
+
+        def step(node: Column, _: Column) -> Column:
+            f = at(self.feature, "int", node)
+            lower = F.element_at(features, F.greatest(f, F.lit(0)) + 1) <= at(self.threshold, "double", node)
+            return F.when(f < 0, node).when(lower, at(self.left, "int", node)).otherwise(at(self.right, "int", node))
+
+        leaf = lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(max(self.depth, 1))), root, step)
+        votes = F.transform(table(self.roots, "int"), lambda r: at(self.value, "double", leaf(r)))
+        return F.aggregate(votes, F.lit(0.0), lambda a, v: a + v) / F.lit(float(len(self.roots)))
+
+
+def trees_of(made: Segmenter) -> Trees:
+    """The forest of a segmenter as flat arrays; features by their place before selection."""
+    rows = _node_rows(made.model)
+    index = made.selected or range(feature_count(made.config.left, made.config.right))
+    start, columns, roots, depth = 0, ([], [], [], [], []), [], 0
+    for _, tree in groupby(sorted(rows, key=lambda r: (r[0], r[1])), key=lambda r: r[0]):
+        nodes = list(tree)
+        # nodes come in the order of their numbers, the root first
+        base, level = start, {0: 0}
+        roots.append(base)
+        for _, number, left, right, feature, threshold, stats in nodes:
+            inner = left >= 0
+            if inner:
+                level[left] = level[right] = level[number] + 1
+            whole = sum(stats)
+            one = stats[1] / whole if len(stats) > 1 and whole > 0 else 0.0
+            for column, v in zip(columns, (index[feature] if inner else -1, threshold, base + left, base + right, one), strict=True):
+                column.append(v)
+        depth = max(depth, *level.values())
+        start += len(nodes)
+    return Trees(tuple(roots), *map(tuple, columns), depth)
+
+
+def _node_rows(model: RandomForestClassificationModel) -> list[tuple]:
+    """(tree, node, left, right, feature, threshold, class weights) of all nodes, from Spark's own saved form of the model."""
+    spark = SparkSession.active()
+    folder = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    model.write().save(folder)
+    n = "nodeData"
+    nodes = spark.read.parquet(f"{folder}/data").select("treeID", f"{n}.id", f"{n}.leftChild", f"{n}.rightChild", f"{n}.split.featureIndex", f"{n}.split.leftCategoriesOrThreshold", f"{n}.impurityStats")
+    return [(r[0], r[1], r[2], r[3], r[4], r[5][0] if r[5] else 0.0, r[6]) for r in nodes.collect()]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where all executors can write: the checkpoint folder that the session names, or the warehouse."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def boundaries(config: Config, trees: Trees, threshold: float | None = None, text: str = "text") -> Column:
+    """Array of the boundaries of a text by a forest, found inside the row."""
+    cut = config.threshold if threshold is None else threshold
+
+    def scored(s: Column) -> Column:
+        f = features(list(config.abbreviations), config.left, config.right, config.variant, Place.of(s))
+        return F.struct(s["pos"].alias("pos"), once(f, trees.probability).alias("p"))
+
+    rows = F.transform(seen(text, False, config.left, config.right, config.mode), scored)
+    return F.transform(F.filter(rows, lambda s: passes(s["p"], cut)), lambda s: s["pos"] + 1)
+
+
+def forest_boundaries(docs: DataFrame, made: Segmenter, threshold: float | None = None, text: str = "text", into: str = "bounds") -> DataFrame:
+    """docs with the array of boundaries by the forest: a projection of each row, whatever its keys; no shuffle."""
+    return docs.withColumn(into, boundaries(made.config, trees_of(made), threshold, text))
+
+
+def metrics_of_bounds(rows: DataFrame, truth: str, bounds: str, text: str = "text") -> DataFrame:
+    """``metrics`` over all characters, from two arrays of boundaries per text, counted as sets."""
+    n = F.length(text)
+    inside = lambda b: F.array_distinct(F.filter(b, lambda x: (x > 0) & (x <= n)))
+    t, p = inside(truth), inside(bounds)
+    both = F.size(F.array_intersect(t, p))
+    counts = rows.select(both.alias("tp"), (F.size(p) - both).alias("fp"), (F.size(t) - both).alias("fn"), (n - F.size(p) - F.size(t) + both).alias("tn"))
+    return _figures(counts.agg(*(F.sum(c).cast("double").alias(c) for c in ("tp", "fp", "fn", "tn"))))
 
 
 def metrics(rows: DataFrame, truth: str = "label", pred: str = "pred") -> DataFrame:
@@ -145,6 +243,10 @@ def metrics(rows: DataFrame, truth: str = "label", pred: str = "pred") -> DataFr
     t, p = F.col(truth) == 1, F.col(pred) == 1
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
     counts = rows.agg(n(t & p).alias("tp"), n(~t & p).alias("fp"), n(t & ~p).alias("fn"), n(~t & ~p).alias("tn"))
+    return _figures(counts)
+
+
+def _figures(counts: DataFrame) -> DataFrame:
     part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     counts = counts.na.fill(0.0)
@@ -154,9 +256,10 @@ def metrics(rows: DataFrame, truth: str = "label", pred: str = "pred") -> DataFr
     )
 
 
-def evaluate(annotated: DataFrame, made: Segmenter, text: str = "text", threshold: float | None = None) -> DataFrame:
-    """Metrics over all characters of annotated texts, seen in their full context."""
+def evaluate(annotated: DataFrame, made: Segmenter, text: str = "text", threshold: float | None = None, max_samples: int | None = None) -> DataFrame:
+    """Metrics over all characters of annotated texts (of the first max_samples, where given), seen in their full context."""
     c = made.config
+    annotated = annotated.limit(max_samples) if max_samples is not None else annotated
     rows = labelled_characters(annotated.select(F.col(text).alias("text")), list(c.abbreviations), c.left, c.right).select("label", "features")
     return metrics(with_prediction(probabilities(rows, made), c.threshold if threshold is None else threshold))
 
@@ -173,9 +276,7 @@ def load(path: str) -> Segmenter:
     meta = json.loads(SparkSession.active().read.text(f"{path}/config").first()["value"])
     if meta["version"] > VERSION:
         raise ValueError(f"model version {meta['version']} is newer than {VERSION}")
-    config = meta["config"] | {"abbreviations": tuple(meta["config"]["abbreviations"])}
+    known = {f.name for f in fields(Config)}
+    # saves of other versions may lack settings, which then have their defaults, or hold some that are no more
+    config = {k: tuple(v) if k == "abbreviations" else v for k, v in meta["config"].items() if k in known}
     return Segmenter(Config(**config), RandomForestClassificationModel.load(f"{path}/forest"), tuple(meta["selected"]) if meta["selected"] else None)
-
-
-def label_weight(label: Column, weights: dict[int, float]) -> Column:
-    return F.when(label == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import CANDIDATES, PRIMARY, characters, once
+from ..functions.chars import CANDIDATES, PRIMARY, once, pieces, places
 
 THRESHOLD = 0.5
 
@@ -29,19 +33,64 @@ def score(c: Column, following: Column, run: Column, abbreviations: list[str]) -
 
 def scored(docs: DataFrame, abbreviations: list[str], text: str = "text") -> DataFrame:
     """docs with array _scores: (pos, p) of every candidate, inside the row."""
-    return docs.withColumn("_scores", once(characters(text), lambda ch: _scores(ch, abbreviations)))
+    return docs.withColumn("_scores", _scores(text, abbreviations))
+
+
+def _scores(text: str | Column, abbreviations: list[str]) -> Column:
+    """The text is cut after every candidate, so that the work goes by candidates and not by characters."""
+
+    def by_piece(cut: Column) -> Column:
+        row = F.struct(cut.alias("cut"), places(cut).alias("at"))
+        return once(row, lambda r: F.transform(r["at"], lambda pos, i: one(r["cut"], pos, i)))
+
+    def one(cut: Column, pos: Column, i: Column) -> Column:
+        piece, nxt = F.element_at(cut, i + 1), F.element_at(cut, i + 2)
+        following = F.when(nxt != "", F.left(nxt, F.lit(1)))
+        # full stops are candidates themselves, so a run such as "U.S." may begin some pieces before
+        own = F.regexp_extract(piece, _RUN, 0)
+        whole = F.array_join(F.slice(cut, F.greatest(i - 18, F.lit(1)), F.least(i + 1, F.lit(20))), "")
+        run = F.when(own != piece, own).otherwise(F.regexp_extract(F.right(whole, F.lit(20)), _RUN, 0))
+        c = F.right(piece, F.lit(1))
+        return F.struct(pos.alias("pos"), score(c, following, F.when(c == ".", F.right(run, F.lit(20))).otherwise(""), abbreviations).alias("p"))
+
+    return once(pieces(text), by_piece)
+
+
+def spoken_places(text: str, begin: int, last: bool, abbreviations: frozenset[str], threshold: float = THRESHOLD) -> Iterator[int]:
+    """The boundaries of one text from a character on, for streams, where a text is at hand piece by piece; a test holds it to ``boundaries``.
+
+    Unless the text is the last of its document, its last character is left out.
+    """
+    for m in _MARK.finditer(text, begin, len(text) if last else max(len(text) - 1, begin)):
+        i, c = m.start(), m.group()
+        ends = text[i + 1 : i + 2] in ("", " ", "\n", "\t")
+        if c not in PRIMARY:
+            p = 0.4 if c == "\n" else 0.3 if c in '"”' and ends else 0.1
+        elif c == "." and _run_before(text, i) in abbreviations:
+            p = 0.2
+        else:
+            p = 0.9 if ends else 0.3
+        if p > 0.5 if threshold == 0.5 else p >= threshold:
+            yield i + 1
+
+
+def _run_before(text: str, i: int) -> str:
+    start = i
+    while start > max(i - 19, 0) and (text[start - 1] == "." or unicodedata.category(text[start - 1])[0] in "LN"):
+        start -= 1
+    return text[start : i + 1]
+
 
+_MARK = re.compile("[" + "".join(CANDIDATES) + "]")
+_RUN = r"[\p{L}\p{N}.]*\z"
 
-def _scores(ch: Column, abbreviations: list[str]) -> Column:
-    def one(c: Column, i: Column) -> Column:
-        run = F.when(c == ".", F.regexp_extract(F.array_join(F.slice(ch, F.greatest(i - 19, F.lit(0)) + 1, F.least(i, F.lit(19)) + 1), ""), r"[\p{L}\p{N}.]*\z", 0))
-        return F.when(c.isin(*CANDIDATES), F.struct(i.alias("pos"), score(c, F.try_element_at(ch, i + 2), F.coalesce(run, F.lit("")), abbreviations).alias("p")))
 
-    return F.filter(F.transform(ch, one), lambda s: s.isNotNull())
+def boundaries(text: str | Column, abbreviations: list[str] | None = None, threshold: float = THRESHOLD) -> Column:
+    """Array of the boundaries of a text by the rule."""
+    kept = F.filter(_scores(text, abbreviations or []), lambda s: passes(s["p"], threshold))
+    return F.transform(kept, lambda s: s["pos"] + 1)
 
 
 def rule_boundaries(docs: DataFrame, abbreviations: list[str] | None = None, threshold: float = THRESHOLD, text: str = "text", into: str = "bounds") -> DataFrame:
     """docs with the array of boundaries (places after the boundary characters) by the rule."""
-    rows = scored(docs, abbreviations or [], text)
-    kept = F.filter("_scores", lambda s: passes(s["p"], threshold))
-    return rows.withColumn(into, F.transform(kept, lambda s: s["pos"] + 1)).drop("_scores")
+    return docs.withColumn(into, boundaries(text, abbreviations, threshold))

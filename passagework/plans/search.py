@@ -6,8 +6,10 @@ from collections.abc import Sequence
 from dataclasses import replace
 from itertools import product
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 
+from ..functions.labels import labelled_characters
 from ..operators import forest
 
 
@@ -18,23 +20,28 @@ def best_model(
     """The first segmenter of the largest F1, and the figures of all combinations.
 
     Features are kept per pair of windows and a forest is fitted once for all
-    thresholds, which only move the cut.
+    thresholds, which only move the cut.  A combination that cannot be trained is passed
+    over, with its error among the figures.
     """
     base, tried, best = base or forest.Config(), [], None
     for a, b in product(left, right):
         rows = forest.training_rows(annotated, replace(base, left=a, right=b)).persist()
+        judged = rows if validation is None else labelled_characters(validation.select("text"), list(base.abbreviations), a, b).select("label", "features").persist()
         for n, d in product(trees, depth):
             config = replace(base, left=a, right=b, trees=n, depth=d)
-            model = forest._fit(forest._sliced(rows, None), config)
-            made = forest.Segmenter(config, model)
-            if validation is None:
-                scored = forest.probabilities(rows, made)
-            else:
-                scored = forest.probabilities(forest.labelled_characters(validation.select("text"), list(config.abbreviations), a, b).select("label", "features"), made)
+            try:
+                made = forest.segmenter_of(rows, config)
+            except (ValueError, IllegalArgumentException) as e:
+                tried.append({"left": a, "right": b, "trees": n, "depth": d, "error": str(e)})
+                continue
+            scored = forest.probabilities(judged, made)
             for t in thresholds:
                 got = forest.metrics(forest.with_prediction(scored, t)).first().asDict()
                 tried.append({"left": a, "right": b, "trees": n, "depth": d, "threshold": t, **got})
                 if best is None or got["f1_score"] > best[0]:
                     best = got["f1_score"], replace(made, config=replace(config, threshold=t))
         rows.unpersist()
+        judged.unpersist()
+    if best is None:
+        raise ValueError("no combination could be trained")
     return best[1], tried

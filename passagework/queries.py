@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.chars import BULLETS, CANDIDATES, LIST_INTROS, LIST_MARKERS, candidate_positions, characters, encode, encode_one_hot, surroundings
+from .functions.chars import BULLETS, CANDIDATES, LIST_INTROS, LIST_MARKERS, candidate_positions, characters, encode, encode_one_hot, exploded, surroundings
 from .functions.features import FLAGS, flags, window
 from .functions.labels import annotate, boundaries, clean_text
 from .operators import forest
@@ -19,16 +19,19 @@ from .streaming.chunks import chunked_boundaries, cut
 _L, _I = "long", "int"
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """A table; one of fewer files than there are cores is dealt over the cores first, as a file's row groups may be few."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return _read(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+    return _read(spark, sf_dir, "pages", "page_id", "html").withColumnRenamed("html", "text")
 
 
 def _longs(df: DataFrame) -> DataFrame:
@@ -49,12 +52,12 @@ def encoding_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(characters("text")).alias("pos", "c"))
+    rows = _read(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.posexplode(characters("text")).alias("pos", "c"))
     return _longs(rows.select("item_id", "pos", encode_one_hot(F.col("c")).alias("code")))
 
 
 def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = surroundings(_read(spark, sf_dir, "benchmark").select("item_id", "text"), mode="full")
+    rows = surroundings(_read(spark, sf_dir, "benchmark", "item_id", "text"), mode="full")
     return _longs(rows.select("item_id", "pos", F.posexplode(window(5, 5)).alias("k", "code")))
 
 
@@ -63,7 +66,7 @@ def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("all"))
+    turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "text").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("all"))
     return turns.select("conv_id", annotate(F.transform("all", lambda x: x["t"])).alias("annotated"))
 
 
@@ -80,7 +83,7 @@ def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _longs(_bounded(spark, sf_dir).select("doc_id", F.explode("bounds").alias("bound")))
+    return _longs(exploded(_bounded(spark, sf_dir).select("doc_id", "bounds"), "bounds", "bound").drop("bounds"))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,13 +103,13 @@ def sentence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("all"))
+    turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "text").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("all"))
     texts = turns.select("conv_id", F.array_join(F.transform("all", lambda x: x["t"]), "\n\n").alias("text"))
     return _longs(paragraph_spans(rule_boundaries(texts, list(DEFAULT))))
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(_documents(spark, sf_dir), list(DEFAULT)).select(F.explode("_scores").alias("s"))
+    rows = exploded(scored(_documents(spark, sf_dir), list(DEFAULT)).select("_scores"), "_scores", "s").drop("_scores")
     levels = (0.1, 0.3, 0.5, 0.7, 0.9)
     counts = rows.agg(*(F.sum(F.when(passes(F.col("s.p"), t), 1).otherwise(0)).alias(f"t{int(t * 10)}") for t in levels))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"t{int(t * 10)}").alias("n")) for t in levels))).alias("r")).select("r.*")
@@ -114,19 +117,17 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _annotated(spark, sf_dir).select("conv_id", clean_text("annotated").alias("text"), boundaries("annotated").alias("truth"))
-    rows = rule_boundaries(rows, list(DEFAULT))
-    each = rows.select(F.explode(F.transform(characters("text"), lambda c, i: F.struct(F.array_contains("truth", i + 1).cast("int").alias("label"), F.array_contains("bounds", i + 1).cast("int").alias("pred")))).alias("r")).select("r.*")
-    return forest.metrics(each)
+    return forest.metrics_of_bounds(rule_boundaries(rows, list(DEFAULT)), "truth", "bounds")
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = _read(spark, sf_dir, "documents", "doc_id", "lang", "text")
     return corpus_statistics(sentence_spans(rule_boundaries(docs, list(DEFAULT))), "sentence", "lang")
 
 
 def chunked_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    whole = rule_boundaries(docs, list(DEFAULT)).select("doc_id", F.explode("bounds").alias("bound"))
+    whole = exploded(rule_boundaries(docs, list(DEFAULT)).select("doc_id", "bounds"), "bounds", "bound")
     pieces = chunked_boundaries(cut(docs, 1000), list(DEFAULT))
     return whole.select("doc_id", F.col("bound").cast(_L), F.lit(1).alias("s")).unionByName(pieces.select("doc_id", F.col("bound").cast(_L), F.lit(-1).alias("s"))).groupBy("doc_id", "bound").agg(F.sum("s").alias("s")).where("s <> 0").agg(F.count("*").alias("differences"))
 
@@ -135,7 +136,7 @@ def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries of the benchmark by a small forest trained on conversations with known sentences."""
     data = _annotated(spark, sf_dir).select(F.col("annotated").alias("text"))
     made, _ = forest.train(data, forest.PRESETS["small"], trees=8, depth=6)
-    docs = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    docs = _read(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("doc_id"), "text")
     return _longs(forest.forest_boundaries(docs, made).select(F.col("doc_id").alias("item_id"), F.explode("bounds").alias("bound")))
 
 

@@ -11,30 +11,50 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chars import once
 from ..operators.abbreviations import DEFAULT
 from ..operators.segments import sentence_spans
-from ..plans.rules import rule_boundaries
+from ..plans.rules import boundaries, rule_boundaries, spoken_places
 
 REACH = 20
 
 
 def cut(docs: DataFrame, size: int = 10_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, part, offset, text): pieces of at most so many characters."""
-    n = F.length(text)
-    parts = docs.where(n > 0).select(key, text, F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("part"))
-    return parts.select(key, "part", (F.col("part") * size).alias("offset"), F.substring(text, F.col("part") * size + 1, F.lit(size)).alias(text))
+    """(key, part, offset, text, before, after): pieces of at most so many characters with REACH characters before and one after.
 
+    A text is cut in one pass by a regular expression, and the pieces find their
+    surroundings among their neighbours in the same row, so that nothing is shuffled.
+    """
+    whole = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+    row = once(whole, lambda w: F.transform(w, lambda p, i: _with_neighbours(w, p, i, size)))
+    parts = docs.select(key, F.explode(row).alias("_p"))
+    return parts.select(key, "_p.part", "_p.offset", F.col("_p.text").alias(text), "_p.before", "_p.after")
 
-def chunked_boundaries(pieces: DataFrame, abbreviations: list[str] | None = None, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, bound): boundaries of whole documents, found piece by piece."""
+
+def _with_neighbours(all_: Column, piece: Column, i: Column, size: int) -> Column:
+    back = -(-REACH // size)
+    before = F.array_join(F.slice(all_, F.greatest(i + 1 - back, F.lit(1)), F.least(i, F.lit(back))), "")
+    return F.struct(
+        i.alias("part"), (i * size).alias("offset"), piece.alias("text"), F.right(before, F.lit(REACH)).alias("before"), F.coalesce(F.left(F.try_element_at(all_, i + 2), F.lit(1)), F.lit("")).alias("after")
+    )
+
+
+def adjoined(pieces: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pieces (key, part, offset, text) that came without their surroundings, with before and after from their neighbours; one shuffle by document."""
     w = Window.partitionBy(key).orderBy("part")
-    seen = pieces.select(key, "offset", F.right(F.coalesce(F.lag(text).over(w), F.lit("")), F.lit(REACH)).alias("_before"), F.col(text).alias("_own"), F.substring(F.coalesce(F.lead(text).over(w), F.lit("")), 1, 1).alias("_after"))
-    seen = seen.withColumn("_all", F.concat("_before", "_own", "_after"))
-    found = rule_boundaries(seen, abbreviations, threshold, "_all").select(key, "offset", F.length("_before").alias("b"), F.length("_own").alias("n"), F.explode("bounds").alias("at"))
-    return found.where((F.col("at") > F.col("b")) & (F.col("at") <= F.col("b") + F.col("n"))).select(key, (F.col("offset") + F.col("at") - F.col("b")).alias("bound"))
+    back = [F.coalesce(F.lag(text, k).over(w), F.lit("")) for k in range(REACH, 0, -1)]
+    return pieces.withColumns({"before": F.right(F.concat(*back), F.lit(REACH)), "after": F.left(F.coalesce(F.lead(text).over(w), F.lit("")), F.lit(1))})
+
+
+def chunked_boundaries(pieces: DataFrame, abbreviations: list[str] | None = None, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, bound): boundaries of whole documents, found piece by piece; pieces as ``cut`` or ``adjoined`` gives them."""
+    found = boundaries(F.concat("before", text, "after"), abbreviations, threshold)
+    b, n = F.length("before"), F.length(text)
+    own = once(F.struct(found.alias("at"), b.alias("b"), n.alias("n"), "offset"), lambda r: F.transform(F.filter(r["at"], lambda x: (x > r["b"]) & (x <= r["b"] + r["n"])), lambda x: r["offset"] + x - r["b"]))
+    return pieces.select(key, F.explode(own).alias("bound"))
 
 
 def sentence_stream(docs: DataFrame, abbreviations: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -42,35 +62,32 @@ def sentence_stream(docs: DataFrame, abbreviations: list[str] | None = None, thr
     return sentence_spans(rule_boundaries(docs, list(DEFAULT) if abbreviations is None else abbreviations, threshold))
 
 
-def tail_stream(pieces: DataFrame, abbreviations: list[str] | None = None) -> DataFrame:
+def tail_stream(pieces: DataFrame, abbreviations: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, start, end, sentence) from a stream of pieces (doc_id, part, text) that come in order.
 
-    The state of a document is its unfinished sentence and how far it has come; a
-    piece whose text is null ends the document and flushes the rest.
+    The state of a document is its unfinished sentence, where it begins, how much of it
+    was scored, and REACH characters before it; a piece whose text is null ends the document and flushes the
+    rest.  A character waits for the next one, so only its own part of the tail is
+    scored in each step.
     """
-    known = set(DEFAULT if abbreviations is None else abbreviations)
+    known = frozenset(DEFAULT if abbreviations is None else abbreviations)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tail, at = state.get if state.exists else ("", 0)
+        tail, at, done, before = state.get if state.exists else ("", 0, 0, "")
         rows = []
-        for _, piece in pd.concat(list(batches)).sort_values("part").iterrows():
-            last = piece["text"] is None or pd.isna(piece["text"])
-            tail += "" if last else piece["text"]
-            start = 0
-            for i, c in enumerate(tail):
-                if c not in ".!?" or (i + 1 == len(tail) and not last):
-                    continue
-                run = i
-                while run > 0 and (tail[run - 1].isalnum() or tail[run - 1] == "."):
-                    run -= 1
-                if (i + 1 == len(tail) or tail[i + 1] in " \n\t") and not (c == "." and tail[run : i + 1] in known):
-                    rows.append((key[0], at + start, at + i + 1, tail[start : i + 1]))
-                    start = i + 1
-            if last and start < len(tail):
-                rows.append((key[0], at + start, at + len(tail), tail[start:]))
-                start = len(tail)
-            tail, at = tail[start:], at + start
-        state.update((tail, at))
+        got = pd.concat(list(batches)).sort_values("part")
+        last = bool(got["text"].isna().any())
+        tail += "".join(got["text"].dropna())
+        start = 0
+        for end in spoken_places(before + tail, len(before) + done, last, known, threshold):
+            end -= len(before)
+            rows.append((key[0], at + start, at + end, tail[start:end]))
+            start = end
+        if last and start < len(tail):
+            rows.append((key[0], at + start, at + len(tail), tail[start:]))
+            start = len(tail)
+        # the last character is scored when its successor is known
+        state.update((tail[start:], at + start, max(len(tail) - start - 1, 0), (before + tail[:start])[-REACH:]))
         yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "sentence"])
 
-    return pieces.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, start long, end long, sentence string", "tail string, at long", "append", "NoTimeout")
+    return pieces.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, start long, end long, sentence string", "tail string, at long, done long, before string", "append", "NoTimeout")
