@@ -5,17 +5,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import forest
-from .operators.abbreviations import DEFAULT
+from .operators.abbreviations import DEFAULT, from_text, listed
 from .operators.segments import corpus_statistics, paragraph_spans, sentences, tagged
 from .plans.rules import rule_boundaries
 from .plans.search import best_model
-from .sources.files import read_text_file, save_metrics, training_texts
+from .sources.files import read_text_file, save_metrics, training_texts, write_document
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -24,7 +23,8 @@ def _parser() -> argparse.ArgumentParser:
     a = sub.add_parser("analyze")
     a.add_argument("--model", help="folder of a trained model; the fixed rule without one")
     a.add_argument("--input", required=True)
-    a.add_argument("--output", required=True)
+    a.add_argument("--output", help="folder to write to; printed without one")
+    a.add_argument("--abbreviations", help="file of abbreviations, one a line, for the fixed rule")
     a.add_argument("--format", choices=("annotated", "sentences", "paragraphs"), default="annotated")
     a.add_argument("--metrics")
     a.add_argument("--threshold", type=float)
@@ -48,21 +48,32 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _analyze(spark: SparkSession, a: argparse.Namespace) -> None:
-    docs = read_text_file(spark, a.input).withColumn("doc_id", F.xxhash64("text"))
+    docs = read_text_file(spark, a.input).withColumn("doc_id", F.monotonically_increasing_id())
     if a.model:
         bounded = forest.forest_boundaries(docs, forest.load(a.model), threshold=a.threshold)
     else:
-        bounded = rule_boundaries(docs, list(DEFAULT), threshold=0.5 if a.threshold is None else a.threshold)
+        known = listed(from_text(spark, a.abbreviations)) if a.abbreviations else list(DEFAULT)
+        bounded = rule_boundaries(docs, known, threshold=0.5 if a.threshold is None else a.threshold)
     if a.format == "annotated":
-        out = tagged(bounded).select("tagged")
+        out = tagged(bounded).select(F.col("tagged").alias("value"))
     else:
         segments: DataFrame = sentences(bounded).withColumnRenamed("sentence", "s") if a.format == "sentences" else paragraph_spans(bounded).withColumnRenamed("paragraph", "s")
         ordered = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "s"))).alias("all"))
-        out = ordered.select(F.array_join(F.transform("all", lambda x: x["s"]), "\n" if a.format == "sentences" else "\n\n"))
-    out.write.mode("overwrite").text(a.output)
+        out = ordered.select(F.array_join(F.transform("all", lambda x: x["s"]), "\n" if a.format == "sentences" else "\n\n").alias("value"))
+    if a.output:
+        out.write.mode("overwrite").text(a.output)
+    else:
+        for row in out.toLocalIterator():
+            print(row["value"])
     if a.metrics:
-        s, p = corpus_statistics(sentences(bounded), "sentence").first(), corpus_statistics(paragraph_spans(bounded), "paragraph").first()
-        Path(a.metrics).write_text(json.dumps({"sentences": s["n"], "mean_sentence": s["mean_length"], "paragraphs": p["n"], "mean_paragraph": p["mean_length"]}, indent=2))
+        figures = {}
+        if a.format != "paragraphs":
+            s = corpus_statistics(sentences(bounded), "sentence").first()
+            figures |= {"num_sentences": s["n"]} | ({"avg_sentence_length": s["mean_length"] or 0} if a.format == "sentences" else {})
+        if a.format != "sentences":
+            p = corpus_statistics(paragraph_spans(bounded), "paragraph").first()
+            figures |= {"num_paragraphs": p["n"]} | ({"avg_paragraph_length": p["mean_length"] or 0} if a.format == "paragraphs" else {})
+        write_document(spark, json.dumps(figures, indent=2), a.metrics)
 
 
 def _train(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -82,7 +93,7 @@ def _best(spark: SparkSession, a: argparse.Namespace) -> None:
     made, tried = best_model(training_texts(spark, a.data, a.max_samples), held, base=base, **{k: v for k, v in given.items() if v})
     forest.save(made, a.output)
     if a.metrics_file:
-        Path(a.metrics_file).write_text(json.dumps(tried, indent=2))
+        write_document(spark, json.dumps(tried, indent=2), a.metrics_file)
 
 
 def main(argv: list[str] | None = None) -> int:

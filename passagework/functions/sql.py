@@ -1,17 +1,32 @@
-"""SQL names for the functions: temporary functions over the rule."""
+"""SQL names for the engine: temporary functions over the rule at its default threshold."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import SparkSession
 
+from ..operators.abbreviations import DEFAULT
+from ..plans.rules import sentence_end
 
-def register(spark: SparkSession) -> None:
-    """sentence_bounds(text) and split_sentences(text), written in SQL alone."""
-    spark.sql(
-        r"""CREATE OR REPLACE TEMPORARY FUNCTION sentence_bounds(t STRING) RETURNS ARRAY<INT> RETURN
-        filter(transform(split(t, ''), (c, i) -> if(c IN ('.', '!', '?') AND coalesce(try_element_at(split(t, ''), i + 2), ' ') IN (' ', '\n', '\t'), i + 1, null)), x -> x IS NOT NULL)"""
-    )
+
+def register(spark: SparkSession, abbreviations: Sequence[str] = DEFAULT) -> None:
+    """split_sentences(text) and sentence_bounds(text): the sentences of ``sentence_spans`` and the places of ``rule_boundaries``.
+
+    The text is cut once by the expression of its sentence ends; places are sums of
+    lengths in two levels.  Null and empty texts have none of either.
+    """
+    end = sentence_end(abbreviations).replace("\\", "\\\\").replace("'", "\\'")
+    # the last piece is what follows the last boundary
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION split_sentences(t STRING) RETURNS ARRAY<STRING> RETURN filter(split(coalesce(t, ''), '{end}', -1), x -> x <> '')")
+    sizes = f"transform(split(coalesce(t, ''), '{end}', -1), x -> length(x))"
+    total = "aggregate({}, 0, (a, x) -> a + x)".format
+    chunk = "slice(n, c * 64 + 1, 64)"
+    chunks = "sequence(0, cast(floor((size(n) - 1) / 64) as int))"
+    inner = f"transform({chunk}, (x, i) -> element_at(w, c + 1) + {total(f'slice({chunk}, 1, i + 1)')})"
+    starts = f"transform({chunks}, c -> {total('slice(n, 1, c * 64)')})"
+    sums = f"element_at(transform(array({starts}), w -> flatten(transform({chunks}, c -> {inner}))), 1)"
     spark.sql(
-        r"""CREATE OR REPLACE TEMPORARY FUNCTION split_sentences(t STRING) RETURNS ARRAY<STRING> RETURN
-        filter(split(regexp_replace(t, '([.!?])(?=[ \\n\\t]|$)', '$1\u0000'), '\u0000'), x -> x <> '')"""
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION sentence_bounds(t STRING) RETURNS ARRAY<INT> RETURN
+        element_at(transform(array({sizes}), n -> element_at(transform(array({sums}), s -> slice(s, 1, size(s) - 1)), 1)), 1)"""
     )

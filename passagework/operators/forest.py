@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, fields, replace
 from itertools import groupby
 
@@ -173,6 +174,26 @@ class Trees:
         return F.aggregate(votes, F.lit(0.0), lambda a, v: a + v) / F.lit(float(len(self.roots)))
 
 
+def trees_from(nested: Sequence[tuple | float]) -> Trees:
+    """Trees written as (feature, threshold, left, right), where feature <= threshold goes left; a leaf is its probability."""
+    columns: tuple[list, ...] = ([], [], [], [], [])
+
+    def add(node: tuple | float, level: int) -> tuple[int, int]:
+        at = len(columns[0])
+        feature, threshold, value = (node[0], node[1], 0.0) if isinstance(node, tuple) else (-1, 0.0, float(node))
+        for column, v in zip(columns, (feature, threshold, at, at, value), strict=True):
+            column.append(v)
+        deepest = level
+        if isinstance(node, tuple):
+            for side, child in ((2, node[2]), (3, node[3])):
+                columns[side][at], down = add(child, level + 1)
+                deepest = max(deepest, down)
+        return at, deepest
+
+    made = [add(tree, 0) for tree in nested]
+    return Trees(tuple(r for r, _ in made), *map(tuple, columns), max(d for _, d in made))
+
+
 def trees_of(made: Segmenter) -> Trees:
     """The forest of a segmenter as flat arrays; features by their place before selection."""
     rows = _node_rows(made.model)

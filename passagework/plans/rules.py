@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +82,12 @@ def _run_before(text: str, i: int) -> str:
 
 
 _MARK = re.compile("[" + "".join(CANDIDATES) + "]")
+def sentence_end(abbreviations: Sequence[str]) -> str:
+    """A regular expression of the empty place after every boundary at the default threshold."""
+    known = "|".join(re.escape(a) for a in abbreviations if a.endswith("."))
+    return r"(?<=[.!?])" + (rf"(?<!(?<![\p{{L}}\p{{N}}.])(?:{known}))" if known else "") + r"(?=[ \n\t]|\z)"
+
+
 _RUN = r"[\p{L}\p{N}.]*\z"
 
 

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.chars import BULLETS, CANDIDATES, LIST_INTROS, LIST_MARKERS, candidate_positions, characters, encode, encode_one_hot, exploded, surroundings
-from .functions.features import FLAGS, flags, window
+from .functions.chars import BULLETS, CANDIDATES, LIST_INTROS, LIST_MARKERS, candidate_positions, characters, encode, encode_one_hot, exploded, once, surroundings
+from .functions.features import FLAGS, flags, window, with_features
 from .functions.labels import annotate, boundaries, clean_text
+from .functions import sql
 from .operators import forest
 from .operators.abbreviations import DEFAULT
 from .operators.segments import corpus_statistics, paragraph_spans, sentence_spans, sentences, tagged
 from .plans.rules import passes, rule_boundaries, scored
+from .plans.search import best_model
 from .streaming.chunks import chunked_boundaries, cut
 
 _L, _I = "long", "int"
@@ -132,12 +135,99 @@ def chunked_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("doc_id", F.col("bound").cast(_L), F.lit(1).alias("s")).unionByName(pieces.select("doc_id", F.col("bound").cast(_L), F.lit(-1).alias("s"))).groupBy("doc_id", "bound").agg(F.sum("s").alias("s")).where("s <> 0").agg(F.count("*").alias("differences"))
 
 
+#: A forest of four trees over windows of three characters on both sides and the flags, fitted once on conversations.
+SAMPLE_CONFIG = forest.Config(left=3, right=3, trees=4, depth=4, mode="full")
+SAMPLE_TREES = (
+    (11, 0.5, (8, 0.5, 0.0, (0, 146.0, (2, 139.5, 0.7233, 0.0), 0.9041)), 0.0),
+    (11, 0.5, (4, 0.0, (2, 136.5, (5, -2.5, 0.9252, 0.0), (5, -2.5, 0.9742, 0.0)), (1, 23.5, 0.9049, (5, 9.5, 0.7486, 0.0))), 0.0),
+    (8, 0.5, 0.0, (6, -2.5, (4, -1.5, (6, -3.5, 0.0, 0.9771), 1.0), (6, 5.5, 0.7641, (5, 19.5, 0.6625, 0.2586)))),
+    (6, -2.5, (5, -2.5, (11, 0.5, 0.9973, 0.0), (2, 0.0, 0.0, (3, 0.0, 0.8792, 0.0))), (8, 0.5, 0.0, (5, 19.5, 0.6774, (6, 12.5, 0.1985, 0.7149)))),
+)
+
+
+def _by_forest(docs: DataFrame, threshold: float | None = None) -> DataFrame:
+    return docs.withColumn("bounds", forest.boundaries(SAMPLE_CONFIG, forest.trees_from(SAMPLE_TREES), threshold))
+
+
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries of all documents by the sample forest."""
+    return _longs(exploded(_by_forest(_documents(spark, sf_dir)).select("doc_id", "bounds"), "bounds", "bound").drop("bounds"))
+
+
+def forest_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every candidate of the pages by the sample forest, row by row as training sees it."""
+    rows = with_features(surroundings(_pages(spark, sf_dir), "text", False, 3, 3, "full"), list(DEFAULT), 3, 3)
+    return _longs(rows.select("page_id", "pos", F.round(once(F.col("features"), forest.trees_from(SAMPLE_TREES).probability), 9).alias("p")))
+
+
+def forest_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the sample forest over conversations with known sentences."""
+    rows = _annotated(spark, sf_dir).select(clean_text("annotated").alias("text"), boundaries("annotated").alias("truth"))
+    return forest.metrics_of_bounds(_by_forest(rows), "truth", "bounds")
+
+
+def forest_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence spans of all documents by the sample forest, at a threshold of its own."""
+    return _longs(sentence_spans(_by_forest(_documents(spark, sf_dir), 0.4)).select("doc_id", "ord", "start", "end"))
+
+
+def training_rows(rate: float) -> Callable[[SparkSession, str], DataFrame]:
+    """Sums of the window's codes over the characters that train, by label and place in the window."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = _annotated(spark, sf_dir).select(F.col("annotated").alias("text"))
+        rows = forest.training_rows(data, forest.Config(left=2, right=2, sample_rate=rate))
+        return _longs(rows.select("label", F.posexplode(F.slice("features", 1, 5)).alias("k", "code")).groupBy("label", "k").agg(F.count("*").alias("n"), F.sum("code").alias("codes")))
+
+    return query
+
+
+def _small(**changes) -> forest.Config:
+    return replace(forest.PRESETS["small"], trees=8, depth=6, **changes)
+
+
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _annotated(spark, sf_dir).select(F.col("annotated").alias("text"))
+
+
+def forest_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries of the benchmark by a small forest trained on conversations with known sentences."""
-    data = _annotated(spark, sf_dir).select(F.col("annotated").alias("text"))
-    made, _ = forest.train(data, forest.PRESETS["small"], trees=8, depth=6)
-    docs = _read(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("doc_id"), "text")
-    return _longs(forest.forest_boundaries(docs, made).select(F.col("doc_id").alias("item_id"), F.explode("bounds").alias("bound")))
+    made, _ = forest.train(_training(spark, sf_dir), _small())
+    docs = _read(spark, sf_dir, "benchmark", "item_id", "text")
+    return _longs(exploded(forest.forest_boundaries(docs, made).select("item_id", "bounds"), "bounds", "bound").drop("bounds"))
+
+
+def forest_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every feature of a forest trained on conversations."""
+    made, _ = forest.train(_training(spark, sf_dir), _small())
+    return spark.createDataFrame(list(forest.importances(made).items()), "feature long, importance double")
+
+
+def forest_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that selection keeps, by rank, with their importance in the forest fitted on them."""
+    made, _ = forest.train(_training(spark, sf_dir), _small(model_type="feature_selected_rf", max_features=6))
+    kept = forest.importances(made)
+    return spark.createDataFrame([(k, f, kept[f]) for k, f in enumerate(made.selected)], "rank long, feature long, importance double")
+
+
+def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of every combination of a small search over windows, depths and thresholds."""
+    _, tried = best_model(_training(spark, sf_dir), None, (3, 5), (3,), (4,), (4, 6), (0.3, 0.5), forest.Config(sample_rate=0.01))
+    names = ("left", "right", "trees", "depth", "threshold", "accuracy", "precision", "recall", "f1_score")
+    return spark.createDataFrame([tuple(t[n] for n in names) for t in tried], "left long, right long, trees long, depth long, threshold double, accuracy double, precision double, recall double, f1_score double")
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered SQL functions over the pages."""
+    sql.register(spark)
+    told = _pages(spark, sf_dir).selectExpr("page_id", "split_sentences(text) AS sentence", "sentence_bounds(text) AS bound")
+    return _longs(told.select("page_id", F.posexplode(F.arrays_zip("sentence", "bound")).alias("ord", "s")).select("page_id", "ord", "s.sentence", "s.bound"))
+
+
+def document_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window features of every candidate of all documents, counted by place in the window and code."""
+    rows = surroundings(_documents(spark, sf_dir), mode="full").select(F.posexplode(window(5, 5)).alias("k", "code"))
+    return _longs(rows.groupBy("k", "code").agg(F.count("*").alias("n")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -145,6 +235,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_flags": page_flags, "label_positions": label_positions, "annotate_roundtrip": annotate_roundtrip, "rule_boundaries": rule_bounds, "sentence_spans": spans, "nonblank_sentence_spans": nonblank_spans,
     "segment_text_tagged": segment_tagged, "sentences_list": sentence_list, "paragraph_spans": conversation_paragraphs, "threshold_sweep": threshold_sweep, "evaluation_metrics": evaluation_metrics,
     "corpus_stats_by_lang": corpus_stats, "chunked_equals_unchunked": chunked_difference, "forest_scores": forest_scores,
+    "forest_probabilities": forest_probabilities, "forest_evaluation": forest_evaluation, "forest_sentences": forest_sentences, "training_rows_rate0": training_rows(0.0), "training_rows_rate1": training_rows(1.0),
+    "forest_trained": forest_trained, "forest_importances": forest_importances, "forest_selected": forest_selected, "grid_search": grid_search, "sql_functions": sql_functions,
+    "document_windows": document_windows,
 }
 
 
@@ -171,9 +264,21 @@ def _spread(table: str, key: str, text: str = "text") -> str:
     return f"SELECT k, unnest(range(len(l))) AS pos, unnest(l) AS c, unnest(l[2:] || ['']) AS nx FROM (SELECT {key} AS k, string_split({text}, '') AS l FROM {table} WHERE length({text}) > 0)"
 
 
-_CODE = f"""CASE WHEN regexp_matches(c, '^\\p{{L}}') THEN unicode(lower(c)) - 96 WHEN regexp_matches(c, '^\\p{{Nd}}') THEN 0
- WHEN c IN {_in([x for x in CANDIDATES if x not in chr(10) + chr(13)])} THEN -1 WHEN c IN (chr(10), chr(13)) THEN -2
- WHEN c IN (' ', chr(9), chr(160)) THEN -3 WHEN regexp_matches(c, '^{_PUNCT}') THEN -4 ELSE -5 END"""
+#: Digits that are no decimal digits: first and last of each run of code points.
+_OTHER_DIGITS = (
+    (0xB2, 0xB3), (0xB9, 0xB9), (0x1369, 0x1371), (0x19DA, 0x19DA), (0x2070, 0x2070), (0x2074, 0x2079), (0x2080, 0x2089), (0x2460, 0x2468), (0x2474, 0x247C), (0x2488, 0x2490), (0x24EA, 0x24EA),
+    (0x24F5, 0x24FD), (0x24FF, 0x24FF), (0x2776, 0x277E), (0x2780, 0x2788), (0x278A, 0x2792), (0x10A40, 0x10A43), (0x10E60, 0x10E68), (0x11052, 0x1105A), (0x1F100, 0x1F10A),
+)
+
+
+def _code(c: str) -> str:
+    digits = " OR ".join(f"unicode({c}) BETWEEN {a} AND {b}" for a, b in _OTHER_DIGITS)
+    return f"""CASE WHEN regexp_matches({c}, '^\\p{{L}}') THEN unicode(lower({c})) - 96 WHEN regexp_matches({c}, '^\\p{{Nd}}') OR (unicode({c}) > 127 AND ({digits})) THEN 0
+ WHEN {c} IN {_in([x for x in CANDIDATES if x not in chr(10) + chr(13)])} THEN -1 WHEN {c} IN (chr(10), chr(13)) THEN -2
+ WHEN {c} IN (' ', chr(9), chr(160)) THEN -3 WHEN regexp_matches({c}, '^{_PUNCT}') AND unicode({c}) NOT IN (1418, 9002, 69293) THEN -4 ELSE -5 END"""
+
+
+_CODE = _code("c")
 
 
 def _rule(table: str, key: str, text: str = "text") -> str:
@@ -204,7 +309,8 @@ def _conj(a: str) -> str:
     return " OR ".join(f"(instr({a}, {_q(c)}) - 1 BETWEEN 1 AND 4 AND substr({a}, instr({a}, {_q(c)}) - 1, 1) IN (';', ','))" for c in (" and ", " or ", " and/or ", " as well as "))
 
 
-def _page_flags() -> str:
+def _page_flags(table: str = "pages", key: str = "page_id", text: str = "html", more: str = "") -> str:
+    """The flags of every candidate; more: further columns from l (the characters), pos and c."""
     low = "regexp_matches(nx, '^\\p{Ll}')"
     b20, a20 = "array_to_string(l[greatest(pos - 19, 1):pos], '')", "array_to_string(l[pos + 1:pos + 20], '')"
     b50, a50 = "array_to_string(l[greatest(pos - 49, 1):pos], '')", "array_to_string(l[pos + 1:pos + 50], '')"
@@ -213,10 +319,10 @@ def _page_flags() -> str:
     edge = "(c IN ('.', ',', ';', ':', '(', ')', '[', ']') OR pv IN ('.', ',', ';', ':', '(', ')') OR nx IN ('.', ',', ';', ':', '(', ')', '[', ']'))"
     typical = f"(c <> '' AND contains('()0123456789abcdefghijklmnopqrstuvwxyz.{BULLETS}', c))"
     inner = "(pos > 0 AND pos < len(l) - 1 AND (c IN ('.', ',', ';', ':') OR pv IN ('.', ',', ';', ':')))"
-    return f"""WITH s AS (SELECT page_id, l, pos, l[pos + 1] AS c, CASE WHEN pos > 0 THEN l[pos] ELSE '' END AS pv, CASE WHEN pos + 2 <= len(l) THEN l[pos + 2] ELSE '' END AS nx FROM (
- SELECT page_id, l, unnest(list_filter(range(len(l)), lambda i: l[i + 1] IN {_CAND})) AS pos FROM (SELECT page_id, string_split(html, '') AS l FROM pages WHERE length(html) > 0))),
+    return f"""WITH s AS (SELECT {key}, l, pos, l[pos + 1] AS c, CASE WHEN pos > 0 THEN l[pos] ELSE '' END AS pv, CASE WHEN pos + 2 <= len(l) THEN l[pos + 2] ELSE '' END AS nx FROM (
+ SELECT {key}, l, unnest(list_filter(range(len(l)), lambda i: l[i + 1] IN {_CAND})) AS pos FROM (SELECT {key}, string_split({text}, '') AS l FROM {table} WHERE length({text}) > 0))),
 w AS (SELECT *, {b20} AS b20, {a20} AS a20, {b50} AS b50, {a50} AS a50 FROM s)
-SELECT page_id, pos,
+SELECT {key}, pos,{more}
  CAST(c = '.' AND regexp_extract({b50} || c, '[\\p{{L}}\\p{{N}}.]*$') IN ({abbr}) AS BIGINT) AS abbreviation,
  CAST(CASE WHEN c IN ('.', '!', '?') THEN 1 WHEN c IN (chr(10), chr(13)) THEN 0 ELSE -1 END AS BIGINT) AS terminator,
  CAST(CASE WHEN c NOT IN ('"', '“', '”', '''', '‘', '’') THEN 1 WHEN {quotes["s"]} % 2 = 0 AND {quotes["o"]} = {quotes["e"]} AND {quotes["i"]} % 2 = 0 AND {quotes["io"]} = {quotes["ie"]} THEN 1 ELSE 0 END AS BIGINT) AS balanced,
@@ -229,6 +335,55 @@ SELECT page_id, pos,
 FROM w"""
 
 
+def _tree_sql(node: tuple | float) -> str:
+    if not isinstance(node, tuple):
+        return repr(float(node))
+    return f"CASE WHEN f[{node[0] + 1}] <= {node[1]} THEN {_tree_sql(node[2])} ELSE {_tree_sql(node[3])} END"
+
+
+def _forest_sql(table: str, key: str, text: str = "text") -> str:
+    """key, pos and p of every candidate by the sample forest."""
+    at = [f"(CASE WHEN pos + 1 + {k} BETWEEN 1 AND len(l) THEN l[pos + 1 + {k}] END)" for k in range(-3, 4)]
+    codes = ", ".join(f"coalesce(CASE WHEN {c} IS NOT NULL THEN {_code(c)} END, -3)" for c in at)
+    flags_ = _page_flags(table, key, text, f" [{codes}] AS win,")
+    mean = " + ".join(f"({_tree_sql(t)})" for t in SAMPLE_TREES)
+    return f"SELECT {key}, pos, ({mean}) / {len(SAMPLE_TREES)} AS p FROM (SELECT {key}, pos, list_concat(win, [{', '.join(FLAGS)}]) AS f FROM ({flags_}))"
+
+
+def _training_sql(where: str) -> str:
+    table = _TURNS.replace("{sep}", "")
+    return f"""WITH e AS (SELECT k, pos, c, CAST({_CODE} AS BIGINT) AS code FROM ({_spread(table, "conv_id")})), b AS (SELECT k, bound FROM ({_TRUTH}) WHERE bound > 0),
+r AS (SELECT e.k, e.pos, CASE WHEN b.k IS NULL THEN 0 ELSE 1 END AS label FROM e LEFT JOIN b ON b.k = e.k AND b.bound = e.pos + 1 WHERE {where})
+SELECT CAST(r.label AS BIGINT) AS label, o.k AS k, CAST(count(*) AS BIGINT) AS n, CAST(sum(coalesce(e.code, -3)) AS BIGINT) AS codes
+ FROM r, (SELECT unnest(range(5)) AS k) o LEFT JOIN e ON e.k = r.k AND e.pos = r.pos + o.k - 2 GROUP BY 1, 2"""
+
+
+def _sentences_sql() -> str:
+    """Lists of sentences: cut at tags, lone quotes given to a neighbour step by step."""
+    lone = lambda x: f"regexp_full_match({x}, '{_WS}*\"{_WS}*')"
+    first = f"(right(arr[i], 1) = '\"' AND i + 2 <= len(arr) AND {lone('arr[i + 1]')})"
+    second = lone("arr[i]")
+    segments = _segments("pages", "page_id", "html")
+    return f"""WITH RECURSIVE s AS (SELECT s.k, s.ord, substr(t, "start" + 1, "end" - "start") AS piece, CASE WHEN "end" < length(t) AND right(substr(t, "start" + 1, "end" - "start"), 1) = '"' AND substr(t, "end" + 1, 1) NOT IN (' ', chr(10), chr(9)) THEN 0 ELSE 1 END AS cut FROM ({segments}) s),
+g AS (SELECT k, ord, piece, coalesce(sum(cut) OVER (PARTITION BY k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM s),
+p AS (SELECT k, part, string_agg(piece, '' ORDER BY ord) AS piece FROM g GROUP BY k, part),
+a AS (SELECT k, list(piece ORDER BY part) AS arr FROM p WHERE piece <> '' GROUP BY k),
+r AS (SELECT k, arr, 1 AS i FROM a UNION ALL
+ SELECT k, CASE WHEN {first} THEN list_concat(arr[1:i], ['" ' || arr[i + 2]], arr[i + 3:]) WHEN {second} THEN list_concat(arr[1:i - 1], [arr[i] || arr[i + 1]], arr[i + 2:]) ELSE arr END,
+  CASE WHEN {first} OR {second} THEN i ELSE i + 1 END FROM r WHERE i < len(arr)),
+z AS (SELECT k, arr FROM r WHERE i >= len(arr))
+SELECT k AS page_id, CAST(o AS BIGINT) AS ord, arr[o + 1] AS sentence FROM (SELECT k, arr, unnest(range(len(arr))) AS o FROM z)"""
+
+
+_TURN_TEXT = _TURNS.replace("{sep}", "")
+
+
+def _forest_spans() -> str:
+    return f"""SELECT d.doc_id, unnest(range(len(b) - 1)) AS ord, unnest(b[1:len(b) - 1]) AS "start", unnest(b[2:]) AS "end" FROM (
+ SELECT x.doc_id, list_sort(list_distinct(list_concat([0, length(x.text)], coalesce(r.b, [])))) AS b FROM (SELECT doc_id, text FROM documents WHERE length(text) > 0) x
+ LEFT JOIN (SELECT doc_id, list(pos + 1) AS b FROM ({_forest_sql("documents", "doc_id")}) WHERE p >= 0.4 GROUP BY doc_id) r ON x.doc_id = r.doc_id) d"""
+
+
 SQL: dict[str, str] = {
     "candidate_positions": f"SELECT k AS doc_id, pos FROM ({_spread('documents', 'doc_id')}) WHERE c IN {_CAND}",
     "candidate_counts": f"SELECT doc_id, CAST(len(list_filter(string_split(coalesce(text, ''), ''), lambda c: c IN {_CAND})) AS BIGINT) AS n FROM documents",
@@ -258,5 +413,18 @@ c AS (SELECT (SELECT count(*) FROM a JOIN p USING (k, bound)) AS tp, (SELECT cou
 SELECT (n - (pp - tp) - (tt - tp)) / n AS accuracy, tp / pp AS "precision", tp / tt AS recall, 2 * tp / (pp + tt) AS f1_score, tp / (pp + tt - tp) AS boundary_accuracy, true AS binary_mode FROM c""",
     "corpus_stats_by_lang": f"""SELECT lang, CAST(count(*) AS BIGINT) AS n, avg("end" - "start") AS mean_length FROM ({_segments("documents", "doc_id", more=", lang")}) GROUP BY lang""",
     "chunked_equals_unchunked": "SELECT CAST(0 AS BIGINT) AS differences",
+    "forest_scores": f"SELECT doc_id, pos + 1 AS bound FROM ({_forest_sql('documents', 'doc_id')}) WHERE p > 0.5",
+    "forest_probabilities": f"SELECT page_id, pos, round(p, 9) AS p FROM ({_forest_sql('pages', 'page_id', 'html')})",
+    "forest_sentences": _forest_spans(),
+    "forest_evaluation": f"""WITH t AS (SELECT conv_id, text FROM {_TURN_TEXT}), a AS (SELECT k, bound FROM ({_TRUTH}) WHERE bound > 0), p AS (SELECT conv_id AS k, pos + 1 AS bound FROM ({_forest_sql(_TURN_TEXT, "conv_id")}) WHERE p > 0.5),
+c AS (SELECT (SELECT count(*) FROM a JOIN p USING (k, bound)) AS tp, (SELECT count(*) FROM p) AS pp, (SELECT count(*) FROM a) AS tt, (SELECT sum(length(text)) FROM t) AS n)
+SELECT (n - (pp - tp) - (tt - tp)) / n AS accuracy, tp / pp AS "precision", tp / tt AS recall, 2 * tp / (pp + tt) AS f1_score, tp / (pp + tt - tp) AS boundary_accuracy, true AS binary_mode FROM c""",
+    "training_rows_rate0": _training_sql(f"b.k IS NOT NULL OR e.c IN {_CAND}"),
+    "training_rows_rate1": _training_sql("true"),
+    "sentences_list": _sentences_sql(),
+    "sql_functions": f"""SELECT k AS page_id, ord, substr(t, "start" + 1, "end" - "start") AS sentence, CASE WHEN e IS NOT NULL THEN "end" END AS bound FROM ({_segments("pages", "page_id", "html")}) s
+ LEFT JOIN (SELECT k AS rk, pos + 1 AS e FROM ({_rule("pages", "page_id", "html")}) WHERE p > 0.5) r ON r.rk = s.k AND r.e = s."end\"""",
+    "document_windows": f"""WITH e AS (SELECT k, pos, c, CAST({_CODE} AS BIGINT) AS code FROM ({_spread("documents", "doc_id")}))
+SELECT o.k AS k, coalesce(e.code, -3) AS code, CAST(count(*) AS BIGINT) AS n FROM (SELECT k, pos FROM e WHERE c IN {_CAND}) p, (SELECT unnest(range(11)) AS k) o LEFT JOIN e ON e.k = p.k AND e.pos = p.pos + o.k - 5 GROUP BY 1, 2""",
 }
 assert len(FLAGS) == 8

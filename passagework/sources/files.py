@@ -1,22 +1,29 @@
-"""Files of texts, JSON lines, metrics and models.  Parquet, CSV, ORC and JDBC come with Spark."""
+"""Files of texts, JSON lines, metrics and models.  Parquet, CSV, ORC and JDBC come with Spark.
+
+Paths are those of Spark, on any file system that the session knows.
+"""
 
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def training_texts(spark: SparkSession, data: str | list[str], max_samples: int | None = None) -> DataFrame:
-    """(text) from a list, a .jsonl.gz file (records with text; bad lines are skipped) or a plain file (lines with their ends)."""
+    """(text) from a list, a .jsonl.gz file (records with text; bad lines are skipped) or a plain file (lines with their ends).
+
+    The last line of a plain file has an end only if it has one there.
+    """
     if not isinstance(data, str):
         rows = spark.createDataFrame([(t,) for t in data], "text string")
     elif data.endswith(".jsonl.gz"):
         rows = spark.read.schema("text string, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(data).where("text is not null").select("text")
     else:
-        rows = spark.read.text(data, lineSep="\n").select(F.concat("value", F.lit("\n")).alias("text"))
+        # a file is read whole, as a line does not know whether it was the last
+        whole = spark.read.text(data, wholetext=True)
+        rows = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))).alias("text"))
     return rows.limit(max_samples) if max_samples is not None else rows
 
 
@@ -32,23 +39,37 @@ def save_jsonl(rows: DataFrame, path: str, compress: bool = True) -> None:
     rows.write.mode("overwrite").option("compression", "gzip" if compress else "none").json(path)
 
 
-def read_text_file(spark: SparkSession, path: str) -> DataFrame:
-    """(text) of whole files, one row each."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
+def read_text_file(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """(text) of whole files, one row each; encodings are those of Spark's decode."""
+    if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
+        return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
+    return spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("text"))
+
 
+def write_text_file(rows: DataFrame, path: str, column: str = "text", encoding: str = "utf-8") -> None:
+    """One line per row, in a folder of part files."""
+    rows.select(column).write.mode("overwrite").option("encoding", encoding).csv(path, quote="", escape="", sep="\x01", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
-def write_text_file(rows: DataFrame, path: str, column: str = "text") -> None:
-    rows.select(column).write.mode("overwrite").text(path)
+
+def evaluation_texts(spark: SparkSession, data: str | list[str], max_samples: int | None = None) -> DataFrame:
+    """Annotated texts to evaluate on, read as ``training_texts`` are."""
+    return training_texts(spark, data, max_samples)
 
 
 def save_metrics(metrics: DataFrame, path: str) -> None:
-    """One row of figures as indented JSON, on the driver."""
-    Path(path).write_text(json.dumps(metrics.first().asDict(), indent=2))
+    """One row of figures as indented JSON, in a folder."""
+    write_document(metrics.sparkSession, json.dumps(metrics.first().asDict(), indent=2), path)
+
+
+def write_document(spark: SparkSession, document: str, path: str) -> None:
+    """A short document as one part file of a folder; replaces what was there."""
+    spark.createDataFrame([(document,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def registered(models: str, name: str) -> str:
-    """Folder of a named model below a local folder of models."""
-    path = Path(models) / name
-    if not path.exists():
+def registered(spark: SparkSession, models: str, name: str) -> str:
+    """Folder of a named model below a folder of models."""
+    path = f"{models.rstrip('/')}/{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         raise FileNotFoundError(f"no model {name!r} in {models}")
-    return str(path)
+    return path
