@@ -13,12 +13,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names, or a temporary one in tests."""
+    """Folder that driver and executors share: the one that the session names in spark.checkpoint.dir.
+
+    Where it names none, only a local master may go on, with a temporary folder of its own.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="passagework-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="passagework-"))
-    return named or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -85,6 +85,12 @@ def _visit(home: Column, tag: int):
     return lambda a: F.struct((a + F.lit(tag).cast("long")).alias("anchor"), (a == home).alias("home"))
 
 
+def homes(prints: DataFrame) -> DataFrame:
+    """(anchor) of the home of each half of the distinct fingerprints fp."""
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned("fp", 32)
+    return prints.select(F.explode(F.array(_anchors(low)[0], _anchors(high)[0] + F.lit(1 << 32).cast("long"))).alias("anchor"))
+
+
 def visits(prints: DataFrame) -> DataFrame:
     """(anchor, fp, home) for the distinct fingerprints fp: each anchor that one visits, home for its nearest."""
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
@@ -166,8 +172,11 @@ def links(prints: DataFrame, bits: int = 3, chunk: int = 4096) -> DataFrame:
     """
     if bits > 3:
         raise ValueError("the covering holds for thresholds up to 3 bits")
+    # a fingerprint becomes many visits, so the fingerprints are dealt over the cores first
+    prints = prints.repartition(max(prints.sparkSession.sparkContext.defaultParallelism, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
     spread = visits(prints)
-    crowded = spread.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    # anchors with many homes, counted from each fingerprint's own two
+    crowded = homes(prints).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     spread = spread.join(crowded, "anchor", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     spread = spread.select("anchor", "fp", "home", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))

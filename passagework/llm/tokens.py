@@ -8,6 +8,7 @@ points.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,6 +31,23 @@ def blocks(texts: Sequence[str | None], limit: int = BLOCK) -> Iterator[tuple[in
         yield first, held
 
 
+def split(text: str, limit: int = BLOCK) -> Iterator[str]:
+    """The text in pieces of at most about limit code points, cut at white space, so that no word is cut.
+
+    A run without white space that is longer than the limit is cut inside.
+    """
+    at = 0
+    while len(text) - at > limit:
+        found = _SPACE.search(text, at + limit // 2, at + limit)
+        cut = found.end() if found else at + limit
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+_SPACE = re.compile(r"\s")
+
+
 def codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts with a line feed after each, and the offsets of texts (one more than texts)."""
     joined = "\n".join(texts) + "\n"

@@ -411,3 +411,69 @@ def test_pipeline(spark):
     bench = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     left = {i for i, t in left.items() if not any(b in " ".join(t.lower().split()) for b in bench)}
     assert kept == left
+
+
+def test_toxicity_models_are_kneser_ney(spark):
+    """Both classes' probabilities against plain Python, each summing to 1 over the words; and both ways of delivery."""
+    r = random.Random(21)
+    vocabulary = [a + b for a in "abcdef" for b in "ghij"]
+    rows = [(" ".join(r.choice(vocabulary[: 12 if y and r.random() < 0.5 else 24]) for _ in range(r.randint(1, 12))), y, int(i % 3 > 0)) for i in range(160) for y in [int(i % 4 == 0)]]
+    table = toxicity.gather(spark.createDataFrame(rows, "text string, y int, part int")).persist()
+    discount, factor = 2.0, 1.5
+    counts, _ = toxicity.counts_of(table, ("b",), discount)
+    model = toxicity.kneser_ney(counts, discount, factor)
+    pair = [Counter(), Counter()]
+    for text, y, part in rows:
+        w = text.split()
+        if part:
+            pair[y].update(set(zip(["^", *w], w, strict=False)))
+    types = Counter(w for _, w in {*pair[0], *pair[1]})
+    n = [sum(p.values()) for p in pair]
+    over = [discount * x / min(n) for x in n]
+    uni = [Counter(), Counter()]
+    for c in (0, 1):
+        for (_, w), k in pair[c].items():
+            uni[c][w] += k
+    s = {w: types[w] / sum(types.values()) for w in types}
+    g = [{w: max(uni[c][w] - over[c], 0) / n[c] for w in types} for c in (0, 1)]
+    left = max(1 - sum(g[c].values()) for c in (0, 1))
+    h = {w: max(uni[0][w] + uni[1][w] - sum(over), 0) / sum(n) for w in types}
+    q = {w: h[w] + (1 - sum(h.values())) * s[w] for w in types}
+    for w in types:
+        if abs(math.log((g[1][w] + left * s[w]) / (g[0][w] + left * s[w]))) < math.log(factor):
+            g[0][w] = g[1][w] = 0
+    p = [{w: g[c][w] + (1 - sum(g[c].values())) * q[w] for w in types} for c in (0, 1)]
+    assert all(abs(sum(x.values()) - 1) < 1e-9 for x in p)
+    contexts = {v for v, _ in {*pair[0], *pair[1]}}
+    f = [{}, {}]
+    for c in (0, 1):
+        total = Counter()
+        for (v, _), k in pair[c].items():
+            total[v] += k
+        for v, w in {*pair[0], *pair[1]}:
+            f[c][v, w] = max(pair[c][v, w] - over[c], 0) / total[v] if total[v] else 0.0
+    summed = lambda fs, v: sum(x for (a, _), x in fs.items() if a == v)
+    ratio = lambda fs, v, w: math.log((fs[1].get((v, w), 0) + (1 - summed(fs[1], v)) * p[1][w]) / (fs[0].get((v, w), 0) + (1 - summed(fs[0], v)) * p[0][w]))
+    told = {(v, w) for v, w in f[0] if f[0][v, w] + f[1][v, w] > 0 and abs(ratio(f, v, w) - math.log(p[1][w] / p[0][w])) >= math.log(factor)}
+    final = [{k: x for k, x in f[c].items() if k in told} for c in (0, 1)]
+    for c in (0, 1):
+        for v in contexts:
+            assert abs(sum(final[c].get((v, w), 0) + (1 - summed(final[c], v)) * p[c][w] for w in types) - 1) < 1e-9
+    sent = toxicity.Sent.of(model)
+    assert len(sent.keys[1]) and len(sent.keys[2])
+    for text, *_ in rows:
+        w = text.split()
+        want = sum(ratio(final, a, b) for a, b in zip(["^", *w], w, strict=False)) / len(w) if all(x in types for x in w) else None
+        got, k = toxicity._normalised(text, [sent])
+        assert k == len(w) and (want is None or abs(got[0] - want) < 1e-9)
+    texts = spark.createDataFrame([(t,) for t, *_ in rows] + [("",), (None,)], "text string")
+    far = {x.text: x.m for x in toxicity._joined(texts, [model]).collect()}
+    assert all(abs(far[t].x[0] - toxicity._normalised(t, [sent])[0][0]) < 1e-9 for t, *_ in rows) and not far[""]
+
+
+def test_long_texts_in_pieces():
+    r = random.Random(22)
+    text = " ".join("".join(r.choice("abcdef") for _ in range(r.randint(1, 9))) for _ in range(3000)) + "x" * 3000
+    for limit in (50, 1000, 10**6):
+        pieces = list(tokens.split(text, limit))
+        assert "".join(pieces) == text and max(map(len, pieces)) <= max(limit, 1)
