@@ -9,17 +9,19 @@ alignment, which gives the least number of edits of the whole passage.
 
 Characters are compared in lower case, with runs of white space as one space.
 The benchmark travels to the tasks in blocks of bounded size; a benchmark of many
-blocks makes one pass over the documents for each.
+blocks makes one pass over the documents for each, and only one block is held at once.
+Very long texts are searched in pieces that overlap by all that a passage can take up.
 
-Defined results: null and empty texts hold nothing; passages that are null or shorter
-than q characters are not searched for, and passages too short for their edit budget
-get the largest budget that the lemma can bound.  Passages that repeat under several
+Defined results: null and empty texts hold nothing; null and blank passages are not
+searched for, passages shorter than q characters are found where they stand exactly
+and no letter or digit touches them, and passages too short for their edit budget get the largest budget that the lemma can bound.  Passages that repeat under several
 item ids are each reported.  An empty benchmark leaves every document clean.  Other
 columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fresh
+from .common import fresh, scratch, small_or_shuffled
 
 Q = 8
 HITS = "array<struct<item_id: long, start: long, end: long, edits: int>>"
@@ -58,6 +60,10 @@ def _plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low[at], at, np.searchsorted(at, offsets)
 
 
+def _written(code: np.ndarray) -> str:
+    return code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 @dataclass(frozen=True)
 class Index:
     """A block of the benchmark: sorted q-gram hashes with (item, position) postings, and the passages."""
@@ -70,14 +76,23 @@ class Index:
     budget: np.ndarray
     bound: np.ndarray
     ids: np.ndarray
+    short: dict[str, list[int]]
+
+    @property
+    def reach(self) -> int:
+        """Compared characters that a passage with its edits can take up."""
+        return max([int((self.budget * 2 + [len(p) for p in self.passages]).max()) + 8 if self.passages else 0, Q + 2])
 
 
 def build(rows: list[tuple[int, str]], rate: float) -> Index | None:
     ids, passages, hashes, item, position = [], [], [], [], []
+    short: dict[str, list[int]] = {}
     for i, text in rows:
         code, _, _ = _plain([text.strip()])
         code = code[:-1]
         if len(code) < Q:
+            if len(code):
+                short.setdefault(_written(code), []).append(i)
             continue
         h = tokens.gram_hashes(code, Q)
         hashes.append(h)
@@ -85,15 +100,16 @@ def build(rows: list[tuple[int, str]], rate: float) -> Index | None:
         position.append(np.arange(len(h)))
         ids.append(i)
         passages.append(code)
-    if not ids:
+    if not ids and not short:
         return None
-    h = np.concatenate(hashes)
+    h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+    item, position = (np.concatenate(a) if a else np.zeros(0, dtype=np.int64) for a in (item, position))
     order = np.argsort(h, kind="stable")
-    n = np.array([len(p) for p in passages])
+    n = np.array([len(p) for p in passages], dtype=np.int64)
     budget = np.maximum(0, np.minimum((n * rate).astype(int), (n - Q) // Q))
     slots = np.zeros(1 << _SLOTS, dtype=bool)
     slots[h >> np.uint64(64 - _SLOTS)] = True
-    return Index(h[order], np.concatenate(item)[order], np.concatenate(position)[order], slots, passages, budget, n + 1 - Q * (budget + 1), np.array(ids, dtype=np.int64))
+    return Index(h[order], item[order], position[order], slots, passages, budget, n + 1 - Q * (budget + 1), np.array(ids, dtype=np.int64), short)
 
 
 def _regions(code: np.ndarray, offsets: np.ndarray, x: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,8 +181,8 @@ def _align(passage: np.ndarray, text: np.ndarray, first: int, width: int) -> tup
         here = np.where(take, down, here)
         origin = np.where(take, np.concatenate((begin[1:], [0])), begin)
         # skipped characters of the text: a running minimum along the row
-        packed = ((here - ramp) << 16) + ramp
-        source = np.minimum.accumulate(packed) & 0xFFFF
+        packed = ((here - ramp) << 32) + ramp
+        source = np.minimum.accumulate(packed) & 0xFFFFFFFF
         cost, begin = here[source] + ramp - source, origin[source]
         if cost.min() > width:
             return int(cost.min()), 0, 0
@@ -202,32 +218,80 @@ def search(texts: list[str], x: Index) -> list[list[tuple[int, int, int, int]]]:
     for (t, i), (edits, s, f) in sorted(best.items()):
         place = where[offsets[t] : offsets[t + 1]] - base[t]
         out[t].append((int(x.ids[i]), int(place[s]), int(place[f - 1]) + 1 if f > s else int(place[s]), edits))
+    if x.short:
+        for t in range(len(texts)):
+            place = where[offsets[t] : offsets[t + 1]] - base[t]
+            plain = _written(code[offsets[t] : offsets[t + 1] - 1])
+            for word, names in x.short.items():
+                if (m := re.search(rf"(?<![^\W_]){re.escape(word)}(?![^\W_])", plain)) is not None:
+                    out[t] += [(name, int(place[m.start()]), int(place[m.end() - 1]) + 1, 0) for name in names]
     return out
 
 
-def _blocks(benchmark: DataFrame, chars: int) -> list[int]:
-    """Numbers of the benchmark's blocks: a passage's block is its id's hash modulo their count."""
+def search_long(text: str, x: Index, limit: int = tokens.BLOCK) -> list[tuple[int, int, int, int]]:
+    """``search`` of one text, by pieces that overlap by all that a passage can take up; each passage at its best place."""
+    if len(text) <= 2 * limit:
+        return search([text], x)[0]
+    best: dict[int, tuple[int, int, int]] = {}
+    at = 0
+    while True:
+        end = min(len(text), at + limit)
+        # white space counts as one space, so the overlap is measured without it
+        back = x.reach
+        while end < len(text) and end - back > at and len(text[end - back : end].split()) + sum(map(len, text[end - back : end].split())) < x.reach:
+            back *= 2
+        for item, start, stop, edits in search([text[at:end]], x)[0]:
+            if edits < best.get(item, (1 << 30,))[0]:
+                best[item] = (edits, start + at, stop + at)
+        if end == len(text):
+            return [(item, start, stop, edits) for item, (edits, start, stop) in best.items()]
+        at = max(end - back, at + 1) if end - back > at else end
+
+
+def _blocks(benchmark: DataFrame, chars: int) -> int:
+    """In how many blocks the benchmark is dealt, by its counted characters."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    return list(range(max(1, -(-total // chars))))
+    return max(1, -(-total // chars))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, into: str, rate: float = 0.1, block_chars: int = 1_000_000) -> DataFrame:
     """docs with one more column: the passages found in each text, an empty array where it is clean.
 
     rate: edits allowed per character of a passage.  block_chars: characters of the
-    benchmark that travel to the tasks at once, by measured size.
+    benchmark that are on the driver and in a task at once, by counted size; a passage
+    is in one block, by its hash.  A benchmark of one block is searched for inside the
+    row.  Of more blocks, each makes one pass whose finds are written to the shared
+    folder by digest of the text before the next block is read.
     """
     spark = docs.sparkSession
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     numbers = _blocks(benchmark, block_chars)
-    docs = docs.withColumn(into, F.array().cast(HITS))
-    for k in numbers:
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(len(numbers))) == k).orderBy("item_id").collect()
-        index = build([(r["item_id"], r["text"]) for r in rows], rate)
+
+    def block(k: int) -> Index | None:
+        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(numbers)) == k).orderBy("item_id", "text").collect()
+        return build([(r["item_id"], r["text"]) for r in rows], rate)
+
+    empty = F.array().cast(HITS)
+    if numbers == 1:
+        index = block(0)
+        return docs.withColumn(into, _found("text", spark.sparkContext.broadcast(index)) if index else empty)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    finds = None
+    for k in range(numbers):
+        index = block(k)
         if index is None:
             continue
-        docs = docs.withColumn(into, F.concat(into, _found("text", spark.sparkContext.broadcast(index))))
-    return docs
+        sent = spark.sparkContext.broadcast(index)
+        rows = docs.select("text").withColumn("hits", _found("text", sent)).where(F.size("hits") > 0)
+        part, _ = scratch(rows.select(digest.alias("digest"), "hits").dropDuplicates(["digest"]))
+        sent.unpersist()
+        finds = part if finds is None else finds.unionByName(part)
+    if finds is None:
+        return docs.withColumn(into, empty)
+    name = fresh(docs, "digest_")
+    finds = finds.groupBy(F.col("digest").alias(name)).agg(F.flatten(F.collect_list("hits")).alias(into))
+    out = docs.withColumn(name, digest).join(small_or_shuffled(finds, 200_000), name, "left").drop(name)
+    return out.withColumn(into, F.coalesce(into, empty))
 
 
 def _found(text: str, sent):
@@ -237,7 +301,8 @@ def _found(text: str, sent):
         for part in parts:
             out: list[list[dict]] = []
             for _, texts in tokens.blocks(list(part)):
-                out += [[dict(zip(names, hit, strict=True)) for hit in hits] for hits in search(texts, sent.value)]
+                rows = search(texts, sent.value) if max(map(len, texts)) <= 2 * tokens.BLOCK else [search_long(t, sent.value) for t in texts]
+                out += [[dict(zip(names, hit, strict=True)) for hit in hits] for hits in rows]
             yield pd.Series(out, dtype=object)
 
     return found(text)

@@ -311,6 +311,27 @@ def test_decontamination(spark):
     assert decontaminate.keep_clean(df, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_of_long_texts_and_short_passages(spark):
+    r = random.Random(31)
+    say = lambda n: " ".join("".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 8))) for _ in range(n))
+    passages = [say(20) for _ in range(8)]
+    text = "   ".join(x for p in passages for x in (say(60), p[:30] + "x" + p[31:], "\n" * 300, say(40)))
+    index = decontaminate.build(list(enumerate(passages)), 0.1)
+    assert sorted(decontaminate.search_long(text, index, 500)) == sorted(decontaminate.search([text], index)[0]) and len(decontaminate.search([text], index)[0]) == 8
+    bench = spark.createDataFrame([(1, "Yes, so"), (2, "ab"), (3, " "), (4, None)], "item_id long, text string")
+    df = docs(spark, [(1, "oh yes,  so it is", "en", "a"), (2, "abc ab_ x", "en", "a"), (3, "crab", "en", "a"), (4, None, "en", "a"), (5, "x (AB)", "en", "a")])
+    got = {(x.doc_id, x.item_id, x.start, x.end) for x in decontaminate.op6_decontaminate(df, bench).collect()}
+    assert got == {(1, 1, 3, 11), (2, 2, 4, 6), (5, 2, 3, 5)}
+
+
+def test_alignment_in_a_very_wide_band():
+    """Bands wider than 65,535 diagonals keep their costs apart."""
+    p = np.array([1, 2, 3, 4, 5, 6, 7, 8], dtype=np.uint32)
+    text = np.full(200_000, 9, dtype=np.uint32)
+    text[150_000:150_008] = p
+    assert decontaminate._align(p, text, 0, 160_000)[:3] == (0, 150_000, 150_008)
+
+
 def test_decontamination_in_windows(monkeypatch):
     r = random.Random(12)
     passages = [" ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(25)) for _ in range(5)]
