@@ -182,6 +182,30 @@ def test_mixing_of_a_small_source(spark):
     assert abs(got[3].taken - 8800) <= 64
 
 
+def test_every_shard_is_a_fair_draw(spark):
+    """Counts of all shards, the last one too, against the multinomial's expectation; totals are the quotas."""
+    sources = spark.createDataFrame([("a", 64 * 3000, 10), ("b", 64 * 9000, 10), (None, 64 * 8000, 10)], "source string, source_size long, rows long")
+    plan = mixing.quotas(sources)
+    quota = {r.source: r.quota for r in plan.collect()}
+    drawn = mixing.slots(plan, 1000).persist()
+    counts = {(r.shard, r.source): r.n for r in mixing.shard_counts(drawn).collect()}
+    shards = {s for s, _ in counts}
+    assert len(shards) == 20 and all(sum(n for (s, x), n in counts.items() if x == q) == quota[q] for q in quota)
+    chi = 0.0
+    for shard in shards:
+        size = sum(counts.get((shard, q), 0) for q in quota)
+        for q in quota:
+            want = size * quota[q] / sum(quota.values())
+            chi += (counts.get((shard, q), 0) - want) ** 2 / want
+            assert abs(counts.get((shard, q), 0) - want) < 5 * math.sqrt(want)
+    assert chi < 2 * 20 * 2
+    # rounds of a source take its blocks evenly
+    times = Counter((r.source, r["index"]) for r in drawn.collect())
+    for q in quota:
+        own = [n for (x, _), n in times.items() if x == q]
+        assert max(own) <= 3 and max(own) - min(own) <= 1 or len(own) < 9000
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 64, 1000):
         rows = spark.range(n).select(F.lit(n).cast("long").alias("n"), F.lit(99).cast("long").alias("key"), "id")
