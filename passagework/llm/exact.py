@@ -4,10 +4,13 @@ Memtables: each task sorts the digests of the texts that it read and flushes the
 as a run, a Parquet file sorted by digest with a Bloom filter and row-group bounds
 on the digest, in the shared folder.  Compaction merges the runs by digest, keeps
 the smallest identifier (or the largest, as asked) and counts; partial sums before
-the shuffle take the heat off a digest that many rows share.  Hits, which are rows
-whose digest others share, are found again through a bit filter of bounded size and
-verified byte for byte: the least and the greatest text of a digest must be equal.
-Digests that hold different texts are split by the texts themselves.
+the shuffle take the heat off a digest that many rows share.  A later batch merges
+into an index that exists: a bit filter of the batch's digests, sized by their count,
+tells which rows of the index it may touch, and all others stay where they are.
+Hits, which are rows whose digest others share, are found again through such a filter
+and verified byte for byte: the least and the greatest text of a digest must be equal.
+Digests that hold different texts are split by the texts themselves.  Lookups of
+single digests read only the row groups that the files' own filters leave.
 
 Defined results: null text counts as empty, and empty texts equal each other.
 A-Z only are lower-cased.  Rows that repeat a doc_id count in group_size and share
@@ -22,7 +25,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, one_row_each
+from .common import checkpoint_dir, cut, one_row_each, small_or_shuffled
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -60,6 +63,34 @@ def compact(runs: DataFrame, keep: str = "min") -> DataFrame:
     return runs.groupBy("digest").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
 
 
+def _best(keep: str) -> Column:
+    return F.min("keep_id") if keep == "min" else F.max("keep_id")
+
+
+def merge(index: DataFrame, batch: DataFrame, keep: str = "min") -> DataFrame:
+    """An index (digest, keep_id, group_size) with that of a later batch merged into it.
+
+    Rows of the index that the batch's filter cannot hold are passed on as they are;
+    only the others are grouped with the batch.
+    """
+    bits, words = bit_filter(batch)
+    held = _probed(index, bits, words)
+    apart = held.where(~F.col("held")).drop("held")
+    both = held.where("held").drop("held").unionByName(batch).groupBy("digest")
+    return apart.unionByName(both.agg(_best(keep).alias("keep_id"), F.sum("group_size").alias("group_size")).select(*index.columns))
+
+
+def written(index: DataFrame, folder: str) -> DataFrame:
+    """The index as sorted files of digest ranges, each with a Bloom filter."""
+    index.repartitionByRange("digest").sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(folder)
+    return index.sparkSession.read.parquet(folder)
+
+
+def lookup(index: DataFrame, digests: list[str]) -> DataFrame:
+    """The index rows of a few digests: bounds and Bloom filters of the files decide which row groups are read."""
+    return index.where(F.col("digest").isin(digests))
+
+
 def _slot(words: int) -> tuple[Column, Column]:
     """The filter's word of a digest, and the bits that it sets there."""
     h = F.xxhash64("digest")
@@ -69,22 +100,45 @@ def _slot(words: int) -> tuple[Column, Column]:
     return F.pmod(F.shiftrightunsigned(h, 20), F.lit(words)), mask
 
 
-def _hits(docs: DataFrame, shared: DataFrame, words: int) -> DataFrame:
-    """Rows whose digest the bit filter of the shared digests may hold: none of theirs is missed.
+def bit_filter(digests: DataFrame, most_words: int = 1 << 20) -> tuple[DataFrame, int]:
+    """(slot, bits) of a filter of the digests and its number of words: four digests a word, at most most_words words.
 
-    The filter has one row for each word that is set, at most words rows.
+    That bound is what a task can be sent; a fuller filter holds more that it should
+    not, and loses nothing.
     """
+    words = 1 << 10
+    n = digests.count()
+    while words < most_words and words * 4 < n:
+        words *= 2
+    slot, mask = _slot(words)
+    return digests.select(slot.alias("slot"), mask.alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("bits")), words
+
+
+def _probed(rows: DataFrame, bits: DataFrame, words: int) -> DataFrame:
+    """rows with a digest, and whether the filter may hold it (column held)."""
     slot, mask = _slot(words)
-    bits = shared.select(slot.alias("slot"), mask.alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("bits"))
-    return docs.withColumns({"slot": slot, "mask": mask}).join(F.broadcast(bits), "slot").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).drop("slot", "mask", "bits")
+    out = rows.withColumns({"slot": slot, "mask": mask}).join(F.broadcast(bits), "slot", "left")
+    return out.withColumn("held", F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))).drop("slot", "mask", "bits")
+
+
+#: Rows of one digest from which on it is joined apart from the others.
+_HOT = 100_000
+
+
+def _flagged(runs: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of the runs with the index's columns; digests of very many rows, which are few, do not go through the shuffle."""
+    hot = index.where(F.col("group_size") > _HOT)
+    if not hot.limit(1).count():
+        return runs.join(index, "digest")
+    cold = runs.join(small_or_shuffled(hot.select("digest"), 100_000), "digest", "left_anti").join(index.where(F.col("group_size") <= _HOT), "digest")
+    return runs.join(small_or_shuffled(hot, 100_000), "digest").select(*cold.columns).unionByName(cold)
 
 
-def duplicates(docs: DataFrame, keep: str = "min", bits: int = 256, filter_words: int = 1 << 17) -> DataFrame:
+def duplicates(docs: DataFrame, keep: str = "min", bits: int = 256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of docs.
 
-    keep: whether the smallest or the largest doc_id of equal texts stays.
-    filter_words bounds the broadcast bit filter (64 bits a word); a filter that is
-    too full lets more rows through to verification and loses none.
+    keep: whether the smallest or the largest doc_id of equal texts stays.  bits of the
+    digest are fewer than 256 only to try out digests that collide.
     """
     spark = docs.sparkSession
     folder = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
@@ -93,10 +147,10 @@ def duplicates(docs: DataFrame, keep: str = "min", bits: int = 256, filter_words
     index = cut(compact(runs, keep))
     shared = index.where("group_size > 1").select("digest")
     texts = docs.select("doc_id", normalised("text").alias("norm")).withColumn("digest", digest(F.col("norm"), bits))
-    hits = _hits(texts, shared, filter_words)
+    hits = _probed(texts, *bit_filter(shared)).where("held")
     verified = hits.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     wrong = cut(verified.where("least <> most").select("digest"))
-    out = runs.join(index, "digest").select("doc_id", "keep_id", "group_size", "text_sha256", "digest")
+    out = _flagged(runs, index).select("doc_id", "keep_id", "group_size", "text_sha256", "digest")
     if wrong.limit(1).count():
         apart = texts.join(wrong, "digest")
         best = F.min("doc_id") if keep == "min" else F.max("doc_id")

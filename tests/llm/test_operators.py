@@ -128,6 +128,22 @@ def test_exact(spark, bits):
         assert exact.op9_exact(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_batches_merge_into_an_index(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i % 37}", "en", "a") for i in range(200)] + [(i, "", "en", "a") for i in range(200, 260)] + [(None, "text 1", "en", "a")]
+    df = docs(spark, rows).repartition(3)
+    index = None
+    for k, part in enumerate((df.where("doc_id < 50"), df.where("doc_id >= 50 and doc_id < 220"), df.where("doc_id >= 220 or doc_id is null"))):
+        batch = exact.compact(exact.flush(part, str(tmp_path / f"r{k}")))
+        index = exact.written(batch if index is None else exact.merge(index, batch), str(tmp_path / f"i{k}"))
+    whole = exact.compact(exact.flush(df, str(tmp_path / "all")))
+    assert sorted(index.collect()) == sorted(whole.collect()) and index.count() == 38
+    some = [r.digest for r in whole.limit(2).collect()]
+    assert exact.lookup(index, some).count() == 2 and "PushedFilters: [In(digest" in exact.lookup(index, some)._jdf.queryExecution().toString()
+    want = sorted(map(str, exact.duplicates(df, "max").collect()))
+    monkeypatch.setattr(exact, "_HOT", 20)
+    assert sorted(map(str, exact.duplicates(df, "max").collect())) == want
+
+
 def test_stages_keep_one_row_of_each_group(spark):
     say = lambda seed: " ".join(random.Random(seed).choice(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "zeta"]) for _ in range(80))
     a, b, c, d = (say(i) for i in range(4))
