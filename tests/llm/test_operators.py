@@ -474,7 +474,7 @@ def test_pipeline(spark):
     assert kept == left
 
 
-def test_toxicity_models_are_kneser_ney(spark):
+def test_toxicity_models_are_kneser_ney(spark, monkeypatch):
     """Both classes' probabilities against plain Python, each summing to 1 over the words; and both ways of delivery."""
     r = random.Random(21)
     vocabulary = [a + b for a in "abcdef" for b in "ghij"]
@@ -525,11 +525,16 @@ def test_toxicity_models_are_kneser_ney(spark):
     for text, *_ in rows:
         w = text.split()
         want = sum(ratio(final, a, b) for a, b in zip(["^", *w], w, strict=False)) / len(w) if all(x in types for x in w) else None
-        got, k = toxicity._normalised(text, [sent])
-        assert k == len(w) and (want is None or abs(got[0] - want) < 1e-9)
+        got, k = toxicity._normalised([text], [sent])
+        assert k[0] == len(w) and (want is None or abs(got[0][0] - want) < 1e-9)
     texts = spark.createDataFrame([(t,) for t, *_ in rows] + [("",), (None,)], "text string")
     far = {x.text: x.m for x in toxicity._joined(texts, [model]).collect()}
-    assert all(abs(far[t].x[0] - toxicity._normalised(t, [sent])[0][0]) < 1e-9 for t, *_ in rows) and not far[""]
+    assert all(abs(far[t].x[0] - toxicity._normalised([t], [sent])[0][0][0]) < 1e-9 for t, *_ in rows) and not far[""]
+    long = " ".join(t for t, *_ in rows) * 40
+    whole = toxicity._normalised([long, None], [sent])
+    monkeypatch.setattr(tokens, "BLOCK", 300)
+    monkeypatch.setattr(tokens.split, "__defaults__", (300,))
+    assert len(list(tokens.split(long))) > 50 and np.allclose(toxicity._normalised([long, None], [sent])[0], whole[0])
 
 
 def test_long_texts_in_pieces():
