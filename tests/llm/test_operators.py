@@ -412,6 +412,37 @@ def test_several_licenses_in_one_header(spark):
     assert got == headers
 
 
+def test_licenses_that_are_not_named(spark):
+    said = [
+        "This work is licensed under the GNU General Public License, version 1.", "Licensed under the Apache License, Version 1.1.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "This work is not licensed under the GNU General Public License, version 3.",
+        "It is not Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-ND 4.0.", "This work is licensed under the GNU General Public License, version 3.",
+    ]
+    got = {x.doc_id: x.license for x in licenses.op1_licenses(docs(spark, [(i, t, "en", "a") for i, t in enumerate(said)])).collect()}
+    assert got == {6: "GPL-3.0-notice"}
+    assert licenses.op1_licenses(docs(spark, []).limit(0)).count() == 0
+
+
+def test_templates_of_any_kind(spark):
+    r = random.Random(41)
+    plain = "This software is provided as-is; altered source versions must be plainly marked as such"
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(600))
+    table = spark.createDataFrame([("plain", plain), ("long", long), (None, "x")], "license string, wording string")
+    templates = licenses.templates_of(table)
+    rows = [(1, f"a {plain}. b", "en", "a"), (2, f"some words {long} more", "en", "a"), (3, long[: len(long) // 2], "en", "a"), (4, None, "en", "a")]
+    found = licenses.scan(docs(spark, rows), "f", templates).select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.*").collect()
+    assert {(x.doc_id, x.license, x.coverage) for x in found} == {(1, "plain", 1.0), (2, "long", 1.0)}
+    at = {x.doc_id: x for x in found}
+    assert rows[0][1][at[1].start : at[1].end] == plain and rows[1][1][at[2].start : at[2].end] == long
+    # the gate lets through whatever wording would confirm
+    w = plain.split()
+    for _ in range(60):
+        kept = [x for x in w if r.random() > 0.12]
+        t = "intro " + " ".join(kept) + " outro"
+        if len(kept) >= 0.85 * len(w) and licenses.Scanner(templates, 0.85).scan(t):
+            assert re.search(licenses.gate(templates, 0.85).replace(r"\p{L}\p{N}", r"a-z0-9").replace("(?iu)", "(?i)"), t)
+
+
 def cheapest(roles):
     """Least cost over all ways of putting out turns, by plain search over states."""
     cost = {chat.START: 0.0}
