@@ -5,7 +5,7 @@ them, high-recall generators propose overlapping candidates: addresses spelled o
 groups of digits, and long tokens.  Each candidate gets features of its format and of
 the text around it, boosted trees score it, and a threshold calibrated for its kind
 on examples that the trees did not learn from decides.  Accepted candidates that
-overlap a base span or a better candidate are dropped.
+overlap a base span, or a candidate that is farther above its threshold, are dropped.
 
 All of it stays in one row: matches and the pieces between them give the places by
 running sums, so no row is exploded or shuffled, and very long texts are whole.  The
@@ -259,8 +259,9 @@ def spans(docs: DataFrame) -> DataFrame:
             rows = rows.withColumn(kind, F.filter(kind, _check(kind)))
     for kind, pattern in GENERATORS.items():
         rows = _matches(rows, kind, pattern, gates[kind])
-        rows = rows.withColumn(kind, _accepted(kind, trees, least[kind]))
-        rows = rows.withColumn(kind, F.filter(kind, _apart([*BASE, *ADDED[: ADDED.index(kind)]])))
+        rows = rows.withColumn(f"{kind}_a", _accepted(kind, trees, least[kind]))
+    for kind in ADDED:
+        rows = rows.withColumn(kind, F.transform(F.filter(f"{kind}_a", _apart(kind)), lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), s["piece"].alias("piece"))))
     return rows.select("doc_id", *BASE, *ADDED)
 
 
@@ -269,27 +270,40 @@ def _check(kind: str):
 
 
 def _accepted(kind: str, trees: list, least: float) -> Column:
-    def good(s: Column) -> Column:
+    """The candidates whose margin reaches the kind's threshold, with what it is above it."""
+
+    def judged(s: Column) -> Column:
         start = F.greatest(s["start"] - 40, F.lit(0))
         before = F.substring(F.col("norm_"), start + 1, s["start"] - start)
         f = F.array(*_features(F.lit(kind), s["piece"], before))
         # one element, so that the trees share the features that were computed once
-        sure = F.element_at(F.transform(F.array(f), lambda v: margin(trees, v)), 1) >= F.lit(least)
-        return (F.length(_digits(s["piece"])) >= 7) & sure if kind == "digits" else sure
+        above = F.element_at(F.transform(F.array(f), lambda v: margin(trees, v)), 1) - F.lit(least)
+        few = F.length(_digits(s["piece"])) < 7 if kind == "digits" else F.lit(False)
+        return F.struct(s["start"].alias("start"), s["size"].alias("size"), s["piece"].alias("piece"), F.when(few, -1.0).otherwise(above).alias("above"))
+
+    return F.filter(F.transform(kind, judged), lambda s: s["above"] >= 0)
 
-    return F.filter(kind, good)
 
+def _apart(kind: str):
+    """Whether a candidate meets no base span and no better candidate of another kind; equals fall to the kind listed first."""
 
-def _apart(kinds: list[str]):
     def apart(s: Column) -> Column:
         clear = F.lit(True)
-        for k in kinds:
+        for k in BASE:
             clear = clear & ~F.exists(k, _meets(s))
+        for k in ADDED:
+            if k != kind:
+                clear = clear & ~F.exists(f"{k}_a", _beaten(s, ADDED.index(k) < ADDED.index(kind)))
         return clear
 
     return apart
 
 
+def _beaten(s: Column, first: bool):
+    better = lambda o: (o["above"] >= s["above"]) if first else (o["above"] > s["above"])
+    return lambda o: _meets(s)(o) & better(o)
+
+
 def _meets(s: Column):
     return lambda o: (o["start"] < s["start"] + s["size"]) & (s["start"] < o["start"] + o["size"])
 
@@ -314,7 +328,8 @@ def _row(kind: str):
 
 
 def op4_pii(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, counts of the base kinds, digest of the base spans, all spans."""
+    """One row per document: doc_id, counts of the base kinds, digest of the base spans, all spans, and their number."""
     found = spans(docs)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(_listed(list(BASE)).cast("binary"), 256).alias("base_sha256"), _listed([*BASE, *ADDED]).alias("spans"))
+    n_all = sum((F.size(k) for k in [*BASE, *ADDED]), F.lit(0))
+    return found.select("doc_id", *counts, F.sha2(_listed(list(BASE)).cast("binary"), 256).alias("base_sha256"), _listed([*BASE, *ADDED]).alias("spans"), n_all.cast("long").alias("n_spans"))

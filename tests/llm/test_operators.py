@@ -258,6 +258,32 @@ def test_pii(spark):
     assert got[1004].spans == "token:13:53" and got[1005].spans.startswith("address:0:") and got[1006].spans == ""
 
 
+def test_pii_candidates_are_settled_by_score(spark):
+    """The added spans against plain Python over the same margins: base spans stay, and of candidates that meet the better one."""
+    r = random.Random(51)
+    bits = ["call 555-123-4567 ", "jane (at) example (dot) org ", 'key = "' + "a1B2" * 8 + '" ', "2024-01-02 ", "a.b@c.org ", "1234567890123456789012 ", "555-123-4567(at)x.y ", "abcdef0123456789abcdef01 at x.y ", "10.0.0.1 "]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 9))), "en", "a") for i in range(60)]
+    df = docs(spark, rows)
+    trees, least = pii.learn(spark)
+    got = {x.doc_id: x for x in pii.op4_pii(df).collect()}
+    cases = []
+    for i, t, *_ in rows:
+        for kind, pattern in pii.GENERATORS.items():
+            cases += [(i, kind, m.start(), m.end(), m.group(), t[max(0, m.start() - 40) : m.start()]) for m in re.finditer(pattern, t)]
+    f = F.array(*pii._features(F.col("kind"), F.col("piece"), F.col("before")))
+    table = spark.createDataFrame(cases, "i long, kind string, a long, b long, piece string, before string")
+    judged = [(*x[:5], x.m - least[x.kind]) for x in table.withColumn("m", pii.margin(trees, f)).select("i", "kind", "a", "b", "piece", "m").collect()]
+    for i, t, *_ in rows:
+        base = base_spans(t)
+        own = [c for c in judged if c[0] == i and c[5] >= 0 and (c[1] != "digits" or sum(x.isdigit() for x in c[4]) >= 7)]
+        meets = lambda x, y: x[0] < y[1] and y[0] < x[1]
+        rank = pii.ADDED.index
+        kept = [c for c in own if not any(meets(c[2:4], b[1:]) for b in base) and not any(o[1] != c[1] and meets(c[2:4], o[2:4]) and (o[5], -rank(o[1])) > (c[5], -rank(c[1])) for o in own)]
+        want = [*(f"{k}:{a}:{b}" for k, a, b in base), *(f"{k}:{a}:{b}" for _, k, a, b, *_ in sorted(kept, key=lambda c: (rank(c[1]), c[2])))]
+        assert got[i].spans == ",".join(want) and got[i].n_spans == len(want), t
+    assert pii.op4_pii(df.limit(0)).count() == 0
+
+
 def test_pii_of_any_length(spark):
     r = random.Random(12)
     code = lambda n: "".join(r.choice("ABCDEFGHabcdefghijklmnop0123456789") for _ in range(n))
