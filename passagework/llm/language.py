@@ -11,7 +11,8 @@ with score 0 and no proportions; letters outside every alphabet that is read spe
 all languages alike; if nothing can be learned (no labelled row) every
 text gives ``und``.  Ties between languages fall to the smaller name.  Repeated
 rows are scored alike, and columns of the input are passed through untouched.
-Very long texts are whole: their words are gathered block by block.
+A text of more than a million characters is inferred piece by piece, and its proportions
+are those of its pieces, weighed by their words.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -86,7 +87,7 @@ def train(
         held: dict[str, np.ndarray] = {}
         for b in batches:
             for name, part in b.groupby("l"):
-                for _, texts in tokens.blocks(list(part["t"])):
+                for _, texts, _ in tokens.bounded(list(part["t"])):
                     g, code, _ = _grams(texts, orders, bits)
                     keep = code != 32
                     if name not in held:
@@ -188,6 +189,31 @@ def infer(texts: list[str], m: LanguageModel, penalty: float = 3.0, temper: floa
     return pi, n
 
 
+def _inferred(texts: list[str | None], m: LanguageModel, penalty: float, temper: float) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Texts in blocks with ``infer``'s results; the proportions of a very long text are those of its pieces, weighed by their words."""
+    held: list[tuple[str, np.ndarray, int]] = []
+    last = -1
+    for at, block, piece in tokens.bounded(texts):
+        if held and at != last:
+            yield _together(held, m)
+            held = []
+        pi, n = infer(block, m, penalty, temper)
+        if piece:
+            held.append((block[0], pi[0], int(n[0])))
+            last = at
+        else:
+            yield block, pi, n
+    if held:
+        yield _together(held, m)
+
+
+def _together(held: list[tuple[str, np.ndarray, int]], m: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:
+    n = sum(k for _, _, k in held)
+    pi = sum((p * k for _, p, k in held), np.zeros(len(m.languages))) / max(n, 1)
+    letters = next((t for t, _, _ in held if any(map(str.isalpha, t))), "")
+    return [letters], pi[None, :], np.array([n])
+
+
 def identify(text: str | Column, model: LanguageModel, penalty: float = 3.0, temper: float = 0.5) -> Column:
     """A struct column (lang_pred, score, languages, proportions) for a text column.
 
@@ -195,13 +221,14 @@ def identify(text: str | Column, model: LanguageModel, penalty: float = 3.0, tem
     proportions list the chosen set, largest share first.
     """
     names = np.array(model.languages, dtype=object)
+    sent = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = sent.value
         for part in parts:
             rows: list[tuple] = []
-            for _, texts in tokens.blocks(list(part)):
-                pi, n = infer(texts, model, penalty, temper)
+            for texts, pi, n in _inferred(list(part), m, penalty, temper):
                 for t, p, words in zip(texts, pi, n, strict=True):
                     if not len(names) or not any(map(str.isalpha, t)):
                         rows.append((UNDETERMINED, 0.0, [], []))

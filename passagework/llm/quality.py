@@ -10,7 +10,8 @@ the mean.
 Defined results: null counts as empty; an empty text scores the softmax of its bias
 alone.  Without labels of both classes every text scores the base rate (0 without
 any label).  A document labelled more than once counts as good if any label says so.
-Repeated rows are scored alike.  Labels, language, source and id are never inputs.
+A text of more than a million characters is read in pieces, and n-grams across their
+borders do not count.  Repeated rows are scored alike.  Labels, language, source and id are never inputs.
 """
 
 from __future__ import annotations
@@ -103,10 +104,17 @@ def train(labelled: DataFrame, max_rows: int = 2500, bits: int = 16, dim: int =
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for text, label in zip(b["text"], b["y"], strict=True):
-                got = [ids for ids, _ in _features([text], bits)]
-                ids, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.int64), np.zeros(0))
+                n = np.zeros(1 << bits, dtype=np.int64)
+                for _, piece, _ in tokens.bounded([text]):
+                    for ids, _ in _features(piece, bits):
+                        n += np.bincount(ids, minlength=1 << bits)
+                ids = np.flatnonzero(n)
+                n = n[ids]
                 yield pd.DataFrame({"i": [ids.astype(np.int32).tobytes()], "s": [(n / max(n.sum(), 1)).astype(np.float32).tobytes()], "y": [int(label)], "k": [hash_of(text)]})
 
+    total = labelled.count()
+    if total > max_rows:
+        labelled = labelled.where(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1 << 40)) < F.lit(int((1 << 40) * max_rows / total)))
     rows = table(labelled.mapInPandas(hashed, "i binary, s binary, y int, k long")).sort_values(["k", "y"])
     cases = [(np.frombuffer(i, dtype=np.int32), np.frombuffer(s, dtype=np.float32), int(y)) for i, s, y in zip(rows["i"], rows["s"], rows["y"], strict=True)]
     return _train([c for c in cases if len(c[0])], bits, dim, epochs, rate, seed)
@@ -127,14 +135,13 @@ def score(text: str | Column, model: QualityModel, spark) -> Column:
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
         for part in parts:
-            out = [np.zeros(0)]
-            for _, texts in tokens.blocks(list(part)):
-                total, n = np.zeros(len(texts)), np.zeros(len(texts))
+            total, n = np.zeros(len(part)), np.zeros(len(part))
+            for at, texts, _ in tokens.bounded(list(part)):
+                upto = at + len(texts)
                 for ids, owner in _features(texts, m.bits):
-                    total += np.bincount(owner, weights=m.weight[ids], minlength=len(texts))
-                    n += np.bincount(owner, minlength=len(texts))
-                out.append(1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + m.bias, -500, 500))))
-            yield pd.Series(np.concatenate(out))
+                    total[at:upto] += np.bincount(owner, weights=m.weight[ids], minlength=len(texts))
+                    n[at:upto] += np.bincount(owner, minlength=len(texts))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + m.bias, -500, 500))))
 
     return of(F.col(text) if isinstance(text, str) else text)
 

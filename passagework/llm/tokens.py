@@ -2,8 +2,8 @@
 
 A block is several texts laid end to end as code points, each followed by a line
 feed, so that no n-gram or word reaches into the next text.  Blocks bound the
-memory of a task: texts are whole, and a block closes once it holds BLOCK code
-points.
+memory of a task: a block closes once it holds BLOCK code points.  A text longer than
+two blocks goes in pieces, cut at white space; every character of it is in one piece.
 """
 
 from __future__ import annotations
@@ -48,6 +48,21 @@ def split(text: str, limit: int = BLOCK) -> Iterator[str]:
 _SPACE = re.compile(r"\s")
 
 
+def bounded(texts: Sequence[str | None], limit: int | None = None) -> Iterator[tuple[int, list[str], bool]]:
+    """``blocks``, but that a text of more than two blocks comes in pieces of its own: (index, texts, whether it is such a piece)."""
+    limit = BLOCK if limit is None else limit
+    for first, held in blocks(texts, limit):
+        if max(map(len, held)) <= 2 * limit:
+            yield first, held, False
+            continue
+        for i, t in enumerate(held):
+            if len(t) <= 2 * limit:
+                yield first + i, [t], False
+            else:
+                for piece in split(t, limit):
+                    yield first + i, [piece], True
+
+
 def codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts with a line feed after each, and the offsets of texts (one more than texts)."""
     joined = "\n".join(texts) + "\n"

@@ -600,3 +600,50 @@ def test_long_texts_in_pieces():
     for limit in (50, 1000, 10**6):
         pieces = list(tokens.split(text, limit))
         assert "".join(pieces) == text and max(map(len, pieces)) <= max(limit, 1)
+
+
+def test_very_long_texts_stay_in_bounds(spark, monkeypatch):
+    """Texts in pieces give what whole ones do: the same language, nearly the same quality; and memory does not follow the text."""
+    import tracemalloc
+
+    rows = corpus(61, 150)
+    df = docs(spark, rows)
+    model = language.train(df)
+    text = " ".join(t for _, t, lang, _ in rows if lang == "en" and t) + " " + " ".join(t for _, t, lang, _ in rows if lang == "de" and t)
+    whole = next(language._inferred([text], model, 3.0, 0.5))
+    q = quality.QualityModel(np.random.default_rng(1).normal(size=1 << 12).astype(np.float32), 0.1, 12)
+    counts = lambda pieces: sum(np.bincount(ids, minlength=1 << 12) for _, block, _ in pieces for ids, _ in quality._features(block, q.bits))
+    at_once = counts([(0, [text], False)])
+    monkeypatch.setattr(tokens, "BLOCK", 400)
+    monkeypatch.setattr(tokens.split, "__defaults__", (400,))
+    monkeypatch.setattr(tokens.blocks, "__defaults__", (400,))
+    parts = next(language._inferred([text], model, 3.0, 0.5))
+    assert parts[2][0] == whole[2][0] and np.abs(parts[1] - whole[1]).max() < 0.1
+    apart = counts(tokens.bounded([text]))
+    assert np.abs(apart - at_once).sum() < 0.1 * at_once.sum()
+    monkeypatch.undo()
+    tracemalloc.start()
+    long = "the house of words and that " * 300_000
+    for _, block, _ in tokens.bounded([long]):
+        language.infer(block, model)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_bounds_and_empty_tables(spark):
+    empty = docs(spark, []).limit(0)
+    marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert pii.op4_pii(empty).count() == toxicity.op5_toxicity(empty, marks).count() == quality.op10_quality(empty, marks).count() == 0
+    r = random.Random(71)
+    rows = spark.createDataFrame([(" ".join(r.choice("abcdefgh") * 3 for _ in range(20)) + str(i), i % 2) for i in range(400)], "text string, y int")
+    seen = []
+    quality_train, quality._train = quality._train, lambda cases, *a: seen.append(len(cases)) or quality_train(cases, *a)
+    try:
+        quality.train(rows, 50, epochs=1)
+    finally:
+        quality._train = quality_train
+    assert 20 < seen[0] < 90
+    # repeated rows and ids, and null ids
+    twice = docs(spark, [(1, "the house", "en", "a"), (1, "the house", "en", "a"), (1, "other words", "en", "b"), (None, "the house", "en", None), (None, None, None, None)])
+    for out in (pii.op4_pii(twice), toxicity.op5_toxicity(twice, marks), quality.op10_quality(twice, marks), language.op7_language(twice), exact.op9_exact(twice), simhash.op8_simhash(twice), mixing.op3_mixing(twice)):
+        assert out.count() == 5
