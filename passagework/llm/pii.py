@@ -2,15 +2,19 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay.  Beside
 them, high-recall generators propose overlapping candidates: addresses spelled out,
-groups of digits, and long tokens.  Each candidate gets features of its format and of
-the text around it, boosted trees score it, and a threshold calibrated for its kind
-on examples that the trees did not learn from decides.  Accepted candidates that
-overlap a base span, or a candidate that is farther above its threshold, are dropped.
+groups of digits, long tokens, and values assigned to names of secrets.  Each candidate
+gets features of its format and of the text around it, boosted trees score it, and a
+threshold calibrated for its kind on examples that the trees did not learn from
+decides.  Accepted candidates that overlap a base span, or a candidate that is farther
+above its threshold, are dropped; sorted spans are searched by halving for that.
 
-All of it stays in one row: matches and the pieces between them give the places by
+Scoring stays in one row: matches and the pieces between them give the places by
 running sums, so no row is exploded or shuffled, and very long texts are whole.  The
-trees are learned from a few hundred made examples of known kind, written to a small
-table, by Spark's own gradient boosting, and are applied as an expression.
+trees are learned by Spark's own gradient boosting, and are applied as an expression.
+They learn from made examples of known kind and from the documents: at most
+``max_examples`` different base spans of at most 400 characters and long plain words,
+least by a hash, are put into another form of known label where they stand
+(``document_examples``).
 
 Defined results: null and empty texts have no spans; the digest is then that of the
 empty string.  Repeated rows are scanned alike.  Other columns are not read.
@@ -18,6 +22,7 @@ empty string.  Repeated rows are scanned alike.  Other columns are not read.
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,12 +40,15 @@ BASE = {
 GENERATORS = {
     "address": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]++(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?|\.)[A-Za-z0-9-]++)++",
     "digits": r"(?<![0-9A-Za-z+])\(?(?=[0-9](?:[\x20().-]{0,2}+[0-9]){6})[0-9]++(?![A-Za-z])(?:[\x20().-]{1,2}+[0-9]++(?![A-Za-z]))*+",
-    "token": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+(?![A-Za-z0-9_/+=-])",
+    "token": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}+",
+    "secret": r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|passphrase|secret|token|(?:api|access|auth)[_-]?key)[\"']?[\x20\t]{0,2}[:=][\x20\t]{0,2}[\"']?[A-Za-z0-9!@#$%^&*_+/=.~-]{6,}+",
 }
-FEATURES = ("kind", "length", "digits", "letters", "marks", "groups", "cue", "upper_mix", "luhn", "first_group")
+FEATURES = ("kind", "length", "digits", "letters", "marks", "groups", "cue", "upper_mix", "luhn", "first_group", "changes", "vowels", "capitals")
 #: Names of what is found beyond the base kinds, in the order in which they are listed.
-ADDED = ("address", "digits", "token")
+ADDED = ("address", "digits", "token", "secret")
 _CUE = r"(?i)(?:phone|tel|call|fax|mobile|mail|contact|card|visa|iban|account|ssn|social|passport|token|key|secret|password|passwd|pwd|auth|api)[^\n]{0,16}$"
+#: What stands before the value in a match of the secret generator.
+_NAME = r"^[^:=]*[:=][\x20\t]{0,2}[\"']?"
 _SPAN = "array<struct<start: int, size: int, piece: string>>"
 
 
@@ -104,21 +112,25 @@ def _holds(kind: str, piece: Column) -> Column:
 
 
 def _features(kind: Column, piece: Column, before: Column) -> list[Column]:
-    """The FEATURES of a candidate, all as doubles."""
+    """The FEATURES of a candidate, all as doubles; of an assignment, those of its value."""
+    piece = F.when(kind == "secret", F.regexp_replace(piece, _NAME, "")).otherwise(piece)
     digits = _digits(piece)
     letters = F.length(F.regexp_replace(piece, "[^A-Za-z]", ""))
     groups = F.size(F.split(piece, "[^0-9A-Za-z]+", -1))
     values = (
-        F.when(kind == "address", 0).when(kind == "digits", 1).otherwise(2),
+        F.when(kind == "address", 0).when(kind == "digits", 1).when(kind == "token", 2).otherwise(3),
         F.length(piece),
         F.length(digits),
         letters,
         F.length(piece) - F.length(digits) - letters,
         groups,
-        F.when(before.rlike(_CUE), 1).otherwise(0),
+        F.when((kind == "secret") | before.rlike(_CUE), 1).otherwise(0),
         F.when(piece.rlike("[a-z]") & piece.rlike("[A-Z]"), 2).when(piece.rlike("^[0-9a-f]+$"), 1).otherwise(0),
         F.when(F.length(digits).between(13, 19) & luhn(digits), 1).otherwise(0),
         F.length(F.regexp_extract(piece, "^[^0-9A-Za-z]*([0-9A-Za-z]+)", 1)),
+        F.size(F.split(piece, "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", -1)) - 1,
+        F.length(F.regexp_replace(piece, "[^AEIOUaeiou]", "")) / F.greatest(letters, F.lit(1)),
+        F.length(F.regexp_replace(piece, "[^A-Z]", "")) / F.greatest(letters, F.lit(1)),
     )
     return [v.cast("double") for v in values]
 
@@ -155,9 +167,94 @@ def examples(seed: int = 3, n: int = 60) -> list[tuple[str, str, str, int]]:
             ("token", word() * 6, plain(), 0),
             ("token", "-" * r.randint(20, 60), plain(), 0),
             ("token", f"{word()}-{word()}-{word()}-{word()}-{word()}-{word()}{word()}", plain(), 0),
-            ("token", "=" * 20 + word(), plain(), 0),
         ]
-    return [(k, p, b, y) for k, p, b, y in [*out, *_long_examples(n)] if k != "token" or len(p) >= 20]
+    return [(k, p, b, y) for k, p, b, y in [*out, *_long_examples(n), *_code_examples(n)] if k != "token" or len(p) >= 16]
+
+
+def _code_examples(n: int, seed: int = 7) -> list[tuple[str, str, str, int]]:
+    """Made codes without a cue beside names and paths that look like them, and values assigned to names of secrets."""
+    r = random.Random(seed)
+    coded = lambda k, a: "".join(r.choice(a) for _ in range(k))
+    word = lambda: "".join(r.choice(["an", "ter", "lo", "min", "ka", "re", "sto", "vi", "sch", "ung"]) for _ in range(r.randint(2, 4)))
+    plain = lambda: f"{word()} {word()} {word()} "
+    name = lambda: r.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "access_key"]) + r.choice(["=", ": ", " = ", '="'])
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"
+    out = []
+    for _ in range(n):
+        hexes = coded(r.randint(16, 31), "0123456789abcdef")
+        out += [
+            ("token", coded(r.randint(16, 24), upper), plain(), 1),
+            ("token", coded(r.randint(3, 5), upper[:26]) + coded(r.randint(14, 36), upper), plain(), 1),
+            ("token", coded(r.randint(24, 60), upper + lower), plain(), 1),
+            ("token", hexes, name(), 1),
+            ("token", coded(r.randint(16, 40), lower), name(), 1),
+            ("token", "_".join(word() for _ in range(r.randint(3, 6))).upper(), plain(), 0),
+            ("token", "".join(word() for _ in range(4)).upper(), plain(), 0),
+            ("token", "".join(word() for _ in range(r.randint(3, 6))).capitalize(), plain(), 0),
+            ("token", "".join(word().capitalize() for _ in range(r.randint(3, 6))), plain(), 0),
+            ("token", f"{word()}-{word()}-{word()}-{r.randint(1, 2030)}-{word()}", plain(), 0),
+            ("token", f"{word()}/{word()}{r.randint(1, 9)}/{word()}-{word()}/{word()}", plain(), 0),
+            ("token", coded(r.randint(16, 40), "0123456789"), plain(), 0),
+            ("token", f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{coded(6, '0123456789')}Z", plain(), 0),
+            ("secret", name() + coded(r.randint(8, 30), upper + lower), plain(), 1),
+            ("secret", name() + coded(r.randint(8, 30), lower + "!@#$%"), plain(), 1),
+            ("secret", name() + hexes, plain(), 1),
+            ("secret", name() + word() + r.choice(["", "_", "!"]) + coded(r.randint(2, 4), "0123456789"), plain(), 1),
+            ("secret", name() + word() + word(), plain(), 0),
+            ("secret", name() + r.choice(["required", "optional", "string", "missing", "expired", "invalid", "disabled", "******", "........", "$PASSWORD", "the.name"]), plain(), 0),
+            ("secret", name() + word().capitalize() + r.choice([".", ".get", "_name"]) + word(), plain(), 0),
+        ]
+    return out
+
+
+def document_examples(docs: DataFrame, max_examples: int = 2000) -> DataFrame:
+    """(kind, piece, before, label): base spans and long plain words of the documents, each in a form of known label.
+
+    An email is spelled out and a phone loses its country's number: both are still
+    personal.  A card fails the Luhn check by its last digit and an address of a host has
+    a part above 255: neither is.  A run of letters is a word; a digest and its capitals
+    after a name of a secret, in the place of a base span, are secrets.
+    """
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("norm_"))
+    rows = rows.where(F.col("norm_").rlike(r"@|[0-9.+]{7}|[0-9]{4}|\+[0-9]|[A-Za-z]{16}"))
+    for kind, pattern in {**BASE, "word": r"(?<![A-Za-z0-9_/+-])[A-Za-z]{16,}+(?![A-Za-z0-9_/+=-])"}.items():
+        rows = _matches(rows, kind, pattern, F.lit(True))
+    placed = F.concat(*(F.transform(F.filter(k, _sampled(k)), _placed(k)) for k in [*BASE, "word"]))
+    some = rows.select(F.explode(placed).alias("s")).select("s.*").distinct()
+    some = some.withColumn("h", F.xxhash64("form", "piece", "before")).orderBy("h", "form", "piece", "before").limit(max_examples)
+    piece, before, style = F.col("piece"), F.col("before"), F.pmod("h", F.lit(4)).cast("int") + 1
+    at = F.element_at(F.array(*map(F.lit, ["(at)", "[at]", " at ", " [at] "])), style)
+    dot = F.element_at(F.array(*map(F.lit, ["(dot)", "[dot]", " dot ", " [dot] "])), style)
+    spelled = F.concat(F.substring_index(piece, "@", 1), at, F.replace(F.substring_index(piece, "@", -1), F.lit("."), dot))
+    local = F.regexp_replace(piece, r"^\+[0-9]{1,3}[\x20.-]+", "")
+    failing = F.concat(F.expr("left(piece, length(piece) - 1)"), ((F.expr("right(piece, 1)").cast("int") + 1) % 10).cast("string"))
+    digest = F.sha2(piece.cast("binary"), 256)
+    capitals = F.upper(F.translate(F.substring(digest, 1, 20), "0123", "KRTZ"))
+    named = lambda name: F.concat(F.expr("right(before, 24)"), F.lit(name))
+    example = lambda when, kind, value, context, label: F.when(when, F.struct(F.lit(kind).alias("kind"), value.alias("piece"), context.alias("before"), F.lit(label).alias("label")))
+    made = F.array(
+        example(F.col("form") == "email", "address", spelled, before, 1),
+        example((F.col("form") == "phone") & local.rlike(r"^\(?[0-9]{2,4}[)\x20.-]+[0-9]") & (F.length(_digits(local)) >= 7), "digits", local, before, 1),
+        example(F.col("form") == "card", "digits", failing, before, 0),
+        example(F.col("form") == "ip", "digits", F.regexp_replace(piece, "^[0-9]+", "999"), before, 0),
+        example(F.col("form") == "word", "token", piece, before, 0),
+        example(F.col("form") == "ip", "token", F.substring(digest, 1, 32), named("token="), 1),
+        example(F.col("form") == "card", "token", capitals, before, 1),
+        example(F.col("form") == "email", "secret", F.concat(F.lit("password="), F.substring(digest, 1, 12)), before, 1),
+    )
+    return some.select(F.explode(F.filter(made, lambda e: e.isNotNull())).alias("e")).select("e.*")
+
+
+def _sampled(kind: str):
+    return lambda s: (s["size"] <= 400) & (_holds(kind, s["piece"]) if kind in BASE else F.lit(True))
+
+
+def _placed(kind: str):
+    def placed(s: Column) -> Column:
+        start = F.greatest(s["start"] - 40, F.lit(0))
+        return F.struct(F.lit(kind).alias("form"), s["piece"].alias("piece"), F.substring(F.col("norm_"), start + 1, s["start"] - start).alias("before"))
+
+    return placed
 
 
 def _long_examples(n: int, seed: int = 5) -> list[tuple[str, str, str, int]]:
@@ -194,43 +291,37 @@ def _tree(node) -> tuple | float:
     return split.featureIndex(), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def _value(node: tuple | float, v: Column) -> Column:
-    if not isinstance(node, tuple):
-        return F.lit(node)
-    i, threshold, left, right = node
-    return F.when(F.element_at(v, i + 1) <= F.lit(threshold), _value(left, v)).otherwise(_value(right, v))
+def _number(x: float) -> str:
+    return f"{x!r}D" if math.isfinite(x) else "double('infinity')"
 
 
-def margin(trees: list[tuple[float, tuple | float]], v: Column) -> Column:
-    """The boosted margin of a feature array, as an expression."""
-    total = F.lit(0.0)
-    for weight, tree in trees:
-        total = total + F.lit(weight) * _value(tree, v)
-    return total
+def _value(node: tuple | float, v: str) -> str:
+    if not isinstance(node, tuple):
+        return _number(node)
+    i, threshold, left, right = node
+    return f"CASE WHEN {v}[{i}] <= {_number(threshold)} THEN {_value(left, v)} ELSE {_value(right, v)} END"
 
 
-_learned: dict[tuple, tuple[list, dict[str, float]]] = {}
+def margin(trees: list[tuple[float, tuple | float]], v: str) -> str:
+    """The boosted margin of the feature array named v, as a SQL expression."""
+    return " + ".join(f"{_number(weight)} * {_value(tree, v)}" for weight, tree in trees)
 
 
-def learn(spark: SparkSession, rounds: int = 12, depth: int = 3, precision: float = 0.98) -> tuple[list, dict[str, float]]:
+def learn(spark: SparkSession, docs: DataFrame | None = None, rounds: int = 16, depth: int = 4, precision: float = 0.98, max_examples: int = 2000) -> tuple[list, dict[str, float]]:
     """(weighted trees, threshold by kind).
 
-    Trees learn from three quarters of the examples; on the rest each kind's threshold
-    is the least margin from which on at least the asked precision holds.
+    Trees learn from three quarters of the examples, made and of the documents; on the
+    rest each kind's threshold is the least margin from which on at least the asked
+    precision holds.
     """
-    key = (spark.sparkContext.applicationId, rounds, depth, precision)
-    if key in _learned:
-        return _learned[key]
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = [(*e, i) for i, e in enumerate(examples())]
-    table = spark.createDataFrame(rows, "kind string, piece string, before string, label int, i int").coalesce(1)
-    table = table.withColumn("f", F.array(*_features(F.col("kind"), F.col("piece"), F.col("before"))))
-    seen = table.where(F.col("i") % 61 % 4 != 0).select(F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features"))
+    table = _examples(spark, docs, max_examples)
+    seen = table.where(~_held()).select(F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features"))
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=1, stepSize=0.3).fit(seen)
     trees = [(float(w), _tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-    held = table.where(F.col("i") % 61 % 4 == 0).select("kind", "label", margin(trees, F.col("f")).alias("m")).collect()
+    held = table.where(_held()).select("kind", "label", F.expr(margin(trees, "f")).alias("m")).collect()
     least = {}
     for kind in ADDED:
         own = sorted(((r["m"], r["label"]) for r in held if r["kind"] == kind), reverse=True)
@@ -240,18 +331,31 @@ def learn(spark: SparkSession, rounds: int = 12, depth: int = 3, precision: floa
             if good >= precision * n and (n == len(own) or own[n][0] < m):
                 best = m
         least[kind] = max(best, 0.0)
-    _learned[key] = trees, least
-    return _learned[key]
+    return trees, least
+
+
+def _examples(spark: SparkSession, docs: DataFrame | None, max_examples: int) -> DataFrame:
+    """All examples with features f, in one order; those of the documents are few and short (``document_examples``)."""
+    rows = examples()
+    if docs is not None:
+        rows += sorted(map(tuple, document_examples(docs, max_examples).collect()))
+    table = spark.createDataFrame([(*e, i) for i, e in enumerate(rows)], "kind string, piece string, before string, label int, i int").coalesce(1)
+    return table.withColumn("f", F.array(*_features(F.col("kind"), F.col("piece"), F.col("before"))))
+
+
+def _held() -> Column:
+    return F.col("i") % 61 % 4 == 0
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, email, ip, card, phone, address, digits, token): arrays of (start, size, piece) by kind."""
-    trees, least = learn(docs.sparkSession)
+    trees, least = learn(docs.sparkSession, docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("norm_"))
     rows = rows.withColumn("digit_", F.col("norm_").rlike("[0-9]"))
     gates = {
         "email": F.col("norm_").contains("@"), "ip": F.col("digit_") & F.col("norm_").contains("."), "card": F.col("digit_"), "phone": F.col("digit_") & F.col("norm_").contains("+"),
-        "address": F.col("norm_").rlike(r"(?i)[\x20(\[{]at[\x20)\]}]"), "digits": F.col("digit_"), "token": F.col("norm_").rlike("[A-Za-z0-9_/+=-]{20}"),
+        "address": F.col("norm_").rlike(r"(?i)[\x20(\[{]at[\x20)\]}]"), "digits": F.col("digit_"), "token": F.col("norm_").rlike("[A-Za-z0-9_/+-]{16}"),
+        "secret": F.col("norm_").rlike(r"(?i)(?:pass|pwd|secret|token|key)[a-z]{0,6}[\"']?[\x20\t]{0,2}[:=]"),
     }
     for kind, pattern in BASE.items():
         rows = _matches(rows, kind, pattern, gates[kind])
@@ -259,7 +363,7 @@ def spans(docs: DataFrame) -> DataFrame:
             rows = rows.withColumn(kind, F.filter(kind, _check(kind)))
     for kind, pattern in GENERATORS.items():
         rows = _matches(rows, kind, pattern, gates[kind])
-        rows = rows.withColumn(f"{kind}_a", _accepted(kind, trees, least[kind]))
+        rows = rows.withColumn(f"{kind}_f", F.transform(kind, _featured(kind))).withColumn(f"{kind}_a", F.expr(_accepted(kind, trees, least[kind])))
     for kind in ADDED:
         rows = rows.withColumn(kind, F.transform(F.filter(f"{kind}_a", _apart(kind)), lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), s["piece"].alias("piece"))))
     return rows.select("doc_id", *BASE, *ADDED)
@@ -269,43 +373,58 @@ def _check(kind: str):
     return lambda s: _holds(kind, s["piece"])
 
 
-def _accepted(kind: str, trees: list, least: float) -> Column:
-    """The candidates whose margin reaches the kind's threshold, with what it is above it."""
-
-    def judged(s: Column) -> Column:
+def _featured(kind: str):
+    def featured(s: Column) -> Column:
         start = F.greatest(s["start"] - 40, F.lit(0))
         before = F.substring(F.col("norm_"), start + 1, s["start"] - start)
-        f = F.array(*_features(F.lit(kind), s["piece"], before))
-        # one element, so that the trees share the features that were computed once
-        above = F.element_at(F.transform(F.array(f), lambda v: margin(trees, v)), 1) - F.lit(least)
-        few = F.length(_digits(s["piece"])) < 7 if kind == "digits" else F.lit(False)
-        return F.struct(s["start"].alias("start"), s["size"].alias("size"), s["piece"].alias("piece"), F.when(few, -1.0).otherwise(above).alias("above"))
+        return F.struct(s["start"].alias("start"), s["size"].alias("size"), s["piece"].alias("piece"), F.array(*_features(F.lit(kind), s["piece"], before)).alias("f"))
 
-    return F.filter(F.transform(kind, judged), lambda s: s["above"] >= 0)
+    return featured
+
+
+def _accepted(kind: str, trees: list, least: float) -> str:
+    """SQL of the candidates whose margin reaches the kind's threshold, with what it is above it."""
+    above = f"{margin(trees, 's.f')} - {_number(least)}"
+    if kind == "digits":
+        above = f"CASE WHEN s.f[{FEATURES.index('digits')}] < 7 THEN -1D ELSE {above} END"
+    scored = f"transform({kind}_f, s -> named_struct('start', s.start, 'size', s.size, 'piece', s.piece, 'above', {above}))"
+    return f"filter({scored}, s -> s.above >= 0)"
 
 
 def _apart(kind: str):
     """Whether a candidate meets no base span and no better candidate of another kind; equals fall to the kind listed first."""
 
     def apart(s: Column) -> Column:
+        end = s["start"] + s["size"]
         clear = F.lit(True)
         for k in BASE:
-            clear = clear & ~F.exists(k, _meets(s))
+            next_ = F.get(F.col(k), _first(k, lambda o: o["start"] + o["size"] > s["start"]))
+            clear = clear & ~F.coalesce(next_["start"] < end, F.lit(False))
         for k in ADDED:
             if k != kind:
-                clear = clear & ~F.exists(f"{k}_a", _beaten(s, ADDED.index(k) < ADDED.index(kind)))
+                low = _first(f"{k}_a", lambda o: o["start"] + o["size"] > s["start"])
+                high = _first(f"{k}_a", lambda o: o["start"] >= end)
+                clear = clear & ~F.exists(F.slice(f"{k}_a", low + 1, high - low), _better(s, ADDED.index(k) < ADDED.index(kind)))
         return clear
 
     return apart
 
 
-def _beaten(s: Column, first: bool):
-    better = lambda o: (o["above"] >= s["above"]) if first else (o["above"] > s["above"])
-    return lambda o: _meets(s)(o) & better(o)
+def _better(s: Column, first: bool):
+    return lambda o: (o["above"] >= s["above"]) if first else (o["above"] > s["above"])
+
+
+def _first(spans: str, holds) -> Column:
+    """How many spans stand before the first for which ``holds``, by halving: the spans are sorted and holds stays true."""
+    n = F.size(spans)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
 
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.shiftright(a["low"] + a["high"], 1)
+        true, false = F.struct(a["low"].alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), a["high"].alias("high"))
+        return F.when(a["low"] >= a["high"], a).when(holds(F.get(F.col(spans), middle)), true).otherwise(false)
 
-def _meets(s: Column):
-    return lambda o: (o["start"] < s["start"] + s["size"]) & (s["start"] < o["start"] + o["size"])
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve)["low"]
 
 
 def _listed(kinds: list[str]) -> Column:

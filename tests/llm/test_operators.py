@@ -264,7 +264,7 @@ def test_pii_candidates_are_settled_by_score(spark):
     bits = ["call 555-123-4567 ", "jane (at) example (dot) org ", 'key = "' + "a1B2" * 8 + '" ', "2024-01-02 ", "a.b@c.org ", "1234567890123456789012 ", "555-123-4567(at)x.y ", "abcdef0123456789abcdef01 at x.y ", "10.0.0.1 "]
     rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 9))), "en", "a") for i in range(60)]
     df = docs(spark, rows)
-    trees, least = pii.learn(spark)
+    trees, least = pii.learn(spark, df)
     got = {x.doc_id: x for x in pii.op4_pii(df).collect()}
     cases = []
     for i, t, *_ in rows:
@@ -272,7 +272,7 @@ def test_pii_candidates_are_settled_by_score(spark):
             cases += [(i, kind, m.start(), m.end(), m.group(), t[max(0, m.start() - 40) : m.start()]) for m in re.finditer(pattern, t)]
     f = F.array(*pii._features(F.col("kind"), F.col("piece"), F.col("before")))
     table = spark.createDataFrame(cases, "i long, kind string, a long, b long, piece string, before string")
-    judged = [(*x[:5], x.m - least[x.kind]) for x in table.withColumn("m", pii.margin(trees, f)).select("i", "kind", "a", "b", "piece", "m").collect()]
+    judged = [(*x[:5], x.m - least[x.kind]) for x in table.withColumn("f", f).withColumn("m", F.expr(pii.margin(trees, "f"))).select("i", "kind", "a", "b", "piece", "m").collect()]
     for i, t, *_ in rows:
         base = base_spans(t)
         own = [c for c in judged if c[0] == i and c[5] >= 0 and (c[1] != "digits" or sum(x.isdigit() for x in c[4]) >= 7)]
