@@ -11,10 +11,10 @@ above its threshold, are dropped; sorted spans are searched by halving for that.
 Scoring stays in one row: matches and the pieces between them give the places by
 running sums, so no row is exploded or shuffled, and very long texts are whole.  The
 trees are learned by Spark's own gradient boosting, and are applied as an expression.
-They learn from made examples of known kind and from the documents: at most
-``max_examples`` different base spans of at most 400 characters and long plain words,
-least by a hash, are put into another form of known label where they stand
-(``document_examples``).
+They learn from made examples of known kind and from the documents: of about
+``max_documents`` documents drawn by a hash, at most ``max_examples`` different base
+spans of at most 400 characters and long plain words are put into another form of
+known label where they stand (``document_examples``).
 
 Defined results: null and empty texts have no spans; the digest is then that of the
 empty string.  Repeated rows are scanned alike.  Other columns are not read.
@@ -207,7 +207,7 @@ def _code_examples(n: int, seed: int = 7) -> list[tuple[str, str, str, int]]:
     return out
 
 
-def document_examples(docs: DataFrame, max_examples: int = 2000) -> DataFrame:
+def document_examples(docs: DataFrame, max_examples: int = 2000, max_documents: int = 10_000) -> DataFrame:
     """(kind, piece, before, label): base spans and long plain words of the documents, each in a form of known label.
 
     An email is spelled out and a phone loses its country's number: both are still
@@ -215,7 +215,8 @@ def document_examples(docs: DataFrame, max_examples: int = 2000) -> DataFrame:
     a part above 255: neither is.  A run of letters is a word; a digest and its capitals
     after a name of a secret, in the place of a base span, are secrets.
     """
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("norm_"))
+    share = max(docs.count() // max_documents, 1)
+    rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select(F.coalesce("text", F.lit("")).alias("norm_"))
     rows = rows.where(F.col("norm_").rlike(r"@|[0-9.+]{7}|[0-9]{4}|\+[0-9]|[A-Za-z]{16}"))
     for kind, pattern in {**BASE, "word": r"(?<![A-Za-z0-9_/+-])[A-Za-z]{16,}+(?![A-Za-z0-9_/+=-])"}.items():
         rows = _matches(rows, kind, pattern, F.lit(True))
@@ -307,7 +308,7 @@ def margin(trees: list[tuple[float, tuple | float]], v: str) -> str:
     return " + ".join(f"{_number(weight)} * {_value(tree, v)}" for weight, tree in trees)
 
 
-def learn(spark: SparkSession, docs: DataFrame | None = None, rounds: int = 16, depth: int = 4, precision: float = 0.98, max_examples: int = 2000) -> tuple[list, dict[str, float]]:
+def learn(spark: SparkSession, docs: DataFrame | None = None, rounds: int = 12, depth: int = 4, precision: float = 0.98, max_examples: int = 2000) -> tuple[list, dict[str, float]]:
     """(weighted trees, threshold by kind).
 
     Trees learn from three quarters of the examples, made and of the documents; on the

@@ -647,3 +647,16 @@ def test_bounds_and_empty_tables(spark):
     twice = docs(spark, [(1, "the house", "en", "a"), (1, "the house", "en", "a"), (1, "other words", "en", "b"), (None, "the house", "en", None), (None, None, None, None)])
     for out in (pii.op4_pii(twice), toxicity.op5_toxicity(twice, marks), quality.op10_quality(twice, marks), language.op7_language(twice), exact.op9_exact(twice), simhash.op8_simhash(twice), mixing.op3_mixing(twice)):
         assert out.count() == 5
+
+
+def test_pii_learns_from_documents(spark):
+    """Every example is a candidate of its generator and has the label that its form says; made secrets are found, plain settings are not."""
+    rows = [(i, f"word{i} mail a{i}.b@c{i}.example.org and 10.0.{i}.7 then +1 (20{i % 10}) 555-01{i:02} pay 4111 1111 1111 1111 Donaudampfschifffahrt", "en", "a") for i in range(12)]
+    rows += [(50, None, "en", "a"), (51, "", "en", "a"), (52, rows[0][1], "en", "a")]
+    made = pii.document_examples(docs(spark, rows)).collect()
+    assert {(x.kind, x.label) for x in made} >= {("address", 1), ("digits", 0), ("digits", 1), ("token", 0), ("token", 1), ("secret", 1)}
+    for x in made:
+        assert re.fullmatch(pii.GENERATORS[x.kind], x.piece), x
+    assert pii.document_examples(docs(spark, rows).limit(0)).count() == 0
+    found = {x.doc_id: x.spans for x in pii.op4_pii(docs(spark, [*rows, (60, 'set password=q7!x92kd0z in "a.b"', "en", "a"), (61, "password: required, token: missing", "en", "a")])).collect()}
+    assert "secret:4:23" in found[60] and found[61] == "" and found[52] == found[0] and found[50] == found[51] == ""
