@@ -243,7 +243,12 @@ def document_examples(docs: DataFrame, max_examples: int = 2000, max_documents:
         example(F.col("form") == "card", "token", capitals, before, 1),
         example(F.col("form") == "email", "secret", F.concat(F.lit("password="), F.substring(digest, 1, 12)), before, 1),
     )
-    return some.select(F.explode(F.filter(made, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    every = some.select(F.explode(F.filter(made, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    # only what the kind's generator would propose whole
+    proposed = F.lit(False)
+    for kind, pattern in GENERATORS.items():
+        proposed = proposed | ((F.col("kind") == kind) & F.col("piece").rlike(rf"\A(?:{pattern})\z"))
+    return every.where(proposed)
 
 
 def _sampled(kind: str):
