@@ -660,3 +660,15 @@ def test_pii_learns_from_documents(spark):
     assert pii.document_examples(docs(spark, rows).limit(0)).count() == 0
     found = {x.doc_id: x.spans for x in pii.op4_pii(docs(spark, [*rows, (60, 'set password=q7!x92kd0z in "a.b"', "en", "a"), (61, "password: required, token: missing", "en", "a")])).collect()}
     assert "secret:4:23" in found[60] and found[61] == "" and found[52] == found[0] and found[50] == found[51] == ""
+
+
+def test_pii_gates_lose_no_match(spark):
+    r = random.Random(11)
+    parts = ["a", "Bo", "x-1", ".", " ", "  ", "(at)", "[At]", "{AT}", " at ", " AT ", "(dot)", " dot ", "[Dot]", "@", "+", "1", "22", "4532", "(", ")", "-", "A1b2C3d4E5f6G7h8", "passWord", "Api-Key", "pwd", "ann@b.co", "10.2.3.4", "+49 171", "555-0199", "=", ":", '"', "s3cret!x", "\u212a", "\u0130", "\n"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(1, 14)))) for i in range(6000)]
+    gates = pii._gates()
+    df = spark.createDataFrame(rows, "i int, norm_ string").withColumn("digit_", F.col("norm_").rlike("[0-9]"))
+    for kind, pattern in {**pii.BASE, **pii.GENERATORS}.items():
+        found = df.where(F.col("norm_").rlike(pattern))
+        assert found.count() > 10, kind
+        assert found.where(~gates[kind]).count() == 0, kind
