@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact, language, licenses, mixing, pii, quality, simhash, toxicity
+from . import centroids, chat, decontaminate, exact, fim, language, licenses, mixing, nearest, pii, quality, simhash, toxicity
 from .common import read
 
 
@@ -25,5 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": _docs(simhash.op8_simhash),
     "op9_exact": _docs(exact.op9_exact),
     "op10_quality": _docs(quality.op10_quality, "labels"),
+    "op11_centroids": lambda spark, sf_dir: centroids.op11_centroids(read(spark, sf_dir, "embeddings")),
+    "op12_nearest": lambda spark, sf_dir: nearest.op12_nearest(read(spark, sf_dir, "embeddings")),
+    "op13_fim": _docs(fim.op13_fim),
 }
-SQL: dict[str, str] = {"op9_exact": exact.OP9_SQL}
+SQL: dict[str, str] = {"op9_exact": exact.OP9_SQL, "op11_centroids": centroids.OP11_SQL, "op12_nearest": nearest.OP12_SQL, "op13_fim": fim.OP13_SQL}
