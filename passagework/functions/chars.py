@@ -136,32 +136,46 @@ def surroundings(docs: DataFrame, text: str = "text", everywhere: bool = False,
 _QUOTES = {"straight": '"', "opened": "“", "closed": "”", "single": "'", "single_opened": "‘", "single_closed": "’"}
 
 
-def seen(text: str = "text", everywhere: bool = False, left: int = 5, right: int = 5, mode: str = "reference", reach: int = 50, marks: Column | None = None) -> Column:
-    """The structs of ``surroundings`` as an array in the text's row."""
+def quotes_in(text: Column) -> Column:
+    """Struct of the numbers of quotes of each kind in a text."""
+    return F.struct(*(_number(q)(text).alias(name) for name, q in _QUOTES.items()))
+
+
+def seen(
+    text: str | Column = "text", everywhere: bool = False, left: int = 5, right: int = 5, mode: str = "reference", reach: int = 50, marks: Column | None = None, carried: Column | None = None,
+) -> Column:
+    """The structs of ``surroundings`` as an array in the text's row.
+
+    carried: for a text that is a piece of a longer one, a struct of the quotes before
+    it (as ``quotes_in``) and ``candidates``, their number in the whole.
+    """
     if mode not in ("reference", "full"):
         raise ValueError(f"unknown context mode {mode!r}")
     ch = characters(text)
     cut, at = (ch, F.transform(ch, lambda c, i: i)) if everywhere else (pieces(text), candidate_positions(text))
     # the quotes of each piece that ends in a place, summed up
-    counts = {name: F.when(F.contains(text, F.lit(q)), running(F.transform(cut, _number(q)))).alias(name) for name, q in _QUOTES.items()}
-    row = F.struct(ch.alias("ch"), at.alias("at"), *counts.values(), *([marks.alias("marks")] if marks is not None else []))
-    return once(row, lambda r: _around(r, left, right, mode, reach, marks is not None))
+    whole = F.col(text) if isinstance(text, str) else text
+    counts = {name: F.when(F.contains(whole, F.lit(q)), running(F.transform(cut, _number(q)))).alias(name) for name, q in _QUOTES.items()}
+    more = [x.alias(name) for x, name in ((marks, "marks"), (carried, "carried")) if x is not None]
+    row = F.struct(ch.alias("ch"), at.alias("at"), *counts.values(), *more)
+    return once(row, lambda r: _around(r, left, right, mode, reach, marks is not None, carried is not None))
 
 
 def _number(q: str):
     return lambda x: F.length(x) - F.length(F.replace(x, F.lit(q), F.lit("")))
 
 
-def _around(r: Column, left: int, right: int, mode: str, reach: int, marked: bool) -> Column:
+def _around(r: Column, left: int, right: int, mode: str, reach: int, marked: bool, carried: bool) -> Column:
     ch = r["ch"]
-    clipped = F.size(r["at"]) <= 50 if mode == "reference" else F.lit(False)
+    candidates = r["carried"]["candidates"] if carried else F.size(r["at"])
+    clipped = candidates <= 50 if mode == "reference" else F.lit(False)
     clip = F.when(clipped, F.lit(2 * max(left, right))).otherwise(F.lit(1 << 30))
 
     def count(name: str, p: Column, i: Column, c: Column) -> Column:
         # in a clipped context, over the few characters that are seen
         few = F.slice(ch, F.greatest(p - clip, F.lit(0)) + 1, F.least(p, clip) + 1)
         near = F.size(F.filter(few, lambda x: x == _QUOTES[name]))
-        upto = F.coalesce(F.try_element_at(r[name], i + 1), F.lit(0))
+        upto = F.coalesce(F.try_element_at(r[name], i + 1), F.lit(0)) + (r["carried"][name] if carried else 0)
         return F.when(c.isin(*_QUOTES.values()), F.when(clipped, near).otherwise(upto)).otherwise(0).alias(name)
 
     def around(p: Column, i: Column) -> Column:

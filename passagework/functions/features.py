@@ -30,8 +30,8 @@ class Place:
         get = F.col if struct is None else struct.getField
         return cls(get("before"), get("after"), get("c"), {n: get(n) for n in ("straight", "opened", "closed", "single", "single_opened", "single_closed")})
 
-    def last(self, n: int) -> Column:
-        return F.when(F.length(self.before) > n, F.substring(self.before, -n, n)).otherwise(self.before)
+    def last(self, n: int | Column) -> Column:
+        return F.right(self.before, F.lit(n) if isinstance(n, int) else n)
 
     @property
     def prev(self) -> Column:
@@ -54,11 +54,21 @@ def window(left: int, right: int, at: Place | None = None) -> Column:
 
 def abbreviation(entries: list[str] | Column, at: Place) -> Column:
     """1 where a full stop ends a run of letters, digits and stops that is a known abbreviation."""
-    run = F.concat(F.regexp_extract(at.last(49), r"[\p{L}\p{N}.]*\z", 0), at.c)
+    run = F.concat(F.regexp_extract(at.last(longest(entries)), r"[\p{L}\p{N}.]*\z", 0), at.c)
     known = F.array_contains(entries, run) if isinstance(entries, Column) else run.isin(*entries) if entries else F.lit(False)
     return F.when((at.c == ".") & known, 1).otherwise(0)
 
 
+def longest(entries: list[str] | Column) -> int | Column:
+    """Characters of the longest entry, and so enough before a full stop to see that a run is longer than any."""
+    return F.coalesce(F.array_max(F.transform(entries, F.length)), F.lit(0)) if isinstance(entries, Column) else max(map(len, entries), default=0)
+
+
+def reach(entries: list[str]) -> int:
+    """Characters around a place that its flags look at."""
+    return max(50, longest(entries))
+
+
 def terminator(at: Place) -> Column:
     return F.when(at.c.isin(*PRIMARY), 1).when(at.c.isin(*SECONDARY), -1).otherwise(0)
 

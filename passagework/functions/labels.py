@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chars import surroundings
-from .features import with_features
+from .chars import running, surroundings
+from .features import reach, with_features
 
 SENTENCE_TAG, PARAGRAPH_TAG = "<|sentence|>", "<|paragraph|>"
 _TAG = r"<\|(?:sentence|paragraph)\|>"
@@ -24,11 +24,9 @@ def clean_text(annotated: str | Column) -> Column:
 def boundaries(annotated: str | Column) -> Column:
     """Sorted distinct places right after a tagged character; tags before any text mark nothing."""
     pieces = _pieces(annotated)
-    inner = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p)).alias("at"), F.when((acc["at"] + F.length(p) > 0) & (F.length(p) > 0), F.concat(acc["all"], F.array(acc["at"] + F.length(p)))).otherwise(acc["all"]).alias("all")
-    )
-    return F.aggregate(inner, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step)["all"]
+    inner = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.length)
+    # an empty piece stands between two tags and repeats a place
+    return F.filter(F.array_distinct(running(inner)), lambda at: at > 0)
 
 
 def annotate(sentences: str | Column) -> Column:
@@ -49,5 +47,5 @@ def labelled_characters(docs: DataFrame, abbreviations: list[str], left: int = 5
     """Every character of the clean text: the other columns of docs, pos, c, label, features."""
     others = [c for c in docs.columns if c != annotated]
     clean = docs.select(*others, clean_text(annotated).alias("_text"), character_labels(annotated).alias("_labels"))
-    places = surroundings(clean, "_text", True, left, right, mode, marks=F.col("_labels")).drop("_labels").withColumnRenamed("mark", "label")
+    places = surroundings(clean, "_text", True, left, right, mode, reach(abbreviations), F.col("_labels")).drop("_labels").withColumnRenamed("mark", "label")
     return with_features(places, abbreviations, left, right)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chars import CANDIDATES, once, seen
-from ..functions.features import Place, feature_count, features
+from ..functions.features import Place, feature_count, features, reach
 from ..functions.labels import labelled_characters
 from ..plans.rules import passes
 from .abbreviations import DEFAULT
@@ -232,15 +232,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
-def boundaries(config: Config, trees: Trees, threshold: float | None = None, text: str = "text") -> Column:
-    """Array of the boundaries of a text by a forest, found inside the row."""
+def boundaries(config: Config, trees: Trees, threshold: float | None = None, text: str | Column = "text", carried: Column | None = None) -> Column:
+    """Array of the boundaries of a text by a forest, found inside the row; carried as in ``seen``, for pieces of texts."""
     cut = config.threshold if threshold is None else threshold
 
     def scored(s: Column) -> Column:
         f = features(list(config.abbreviations), config.left, config.right, config.variant, Place.of(s))
         return F.struct(s["pos"].alias("pos"), once(f, trees.probability).alias("p"))
 
-    rows = F.transform(seen(text, False, config.left, config.right, config.mode), scored)
+    rows = F.transform(seen(text, False, config.left, config.right, config.mode, reach(list(config.abbreviations)), carried=carried), scored)
     return F.transform(F.filter(rows, lambda s: passes(s["p"], cut)), lambda s: s["pos"] + 1)
 
 

@@ -17,7 +17,7 @@ from .operators.abbreviations import DEFAULT
 from .operators.segments import corpus_statistics, paragraph_spans, sentence_spans, sentences, tagged
 from .plans.rules import passes, rule_boundaries, scored
 from .plans.search import best_model
-from .streaming.chunks import chunked_boundaries, cut
+from .streaming.chunks import adjoined, chunked_boundaries, chunked_forest, cut, forest_reach
 
 _L, _I = "long", "int"
 
@@ -128,11 +128,24 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_statistics(sentence_spans(rule_boundaries(docs, list(DEFAULT))), "sentence", "lang")
 
 
+def _differences(one: DataFrame, other: DataFrame) -> DataFrame:
+    """How many boundaries stand in one of two tables (doc_id, bound) alone."""
+    signed = lambda rows, sign: rows.select("doc_id", F.col("bound").cast(_L), F.lit(sign).alias("s"))
+    return signed(one, 1).unionByName(signed(other, -1)).groupBy("doc_id", "bound").agg(F.sum("s").alias("s")).where("s <> 0").agg(F.count("*").alias("differences"))
+
+
 def chunked_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     whole = exploded(rule_boundaries(docs, list(DEFAULT)).select("doc_id", "bounds"), "bounds", "bound")
-    pieces = chunked_boundaries(cut(docs, 1000), list(DEFAULT))
-    return whole.select("doc_id", F.col("bound").cast(_L), F.lit(1).alias("s")).unionByName(pieces.select("doc_id", F.col("bound").cast(_L), F.lit(-1).alias("s"))).groupBy("doc_id", "bound").agg(F.sum("s").alias("s")).where("s <> 0").agg(F.count("*").alias("differences"))
+    return _differences(whole, chunked_boundaries(cut(docs, 1000), list(DEFAULT)))
+
+
+def chunked_forest_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries of a forest over whole documents against those over pieces that find their surroundings by joins."""
+    docs, config, trees = _documents(spark, sf_dir), replace(SAMPLE_CONFIG, mode="reference"), forest.trees_from(SAMPLE_TREES)
+    whole = exploded(docs.withColumn("bounds", forest.boundaries(config, trees)).select("doc_id", "bounds"), "bounds", "bound")
+    pieces = cut(docs, 1000).select("doc_id", "part", "offset", "text")
+    return _differences(whole, chunked_forest(adjoined(pieces, around=forest_reach(config), carry=True), config, trees))
 
 
 #: A forest of four trees over windows of three characters on both sides and the flags, fitted once on conversations.
@@ -234,7 +247,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "candidate_positions": positions, "candidate_counts": candidate_counts, "char_encoding_histogram": encoding_histogram, "onehot_encoding": one_hot, "window_features_l5r5": window_features,
     "page_flags": page_flags, "label_positions": label_positions, "annotate_roundtrip": annotate_roundtrip, "rule_boundaries": rule_bounds, "sentence_spans": spans, "nonblank_sentence_spans": nonblank_spans,
     "segment_text_tagged": segment_tagged, "sentences_list": sentence_list, "paragraph_spans": conversation_paragraphs, "threshold_sweep": threshold_sweep, "evaluation_metrics": evaluation_metrics,
-    "corpus_stats_by_lang": corpus_stats, "chunked_equals_unchunked": chunked_difference, "forest_scores": forest_scores,
+    "corpus_stats_by_lang": corpus_stats, "chunked_equals_unchunked": chunked_difference, "chunked_forest_equals_whole": chunked_forest_difference, "forest_scores": forest_scores,
     "forest_probabilities": forest_probabilities, "forest_evaluation": forest_evaluation, "forest_sentences": forest_sentences, "training_rows_rate0": training_rows(0.0), "training_rows_rate1": training_rows(1.0),
     "forest_trained": forest_trained, "forest_importances": forest_importances, "forest_selected": forest_selected, "grid_search": grid_search, "sql_functions": sql_functions,
     "document_windows": document_windows,
@@ -283,10 +296,13 @@ _CODE = _code("c")
 
 def _rule(table: str, key: str, text: str = "text") -> str:
     """k, pos, p of every candidate by the rule."""
-    ends = "(nx IS NULL OR nx IN (' ', chr(10), chr(9)))"
+    longest = max(map(len, DEFAULT))
     abbr = ", ".join(_q(a) for a in DEFAULT)
-    return f"""SELECT k, pos, CASE WHEN c NOT IN ('.', '!', '?') THEN CASE WHEN c = chr(10) THEN 0.4 WHEN c IN ('"', '”') AND {ends} THEN 0.3 ELSE 0.1 END
- WHEN c = '.' AND regexp_extract(array_to_string(l[greatest(pos - 19, 0) + 1:pos + 1], ''), '[\\p{{L}}\\p{{N}}.]*$') IN ({abbr}) THEN 0.2 WHEN {ends} THEN 0.9 ELSE 0.3 END AS p
+    ends = "(nx IS NULL OR nx IN (' ', chr(10), chr(9)))"
+    known = lambda last: f"regexp_extract(array_to_string(l[greatest({last} - {longest}, 1):{last}], ''), '[\\p{{L}}\\p{{N}}.]*$') IN ({abbr})"
+    closes = f"(pos > 0 AND l[pos] IN ('.', '!', '?') AND NOT regexp_matches(coalesce(l[pos + 3], ''), '^\\p{{Ll}}') AND NOT (l[pos] = '.' AND {known('pos')}))"
+    return f"""SELECT k, pos, CASE WHEN c = chr(10) THEN 0.4 WHEN c NOT IN ('.', '!', '?') THEN CASE WHEN c IN ('"', '”', '''', '’') AND {ends} THEN CASE WHEN {closes} THEN 0.9 WHEN c IN ('"', '”') THEN 0.3 ELSE 0.1 END ELSE 0.1 END
+ WHEN c = '.' AND {known('pos + 1')} THEN 0.2 WHEN {ends} THEN 0.9 ELSE 0.3 END AS p
  FROM (SELECT k, l, pos, l[pos + 1] AS c, CASE WHEN pos + 2 <= len(l) THEN l[pos + 2] END AS nx FROM (
   SELECT k, l, unnest(list_filter(range(len(l)), lambda i: l[i + 1] IN {_CAND})) AS pos FROM (SELECT {key} AS k, string_split({text}, '') AS l FROM {table} WHERE length({text}) > 0)))"""
 
@@ -413,6 +429,7 @@ c AS (SELECT (SELECT count(*) FROM a JOIN p USING (k, bound)) AS tp, (SELECT cou
 SELECT (n - (pp - tp) - (tt - tp)) / n AS accuracy, tp / pp AS "precision", tp / tt AS recall, 2 * tp / (pp + tt) AS f1_score, tp / (pp + tt - tp) AS boundary_accuracy, true AS binary_mode FROM c""",
     "corpus_stats_by_lang": f"""SELECT lang, CAST(count(*) AS BIGINT) AS n, avg("end" - "start") AS mean_length FROM ({_segments("documents", "doc_id", more=", lang")}) GROUP BY lang""",
     "chunked_equals_unchunked": "SELECT CAST(0 AS BIGINT) AS differences",
+    "chunked_forest_equals_whole": "SELECT CAST(0 AS BIGINT) AS differences",
     "forest_scores": f"SELECT doc_id, pos + 1 AS bound FROM ({_forest_sql('documents', 'doc_id')}) WHERE p > 0.5",
     "forest_probabilities": f"SELECT page_id, pos, round(p, 9) AS p FROM ({_forest_sql('pages', 'page_id', 'html')})",
     "forest_sentences": _forest_spans(),

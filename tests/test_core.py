@@ -13,7 +13,8 @@ from passagework.operators import abbreviations, forest
 from passagework.operators.segments import paragraph_spans, repair_quotes, sentence_spans, sentences, strip, tagged
 from passagework.plans.rules import passes, rule_boundaries
 from passagework.sources import files
-from passagework.streaming.chunks import chunked_boundaries, cut, tail_stream
+from passagework.streaming.chunks import adjoined, chunked_boundaries, chunked_forest, cut, forest_reach, rule_reach
+from passagework.streaming.tails import tail_stream
 
 ANNOTATED = "This is one.<|sentence|> Dr. Who is here.<|sentence|> Is he?<|sentence|> Yes.<|sentence|><|paragraph|>"
 
@@ -153,15 +154,60 @@ def test_files_and_abbreviations(spark, tmp_path):
     assert all(len(c) == 1 for c in CANDIDATES)
 
 
+def streamed(spark, folder, batches, known, **more):
+    """Sentences of pieces that come in micro-batches, and how many rows of state are left."""
+    for rows in batches:
+        spark.createDataFrame(rows, "doc_id long, part int, text string").coalesce(1).write.mode("append").json(str(folder))
+    stream = spark.readStream.schema("doc_id long, part int, text string").option("maxFilesPerTrigger", 1).json(str(folder))
+    name = f"tails{random.getrandbits(40)}"
+    q = tail_stream(stream, known, **more).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(90)
+    finally:
+        q.stop()
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    return sorted((r.doc_id, r.start, r.end, r.sentence) for r in spark.table(name).collect()), left
+
+
 def test_tail_stream(spark, tmp_path):
-    pieces = spark.createDataFrame([(1, 0, "One. Tw"), (1, 1, "o. Dr."), (1, 2, " X! end"), (1, 3, None)], "doc_id long, part int, text string")
-    for i in range(4):
-        pieces.where(F.col("part") == i).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(pieces.schema).json(str(tmp_path / "in"))
-    q = tail_stream(stream, ["Dr."]).writeStream.format("memory").queryName("tails").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    got = [(r.start, r.end, r.sentence) for r in spark.table("tails").orderBy("start").collect()]
-    assert got == [(0, 4, "One."), (4, 9, " Two."), (9, 16, " Dr. X!"), (16, 20, " end")]
+    got, left = streamed(spark, tmp_path / "in", [[(1, 0, "One. Tw")], [(1, 1, "o. Dr.")], [(1, 2, " X! end")], [(1, 3, None)]], ["Dr."])
+    assert [g[1:] for g in got] == [(0, 4, "One."), (4, 9, " Two."), (9, 16, " Dr. X!"), (16, 20, " end")] and left == 0
+
+
+def test_pieces_out_of_order(spark, tmp_path):
+    """Shuffled pieces in several micro-batches give what whole documents give, and no state is left."""
+    r = random.Random(13)
+    rows, pieces = mixed_texts(14, 12), []
+    for i, t in enumerate(rows):
+        at = sorted({0, len(t), *(r.randint(0, len(t)) for _ in range(5))})
+        parts = [t[a:b] for a, b in zip(at, at[1:])]
+        pieces += [(i, k, p) for k, p in enumerate(parts)] + [(i, len(parts), None)]
+    r.shuffle(pieces)
+    got, left = streamed(spark, tmp_path / "in", [pieces[k::4] for k in range(4)], KNOWN)
+    want = sorted((x.doc_id, x.start, x.end, x.sentence) for x in sentence_spans(rule_boundaries(texts(spark, rows), KNOWN)).collect())
+    assert got == want and left == 0
+
+
+def test_idle_documents_end(spark, tmp_path):
+    """What nobody finishes is flushed after its time, with pieces behind a gap, and forgotten."""
+    import time
+
+    for rows in ([(1, 0, "One. Tw"), (1, 3, "xyz. E")], [(1, 1, "o. ")], [(2, 0, "later")], [(2, 1, None)]):
+        spark.createDataFrame(rows, "doc_id long, part int, text string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id long, part int, text string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = tail_stream(stream, ["Dr."], idle=1).writeStream.format("memory").queryName("idle").outputMode("append").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if q.lastProgress and q.lastProgress["batchId"] >= 4 and q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0:
+                break
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    finally:
+        q.stop()
+    got = {}
+    for x in spark.table("idle").orderBy("start").collect():
+        got.setdefault(x.doc_id, []).append(x.sentence)
+    assert "".join(got[2]) == "later" and "".join(got[1]) in ("One. Two. xyz. E", "One. Twxyz. Eo. ")
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -218,8 +264,10 @@ def test_every_code_point(spark):
 GOLDEN = {
     "Hello world. This is a simple test.": 2,
     'Creditors may also typically invoke these laws to void "constructive" fraudulent transfers.': 1,
+    'The lawyer exclaimed, "This case is closed!" Then he left the courtroom.': 2,
     "The case Brown v. Board of Education, 347 U.S. 483 (1954), was a landmark decision.": 1,
     "The contract requires: (1) timely payment; (2) quality deliverables; and (3) written notice of termination.": 1,
+    "The witness said, \"He told me 'Stop immediately' before he left.\" This was recorded in the transcript.": 2,
     "The defense argued that \"the plaintiff's claims\nare without merit\" in their motion.": 1,
     "First sentence. Second sentence. Third sentence.": 3,
     "First point; second point; third point.": 1,
@@ -241,37 +289,80 @@ def test_paragraph_literals(spark):
 
 
 def slow_rule(t, known, threshold):
+    import unicodedata
+
+    def ends_known(i):
+        return t[i] == "." and re.search(r"[\w.]*$", t[: i + 1].replace("_", " ")).group() in known
+
     out = []
     for i, c in enumerate(t):
         if c not in CANDIDATES:
             continue
         ends = t[i + 1 : i + 2] in ("", " ", "\n", "\t")
-        run = re.search(r"[\w.]*$", t[max(0, i - 19) : i + 1].replace("_", " ")).group() if c == "." else ""
-        p = (0.4 if c == "\n" else 0.3 if c in '"”' and ends else 0.1) if c not in ".!?" else 0.2 if run in known and c == "." else 0.9 if ends else 0.3
+        if c in ".!?":
+            p = 0.2 if ends_known(i) else 0.9 if ends else 0.3
+        elif c in "\"”'’" and ends:
+            closes = i and t[i - 1] in ".!?" and not ends_known(i - 1) and unicodedata.category(t[i + 2 : i + 3] or " ") != "Ll"
+            p = 0.9 if closes else 0.3 if c in '"”' else 0.1
+        else:
+            p = 0.4 if c == "\n" else 0.1
         if p > 0.5 if threshold == 0.5 else p >= threshold:
             out.append(i + 1)
     return out
 
 
+LONG = ["x" * 19 + ".", "y" * 20 + ".", "z" * 59 + "."]
+KNOWN = ["Dr.", "U.S.", "e.g.", *LONG]
+
+
+def mixed_texts(seed, n):
+    r = random.Random(seed)
+    parts = ["a", "b ", "B ", "Dr.", "U.S.", "e.g.", ". ", ".", "!", '"', "'", "’ ", '" ', "\n", "é", "😀", "”", "x" * 25, *LONG, *(f" {x} " for x in LONG), f'{LONG[0]}" ']
+    return ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(n)]
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.2, 0.35])
 def test_rule_against_brute_force(spark, threshold):
     from passagework.plans.rules import spoken_places
 
-    r = random.Random(11)
-    known = ["Dr.", "U.S.", "e.g."]
-    rows = ["".join(r.choice(["a", "b ", "Dr.", "U.S.", "e.g.", ". ", "!", '"', "\n", "é", "😀", "”", "x" * 25]) for _ in range(r.randint(0, 60))) for _ in range(200)] + ["", None, ". " * 3000]
-    got = {x.doc_id: list(x.bounds) for x in rule_boundaries(texts(spark, rows), known, threshold).collect()}
+    rows = [*mixed_texts(11, 300), "", None, ". " * 3000, 'a." ' * 500]
+    got = {x.doc_id: list(x.bounds) for x in rule_boundaries(texts(spark, rows), KNOWN, threshold).collect()}
     for i, t in enumerate(rows):
-        assert got[i] == slow_rule(t or "", known, threshold)
-        assert list(spoken_places(t or "", 0, True, frozenset(known), threshold)) == got[i]
+        assert got[i] == slow_rule(t or "", KNOWN, threshold)
+        assert list(spoken_places(t or "", 0, len(t or ""), frozenset(KNOWN), threshold)) == got[i]
     if threshold == 0.5:
         from passagework.functions import sql
 
-        sql.register(spark, known)
+        sql.register(spark, KNOWN)
         told = texts(spark, rows).selectExpr("doc_id", "sentence_bounds(text) b", "split_sentences(text) s").collect()
         assert all(list(x.b) == got[x.doc_id] for x in told) and all("".join(x.s) == (rows[x.doc_id] or "") for x in told)
 
 
+@pytest.mark.parametrize("size", [1, 7, 30, 1000])
+def test_pieces_decide_as_whole_texts(spark, size):
+    """By the rule and by a forest, cut in the row or joined from pieces; abbreviations longer than a piece."""
+    df = texts(spark, [t for t in mixed_texts(12, 25 if size > 1 else 8)] + ["", None])
+    whole = {(x.doc_id, x.b) for x in rule_boundaries(df, KNOWN).select("doc_id", F.explode("bounds").alias("b")).collect()}
+    reach = rule_reach(KNOWN)
+    bare = cut(df, size).select("doc_id", "part", "offset", "text")
+    for pieces in (cut(df, size, around=reach), adjoined(bare, around=reach)):
+        assert {(x.doc_id, x.bound) for x in chunked_boundaries(pieces, KNOWN).collect()} == whole
+    trees = forest.trees_from(queries.SAMPLE_TREES)
+    for mode in ("full", "reference"):
+        config = forest.Config(left=3, right=3, mode=mode, abbreviations=tuple(KNOWN))
+        whole = {(x.doc_id, x.b) for x in df.select("doc_id", F.explode(forest.boundaries(config, trees)).alias("b")).collect()}
+        for pieces in (cut(df, size, around=forest_reach(config), carry=True), adjoined(bare, around=forest_reach(config), carry=True)):
+            assert {(x.doc_id, x.bound) for x in chunked_forest(pieces, config, trees).collect()} == whole
+            assert pieces.columns == ["doc_id", "part", "offset", "text", "before", "after", "carried"]
+
+
+def test_long_abbreviations_are_features(spark):
+    rows = [f"See {x} now. {x}{x}" for x in LONG]
+    got = {(r.doc_id, r.pos): r.abbreviation for r in surroundings(texts(spark, rows), mode="full", reach=61).select("doc_id", "pos", *flags(LONG)).collect()}
+    for i, x in enumerate(LONG):
+        assert got[i, 3 + len(x)] == 1 and sum(v for (d, _), v in got.items() if d == i) == 2
+
+
 def test_quote_counts(spark):
     r = random.Random(12)
     rows = ["".join(r.choice("ab.\"“”'‘’ ") for _ in range(r.randint(0, 300))) for _ in range(30)]
