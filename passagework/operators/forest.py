@@ -3,26 +3,25 @@
 from __future__ import annotations
 
 import json
-import uuid
-from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, fields, replace
-from itertools import groupby
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.chars import CANDIDATES, once, seen
+from ..functions.chars import CANDIDATES, seen
 from ..functions.features import Place, feature_count, features, reach
 from ..functions.labels import labelled_characters
 from ..plans.rules import passes
+from . import growth
 from .abbreviations import DEFAULT
+from .growth import DEEPEST
+from .trees import Trees, trees_from, trees_from_nodes  # noqa: F401
 
-VERSION = 1
-#: Spark's trees go no deeper.
-DEEPEST = 30
+VERSION = 2
 
 
 @dataclass(frozen=True)
@@ -38,6 +37,10 @@ class Config:
     sample_rate: float = 0.1
     seed: int = 0
     balanced: bool = True
+    #: Balance classes over each tree's own bootstrap, and not over all rows.
+    per_tree: bool = False
+    #: Nodes of fewer rows are not split.
+    min_split: int = 2
     variant: str = "array"
     mode: str = "reference"
     model_type: str = "random_forest"
@@ -47,20 +50,25 @@ class Config:
 
 
 PRESETS = {
-    "small": Config(left=5, right=3, trees=32, depth=16, min_leaf=4, sample_rate=0.001),
-    "medium": Config(left=7, right=5, trees=64, depth=32, min_leaf=4, sample_rate=0.001),
-    "large": Config(left=9, right=7, trees=256, depth=64, min_leaf=2, sample_rate=0.001),
+    "small": Config(left=5, right=3, trees=32, depth=16, min_leaf=4, min_split=8, per_tree=True, sample_rate=0.001),
+    "medium": Config(left=7, right=5, trees=64, depth=32, min_leaf=4, min_split=8, per_tree=True, sample_rate=0.001),
+    "large": Config(left=9, right=7, trees=256, depth=64, min_leaf=2, min_split=4, per_tree=True, sample_rate=0.001),
 }
 _TYPES = {"random_forest": False, "binary_random_forest": False, "feature_selected_rf": True, "feature_selected_random_forest": True}
 
 
 @dataclass(frozen=True)
 class Segmenter:
-    """A trained forest with its settings; selected: feature indexes in order of importance, or None for all."""
+    """A trained forest with its settings; selected: feature indexes in order of importance, or None for all.
+
+    The model is Spark's, or the trees themselves where they were grown one by one
+    (``growth``), with the importance of each feature that they use.
+    """
 
     config: Config
-    model: RandomForestClassificationModel
+    model: RandomForestClassificationModel | Trees
     selected: tuple[int, ...] | None = None
+    gains: tuple[float, ...] | None = None
 
 
 def training_rows(annotated: DataFrame, config: Config, text: str = "text") -> DataFrame:
@@ -72,7 +80,7 @@ def training_rows(annotated: DataFrame, config: Config, text: str = "text") -> D
     docs = annotated.select(F.col(text).alias("text"), F.xxhash64(text, F.lit(config.seed)).alias("_key"))
     rows = labelled_characters(docs, list(config.abbreviations), config.left, config.right)
     drawn = F.pmod(F.xxhash64("_key", "pos"), F.lit(1 << 40)) < F.lit(int(config.sample_rate * (1 << 40)))
-    return rows.where((F.col("label") == 1) | F.col("c").isin(*CANDIDATES) | drawn).select("label", "features")
+    return rows.where((F.col("label") == 1) | F.col("c").isin(*CANDIDATES) | drawn).select("label", "features", F.xxhash64("_key", "pos").alias("key"))
 
 
 def class_weights(rows: DataFrame) -> dict[int, float]:
@@ -82,13 +90,17 @@ def class_weights(rows: DataFrame) -> dict[int, float]:
     return {k: total / (2.0 * v) for k, v in n.items()}
 
 
-def fit(rows: DataFrame, config: Config) -> RandomForestClassificationModel:
-    forest = RandomForestClassifier(numTrees=config.trees, maxDepth=min(config.depth, DEEPEST), minInstancesPerNode=config.min_leaf, maxBins=128, seed=config.seed, labelCol="label", featuresCol="vector")
+def fit(rows: DataFrame, config: Config) -> tuple[RandomForestClassificationModel | Trees, np.ndarray]:
+    """A forest fitted on (label, vector) and, where trees are grown one by one, key; and the importances of the vector's features."""
+    if config.per_tree or config.min_split > 2 or config.depth > DEEPEST:
+        return growth.forest(rows, config.trees, config.depth, config.min_leaf, config.min_split, config.seed, config.balanced, config.per_tree)
+    forest = RandomForestClassifier(numTrees=config.trees, maxDepth=config.depth, minInstancesPerNode=config.min_leaf, maxBins=128, seed=config.seed, labelCol="label", featuresCol="vector")
     if config.balanced:
         w = class_weights(rows)
         rows = rows.withColumn("weight", F.when(F.col("label") == 1, w.get(1, 1.0)).otherwise(w.get(0, 1.0)))
         forest = forest.setWeightCol("weight")
-    return forest.fit(rows)
+    model = forest.fit(rows)
+    return model, model.featureImportances.toArray()
 
 
 def sliced(rows: DataFrame, selected: tuple[int, ...] | None) -> DataFrame:
@@ -102,14 +114,16 @@ def segmenter_of(rows: DataFrame, config: Config) -> Segmenter:
     """A segmenter fitted on (label, features), with the features selected where its model type asks for that."""
     if config.model_type not in _TYPES:
         raise ValueError(f"unknown model type {config.model_type!r}")
-    model, selected = fit(sliced(rows, None), config), None
+    (model, gains), selected = fit(sliced(rows, None), config), None
     if _TYPES[config.model_type]:
-        ranked = sorted(enumerate(model.featureImportances.toArray().tolist()), key=lambda x: -x[1])
+        ranked = sorted(enumerate(gains.tolist()), key=lambda x: -x[1])
         selected = tuple(i for i, v in ranked if v >= config.selection_threshold)[: config.max_features]
         if not selected:
             raise ValueError("no feature reaches the selection threshold")
-        model = fit(sliced(rows, selected), config)
-    return Segmenter(config, model, selected)
+        model, gains = fit(sliced(rows, selected), config)
+    if isinstance(model, Trees):
+        model = model.renumbered(selected)
+    return Segmenter(config, model, selected, tuple(gains.tolist()))
 
 
 def train(annotated: DataFrame, config: Config | None = None, text: str = "text", **changes) -> tuple[Segmenter, DataFrame]:
@@ -126,11 +140,13 @@ def train(annotated: DataFrame, config: Config | None = None, text: str = "text"
 def importances(made: Segmenter) -> dict[int, float]:
     """Importance by feature index; they sum to 1."""
     index = made.selected or range(feature_count(made.config.left, made.config.right))
-    return dict(zip(index, made.model.featureImportances.toArray().tolist(), strict=True))
+    return dict(zip(index, made.gains, strict=True))
 
 
 def probabilities(rows: DataFrame, made: Segmenter) -> DataFrame:
     """rows with column p, the probability of a boundary."""
+    if isinstance(made.model, Trees):
+        return rows.withColumn("p", made.model.probability(F.col("features")))
     out = made.model.setFeaturesCol("vector").transform(sliced(rows, made.selected))
     return out.withColumn("p", vector_to_array("probability")[1]).drop("vector", "rawPrediction", "probability", "prediction")
 
@@ -139,114 +155,28 @@ def with_prediction(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.withColumn("pred", F.when(passes(F.col("p"), threshold), 1).otherwise(0))
 
 
-@dataclass(frozen=True)
-class Trees:
-    """A forest as flat arrays: the roots' nodes, and per node feature (-1: leaf), threshold, left, right and probability of label 1.
-
-    This is all that scoring needs, so it also stands for models of other makers:
-    whatever can be written as trees scores inside the row like a trained forest.
-    """
-
-    roots: tuple[int, ...]
-    feature: tuple[int, ...]
-    threshold: tuple[float, ...]
-    left: tuple[int, ...]
-    right: tuple[int, ...]
-    value: tuple[float, ...]
-    depth: int
-
-    def probability(self, features: Column) -> Column:
-        """Mean over the trees of their leaves' probabilities, as an expression over a feature array.
-
-        The arrays are folded constants, so the plan does not grow with the forest; each
-        tree is walked by at most its depth of steps.
-        """
-        table = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
-        at = lambda values, kind, node: F.element_at(table(values, kind), node + 1)
-
-        def step(node: Column, _: Column) -> Column:
-            f = at(self.feature, "int", node)
-            lower = F.element_at(features, F.greatest(f, F.lit(0)) + 1) <= at(self.threshold, "double", node)
-            return F.when(f < 0, node).when(lower, at(self.left, "int", node)).otherwise(at(self.right, "int", node))
-
-        leaf = lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(max(self.depth, 1))), root, step)
-        votes = F.transform(table(self.roots, "int"), lambda r: at(self.value, "double", leaf(r)))
-        return F.aggregate(votes, F.lit(0.0), lambda a, v: a + v) / F.lit(float(len(self.roots)))
-
-
-def trees_from(nested: Sequence[tuple | float]) -> Trees:
-    """Trees written as (feature, threshold, left, right), where feature <= threshold goes left; a leaf is its probability."""
-    columns: tuple[list, ...] = ([], [], [], [], [])
-
-    def add(node: tuple | float, level: int) -> tuple[int, int]:
-        at = len(columns[0])
-        feature, threshold, value = (node[0], node[1], 0.0) if isinstance(node, tuple) else (-1, 0.0, float(node))
-        for column, v in zip(columns, (feature, threshold, at, at, value), strict=True):
-            column.append(v)
-        deepest = level
-        if isinstance(node, tuple):
-            for side, child in ((2, node[2]), (3, node[3])):
-                columns[side][at], down = add(child, level + 1)
-                deepest = max(deepest, down)
-        return at, deepest
-
-    made = [add(tree, 0) for tree in nested]
-    return Trees(tuple(r for r, _ in made), *map(tuple, columns), max(d for _, d in made))
-
-
 def trees_of(made: Segmenter) -> Trees:
-    """The forest of a segmenter as flat arrays; features by their place before selection."""
-    rows = _node_rows(made.model)
-    index = made.selected or range(feature_count(made.config.left, made.config.right))
-    start, columns, roots, depth = 0, ([], [], [], [], []), [], 0
-    for _, tree in groupby(sorted(rows, key=lambda r: (r[0], r[1])), key=lambda r: r[0]):
-        nodes = list(tree)
-        # nodes come in the order of their numbers, the root first
-        base, level = start, {0: 0}
-        roots.append(base)
-        for _, number, left, right, feature, threshold, stats in nodes:
-            inner = left >= 0
-            if inner:
-                level[left] = level[right] = level[number] + 1
-            whole = sum(stats)
-            one = stats[1] / whole if len(stats) > 1 and whole > 0 else 0.0
-            for column, v in zip(columns, (index[feature] if inner else -1, threshold, base + left, base + right, one), strict=True):
-                column.append(v)
-        depth = max(depth, *level.values())
-        start += len(nodes)
-    return Trees(tuple(roots), *map(tuple, columns), depth)
-
-
-def _node_rows(model: RandomForestClassificationModel) -> list[tuple]:
-    """(tree, node, left, right, feature, threshold, class weights) of all nodes, from Spark's own saved form of the model."""
-    spark = SparkSession.active()
-    folder = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
-    model.write().save(folder)
-    n = "nodeData"
-    nodes = spark.read.parquet(f"{folder}/data").select("treeID", f"{n}.id", f"{n}.leftChild", f"{n}.rightChild", f"{n}.split.featureIndex", f"{n}.split.leftCategoriesOrThreshold", f"{n}.impurityStats")
-    return [(r[0], r[1], r[2], r[3], r[4], r[5][0] if r[5] else 0.0, r[6]) for r in nodes.collect()]
+    """The forest of a segmenter as node arrays; features by their place before selection."""
+    return made.model if isinstance(made.model, Trees) else trees_from_nodes(growth.nodes(made.model)).renumbered(made.selected)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where all executors can write: the checkpoint folder that the session names, or the warehouse."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+def boundaries(docs: DataFrame, config: Config, trees: Trees, threshold: float | None = None, text: str | Column = "text", into: str = "bounds", carried: Column | None = None) -> DataFrame:
+    """docs with the array of boundaries by a forest: a step for each row, whatever its keys, and no shuffle.
 
+    Features are array expressions in the row; trees are walked over whole batches of
+    rows.  carried as in ``seen``, for pieces of texts.
+    """
 
-def boundaries(config: Config, trees: Trees, threshold: float | None = None, text: str | Column = "text", carried: Column | None = None) -> Column:
-    """Array of the boundaries of a text by a forest, found inside the row; carried as in ``seen``, for pieces of texts."""
-    cut = config.threshold if threshold is None else threshold
-
-    def scored(s: Column) -> Column:
-        f = features(list(config.abbreviations), config.left, config.right, config.variant, Place.of(s))
-        return F.struct(s["pos"].alias("pos"), once(f, trees.probability).alias("p"))
+    def described(s: Column) -> Column:
+        return F.struct(s["pos"].alias("pos"), features(list(config.abbreviations), config.left, config.right, config.variant, Place.of(s)).alias("f"))
 
-    rows = F.transform(seen(text, False, config.left, config.right, config.mode, reach(list(config.abbreviations)), carried=carried), scored)
-    return F.transform(F.filter(rows, lambda s: passes(s["p"], cut)), lambda s: s["pos"] + 1)
+    places = F.transform(seen(text, False, config.left, config.right, config.mode, reach(list(config.abbreviations)), carried=carried), described)
+    return trees.chosen(docs, places, config.threshold if threshold is None else threshold, into)
 
 
 def forest_boundaries(docs: DataFrame, made: Segmenter, threshold: float | None = None, text: str = "text", into: str = "bounds") -> DataFrame:
-    """docs with the array of boundaries by the forest: a projection of each row, whatever its keys; no shuffle."""
-    return docs.withColumn(into, boundaries(made.config, trees_of(made), threshold, text))
+    """docs with the array of boundaries by a trained forest."""
+    return boundaries(docs, made.config, trees_of(made), threshold, text, into)
 
 
 def metrics_of_bounds(rows: DataFrame, truth: str, bounds: str, text: str = "text") -> DataFrame:
@@ -287,17 +217,38 @@ def evaluate(annotated: DataFrame, made: Segmenter, text: str = "text", threshol
 
 def save(made: Segmenter, path: str) -> None:
     """The forest and its settings as a folder; replaces what was there."""
-    made.model.write().overwrite().save(f"{path}/forest")
-    meta = json.dumps({"version": VERSION, "config": asdict(made.config), "selected": made.selected})
     spark = SparkSession.active()
+    if isinstance(made.model, Trees):
+        made.model.table(spark).write.mode("overwrite").parquet(f"{path}/trees")
+    else:
+        made.model.write().overwrite().save(f"{path}/forest")
+    kind = "trees" if isinstance(made.model, Trees) else "forest"
+    meta = json.dumps({"version": VERSION, "kind": kind, "config": asdict(made.config), "selected": made.selected, "gains": made.gains})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
 
 def load(path: str) -> Segmenter:
-    meta = json.loads(SparkSession.active().read.text(f"{path}/config").first()["value"])
+    spark = SparkSession.active()
+    meta = migrated(json.loads(spark.read.text(f"{path}/config").first()["value"]))
+    model = Trees.of(spark.read.parquet(f"{path}/trees")) if meta["kind"] == "trees" else RandomForestClassificationModel.load(f"{path}/forest")
+    gains = meta["gains"] if meta["gains"] is not None else model.featureImportances.toArray().tolist()
+    return Segmenter(Config(**meta["config"]), model, tuple(meta["selected"]) if meta["selected"] else None, tuple(gains))
+
+
+def _kinds_and_gains(meta: dict) -> dict:
+    """Version 1 knew Spark's forests alone and left importances to them."""
+    return {**meta, "kind": "forest", "gains": None, "version": 2}
+
+
+#: What brings the settings of a version to the next one.
+MIGRATIONS = {1: _kinds_and_gains}
+
+
+def migrated(meta: dict) -> dict:
+    """Settings of any earlier version as those of this one, step by step; what a version lacked has its default, what is no more is left out."""
     if meta["version"] > VERSION:
         raise ValueError(f"model version {meta['version']} is newer than {VERSION}")
+    while meta["version"] < VERSION:
+        meta = MIGRATIONS[meta["version"]](meta)
     known = {f.name for f in fields(Config)}
-    # saves of other versions may lack settings, which then have their defaults, or hold some that are no more
-    config = {k: tuple(v) if k == "abbreviations" else v for k, v in meta["config"].items() if k in known}
-    return Segmenter(Config(**config), RandomForestClassificationModel.load(f"{path}/forest"), tuple(meta["selected"]) if meta["selected"] else None)
+    return {**meta, "config": {k: tuple(v) if k == "abbreviations" else v for k, v in meta["config"].items() if k in known}}

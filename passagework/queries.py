@@ -143,7 +143,7 @@ def chunked_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunked_forest_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries of a forest over whole documents against those over pieces that find their surroundings by joins."""
     docs, config, trees = _documents(spark, sf_dir), replace(SAMPLE_CONFIG, mode="reference"), forest.trees_from(SAMPLE_TREES)
-    whole = exploded(docs.withColumn("bounds", forest.boundaries(config, trees)).select("doc_id", "bounds"), "bounds", "bound")
+    whole = exploded(forest.boundaries(docs, config, trees).select("doc_id", "bounds"), "bounds", "bound")
     pieces = cut(docs, 1000).select("doc_id", "part", "offset", "text")
     return _differences(whole, chunked_forest(adjoined(pieces, around=forest_reach(config), carry=True), config, trees))
 
@@ -159,7 +159,7 @@ SAMPLE_TREES = (
 
 
 def _by_forest(docs: DataFrame, threshold: float | None = None) -> DataFrame:
-    return docs.withColumn("bounds", forest.boundaries(SAMPLE_CONFIG, forest.trees_from(SAMPLE_TREES), threshold))
+    return forest.boundaries(docs, SAMPLE_CONFIG, forest.trees_from(SAMPLE_TREES), threshold)
 
 
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of every candidate of the pages by the sample forest, row by row as training sees it."""
     rows = with_features(surroundings(_pages(spark, sf_dir), "text", False, 3, 3, "full"), list(DEFAULT), 3, 3)
-    return _longs(rows.select("page_id", "pos", F.round(once(F.col("features"), forest.trees_from(SAMPLE_TREES).probability), 9).alias("p")))
+    return _longs(rows.select("page_id", "pos", F.round(forest.trees_from(SAMPLE_TREES).probability(F.col("features")), 9).alias("p")))
 
 
 def forest_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:

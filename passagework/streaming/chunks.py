@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chars import CANDIDATES, once, quotes_in, running
+from ..functions.chars import CANDIDATES, exploded, once, quotes_in, running
 from ..functions.features import reach
 from ..operators import forest
 from ..operators.abbreviations import DEFAULT
@@ -132,8 +132,8 @@ def chunked_forest(pieces: DataFrame, config: forest.Config, trees: forest.Trees
     """(key, bound): boundaries of whole documents by a forest, found piece by piece; pieces as ``cut`` or ``adjoined`` gives them with ``forest_reach`` and carry."""
     ahead = quotes_in(F.col("before"))
     carried = F.struct(*((F.col("carried")[q] - ahead[q]).alias(q) for q in _QUOTES), F.col("carried")["candidates"].alias("candidates"))
-    found = forest.boundaries(config, trees, threshold, F.concat("before", text, "after"), carried)
-    return pieces.select(key, F.explode(_own(found, text)).alias("bound"))
+    found = forest.boundaries(pieces.select(key, "offset", text, "before", "after", "carried"), config, trees, threshold, F.concat("before", text, "after"), "_found", carried)
+    return exploded(found.select(key, _own(F.col("_found"), text).alias("_own")), "_own", "bound").drop("_own")
 
 
 def sentence_stream(docs: DataFrame, abbreviations: list[str] | None = None, threshold: float = 0.5) -> DataFrame:

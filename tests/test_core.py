@@ -350,7 +350,7 @@ def test_pieces_decide_as_whole_texts(spark, size):
     trees = forest.trees_from(queries.SAMPLE_TREES)
     for mode in ("full", "reference"):
         config = forest.Config(left=3, right=3, mode=mode, abbreviations=tuple(KNOWN))
-        whole = {(x.doc_id, x.b) for x in df.select("doc_id", F.explode(forest.boundaries(config, trees)).alias("b")).collect()}
+        whole = {(x.doc_id, x.b) for x in forest.boundaries(df, config, trees).select("doc_id", F.explode("bounds").alias("b")).collect()}
         for pieces in (cut(df, size, around=forest_reach(config), carry=True), adjoined(bare, around=forest_reach(config), carry=True)):
             assert {(x.doc_id, x.bound) for x in chunked_forest(pieces, config, trees).collect()} == whole
             assert pieces.columns == ["doc_id", "part", "offset", "text", "before", "after", "carried"]
@@ -390,6 +390,117 @@ def test_forest_inside_the_row(spark):
     assert "Exchange" not in forest.forest_boundaries(df, made)._jdf.queryExecution().executedPlan().toString()
 
 
+def plain_walk(trees, row):
+    total = 0.0
+    for at in trees.roots.tolist():
+        while trees.feature[at] >= 0:
+            at = trees.left[at] + (row[trees.feature[at]] > trees.number[at])
+        total += trees.number[at]
+    return total
+
+
+def test_walk_of_many_places(spark, monkeypatch):
+    import numpy as np
+
+    from passagework.operators import trees as walk
+
+    r = np.random.default_rng(3)
+    grow = lambda d: float(r.random()) if d == 0 or r.random() < 0.1 else (int(r.integers(0, 6)), float(r.integers(-5, 9)) + 0.5, grow(d - 1), grow(d - 1))
+    made = walk.trees_from([grow(9) for _ in range(7)] + [0.25])
+    x = r.integers(-6, 10, (500, 6)).astype(np.int32)
+    want = np.array([plain_walk(made, row) for row in x])
+    monkeypatch.setattr(walk, "PAIRS", 100)
+    monkeypatch.setattr(walk, "BLOCK_NODES", 60)
+    assert (made.votes(x) == want).all() and len(made.blocks()) > 3 and np.allclose(sum(b.votes(x) for b in made.blocks()), want)
+    rows = spark.createDataFrame([(x[i].tolist(), i) for i in range(50)] + [(None, 50)], "f array<int>, i int").repartition(3)
+    got = {y.i: y.p for y in rows.select("i", made.probability(F.col("f")).alias("p")).collect()}
+    assert got[50] is None and all(abs(got[i] - want[i] / 8) < 1e-12 for i in range(50))
+    again = walk.Trees.of(made.table(spark))
+    assert all((getattr(again, c) == getattr(made, c)).all() and getattr(again, c).dtype == getattr(made, c).dtype for c in ("roots", "feature", "number", "left"))
+    plan = rows.select(made.probability(F.col("f")))._jdf.queryExecution().toString()
+    assert len(plan) < 3000
+
+
+def test_bootstraps_balance_their_own_classes(spark):
+    import math
+
+    from passagework.operators import growth
+
+    rows = spark.createDataFrame([(int(i % 9 == 0), i) for i in range(3000)], "label int, key long")
+    u = F.pmod(F.xxhash64(F.col("key"), F.lit(5), F.lit(1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    for x in rows.select(u.alias("u"), growth.drawn(F.col("key"), 5, 1).alias("n")).collect():
+        k, below = 0, math.exp(-1)
+        while x.u >= below:
+            k += 1
+            below += math.exp(-1) / math.factorial(k)
+        assert x.n == k
+    seen = []
+    for tree in (1, 2):
+        got = growth.bootstrap(rows, 5, tree, True, True).collect()
+        n = sum(x["count"] for x in got)
+        for label in (0, 1):
+            own = [x for x in got if x.label == label]
+            assert all(abs(x.weight - x["count"] * n / (2 * sum(y["count"] for y in own))) < 1e-9 for x in own)
+        seen.append(sorted((x.key, x["count"]) for x in got))
+        assert 0.9 < n / 3000 < 1.1
+    assert seen[0] != seen[1]
+    whole = growth.bootstrap(rows, 5, 1, True, False).groupBy("label").agg(F.max(F.col("weight") / F.col("count")).alias("w")).collect()
+    assert {x.label: round(x.w, 6) for x in whole} == {1: round(3000 / (2 * 334), 6), 0: round(3000 / (2 * 2666), 6)}
+    assert {x.weight / x["count"] for x in growth.bootstrap(rows, 5, 1, False, True).collect()} == {1.0}
+
+
+def test_trees_deeper_than_sparks(spark):
+    """Alternating labels whose weight grows threefold: each split takes off one value, so the tree is a chain."""
+    from pyspark.ml.functions import array_to_vector
+
+    from passagework.operators import growth
+    from passagework.operators.trees import trees_from_nodes
+
+    rows = spark.createDataFrame([([float(i)], i % 2, 3.0**i) for i in range(45)], "f array<double>, label int, weight double").select("label", array_to_vector("f").alias("vector"), "weight")
+    tree = growth._grown(rows.coalesce(1), 60, 1, 2, 7)
+    assert growth._levels(tree).max() >= 40
+    flat = trees_from_nodes(tree.assign(tree=0))
+    assert [plain_walk(flat, [float(i)]) for i in range(45)] == [i % 2 for i in range(45)]
+    assert growth._levels(growth._grown(rows.coalesce(1), 33, 1, 2, 7)).max() == 33
+
+
+def test_grown_forest(spark, tmp_path):
+    data = spark.createDataFrame([(ANNOTATED,), ("One, two. <|sentence|>Three; \"four.\"<|sentence|> Mr. X.<|sentence|>",)] * 6, "text string")
+    for kind in ("random_forest", "feature_selected_rf"):
+        made, figures = forest.train(data, trees=3, depth=8, left=3, right=3, sample_rate=0.3, per_tree=True, min_split=8, min_leaf=2, model_type=kind)
+        assert figures.first().recall > 0.5 and abs(sum(forest.importances(made).values()) - 1) < 1e-9
+        forest.save(made, str(tmp_path / kind))
+        again = forest.load(str(tmp_path / kind))
+        df = texts(spark, ["This is one. Is he? Yes.", "", None])
+        bounds = lambda m: [r.bounds for r in forest.forest_boundaries(df, m).orderBy("doc_id").collect()]  # noqa: E731, B023
+        assert bounds(made) == bounds(again) and bounds(made)[1] == [] and again.gains == made.gains and again.selected == made.selected
+    from passagework.operators import growth
+
+    whole, _ = forest.train(data, trees=2, depth=8, left=3, right=3, sample_rate=0.3, min_leaf=1)
+    before = growth.nodes(whole.model)
+    one = before[before["tree"] == 0].reset_index(drop=True)
+    after = growth.pruned(one, 20)
+    assert (after["n"][after["left"] >= 0] >= 20).all() and len(after) < len(one)
+    assert len(after) == 1 + 2 * int((after["left"] >= 0).sum())
+    assert (growth.pruned(one, 2).to_numpy() == one.to_numpy()).all()
+
+
+def test_saves_of_version_one_load(spark, tmp_path):
+    import json
+
+    data = spark.createDataFrame([(ANNOTATED,)] * 5, "text string")
+    made, _ = forest.train(data, trees=3, depth=4, left=3, right=3)
+    forest.save(made, str(tmp_path / "m"))
+    meta = json.loads(spark.read.text(str(tmp_path / "m/config")).first()["value"])
+    old = {"version": 1, "config": {k: v for k, v in meta["config"].items() if k not in ("per_tree", "min_split")} | {"gone": 1}, "selected": None}
+    files.write_document(spark, json.dumps(old), str(tmp_path / "m/config"))
+    again = forest.load(str(tmp_path / "m"))
+    assert again.config == made.config and forest.importances(again) == forest.importances(made)
+    files.write_document(spark, json.dumps({**old, "version": 99}), str(tmp_path / "m/config"))
+    with pytest.raises(ValueError):
+        forest.load(str(tmp_path / "m"))
+
+
 def test_training_sample(spark):
     data = spark.createDataFrame([(ANNOTATED,)] * 2, "text string")
     n = len(re.sub(r"<\|\w+\|>", "", ANNOTATED))
