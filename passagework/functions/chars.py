@@ -20,6 +20,15 @@ BULLETS = "•·○●■□▪▫"
 LIST_CONJUNCTIONS = (" and ", " or ", " and/or ", " as well as ")
 LIST_INTROS = ("following:", "as follows:", "include:", "including:", "such as:", "namely:", "listed below:", "items below:", "the following items:")
 PADDING = -3
+#: Code points that count as punctuation; fixed values, too.
+PUNCTUATION = (
+    0x26, 0x29, 0x2C, 0x2D, 0x2E, 0x3A, 0x3B, 0x5D, 0x5F, 0x7D, 0xBB, 0x5BE, 0x5BF, 0xF3B, 0xF3D, 0x1400, 0x169C, 0x1806, 0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2019, 0x201C, 0x201D,
+    0x203A, 0x203F, 0x2040, 0x2046, 0x2054, 0x207E, 0x208E, 0x2309, 0x230B, 0x2769, 0x276B, 0x276D, 0x276F, 0x2771, 0x2773, 0x2775, 0x27C6, 0x27E7, 0x27E9, 0x27EB, 0x27ED, 0x27EF, 0x2984, 0x2986,
+    0x2988, 0x298A, 0x298C, 0x298E, 0x2990, 0x2992, 0x2994, 0x2996, 0x2998, 0x29D9, 0x29DB, 0x29FD, 0x2E03, 0x2E05, 0x2E0A, 0x2E0D, 0x2E17, 0x2E1A, 0x2E1D, 0x2E21, 0x2E23, 0x2E25, 0x2E27, 0x2E29,
+    0x2E3A, 0x2E3B, 0x2E40, 0x2E56, 0x2E58, 0x2E5A, 0x2E5C, 0x2E5D, 0x3009, 0x300B, 0x300D, 0x300F, 0x3011, 0x3015, 0x3017, 0x3019, 0x301B, 0x301C, 0x301E, 0x301F, 0x3030, 0x30A0, 0xFD3E, 0xFE18,
+    0xFE31, 0xFE32, 0xFE33, 0xFE34, 0xFE36, 0xFE38, 0xFE3A, 0xFE3C, 0xFE3E, 0xFE40, 0xFE42, 0xFE44, 0xFE48, 0xFE4D, 0xFE4E, 0xFE4F, 0xFE58, 0xFE5A, 0xFE5C, 0xFE5E, 0xFE63, 0xFF09, 0xFF0D, 0xFF3D,
+    0xFF3F, 0xFF5D, 0xFF60, 0xFF63, 0x10E2D,
+)
 
 _ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
 _COUNTED = [*map(str, range(1, 11)), *_ROMAN, *"abcdefghij"]
@@ -28,7 +37,7 @@ LIST_MARKERS = (*dict.fromkeys([*(f"({x})" for x in _COUNTED), *(f"{x}." for x i
 #: White space as the engine strips it; Java's own \s and trim() know less.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 _BLANK = r"[\x20\t\xA0  -    　]"
-_PUNCTUATION = r"[\p{Pe}\p{Pf}\p{Pc}\p{Pd}.,:;&“ֿ&&[^\x{58A}\x{232A}\x{10EAD}]]"
+_PUNCTUATION = "[" + "".join(rf"\x{{{p:X}}}" for p in PUNCTUATION) + "]"
 #: Digits that are no decimal digits, such as superscripts and circled ones.
 _DIGITS = "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal())
 

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.chars import BULLETS, CANDIDATES, LIST_INTROS, LIST_MARKERS, candidate_positions, characters, encode, encode_one_hot, exploded, once, surroundings
+from .functions.chars import BULLETS, CANDIDATES, LIST_INTROS, LIST_MARKERS, PUNCTUATION, candidate_positions, characters, encode, encode_one_hot, exploded, surroundings
 from .functions.features import FLAGS, flags, window, with_features
 from .functions.labels import annotate, boundaries, clean_text
 from .functions import sql
@@ -22,11 +22,11 @@ from .streaming.chunks import adjoined, chunked_boundaries, chunked_forest, cut,
 _L, _I = "long", "int"
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
-    """A table; one of fewer files than there are cores is dealt over the cores first, as a file's row groups may be few."""
+def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str, grouped: bool = False) -> DataFrame:
+    """A table; one of fewer files than there are cores is dealt over the cores first, as a file's row groups may be few, unless it is grouped next, which deals it out."""
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if not grouped and len(rows.inputFiles()) < cores else rows
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "text").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("all"))
+    turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "text", grouped=True).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("all"))
     return turns.select("conv_id", annotate(F.transform("all", lambda x: x["t"])).alias("annotated"))
 
 
@@ -106,9 +106,7 @@ def sentence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "text").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("all"))
-    texts = turns.select("conv_id", F.array_join(F.transform("all", lambda x: x["t"]), "\n\n").alias("text"))
-    return _longs(paragraph_spans(rule_boundaries(texts, list(DEFAULT))))
+    return _longs(paragraph_spans(rule_boundaries(_joined_turns(spark, sf_dir), list(DEFAULT))))
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +235,23 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(told.select("page_id", F.posexplode(F.arrays_zip("sentence", "bound")).alias("ord", "s")).select("page_id", "ord", "s.sentence", "s.bound"))
 
 
+def sql_sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of the pages by a table function in SQL."""
+    sql.register(spark)
+    return _longs(spark.sql("SELECT p.page_id, s.ord, s.start, s.`end`, s.sentence FROM {pages} p, LATERAL sentence_rows(p.text) s", pages=_pages(spark, sf_dir)))
+
+
+def _joined_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "text", grouped=True).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("all"))
+    return turns.select("conv_id", F.array_join(F.transform("all", lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def sql_paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of the conversations by a table function in SQL."""
+    sql.register(spark)
+    return _longs(spark.sql("SELECT c.conv_id, p.ord, p.start, p.`end`, p.paragraph FROM {turns} c, LATERAL paragraph_rows(c.text) p", turns=_joined_turns(spark, sf_dir)))
+
+
 def document_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window features of every candidate of all documents, counted by place in the window and code."""
     rows = surroundings(_documents(spark, sf_dir), mode="full").select(F.posexplode(window(5, 5)).alias("k", "code"))
@@ -250,6 +265,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_stats_by_lang": corpus_stats, "chunked_equals_unchunked": chunked_difference, "chunked_forest_equals_whole": chunked_forest_difference, "forest_scores": forest_scores,
     "forest_probabilities": forest_probabilities, "forest_evaluation": forest_evaluation, "forest_sentences": forest_sentences, "training_rows_rate0": training_rows(0.0), "training_rows_rate1": training_rows(1.0),
     "forest_trained": forest_trained, "forest_importances": forest_importances, "forest_selected": forest_selected, "grid_search": grid_search, "sql_functions": sql_functions,
+    "sql_sentence_rows": sql_sentence_rows, "sql_paragraph_rows": sql_paragraph_rows,
     "document_windows": document_windows,
 }
 
@@ -264,7 +280,7 @@ def _in(items) -> str:
 
 _CAND = _in(CANDIDATES)
 _WS = "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
-_PUNCT = "[\\p{Pe}\\p{Pf}\\p{Pc}\\p{Pd}.,:;&\\x{201C}\\x{5BF}]"
+_PUNCT = "[" + "".join(f"\\x{{{p:X}}}" for p in PUNCTUATION) + "]"
 
 
 def _chars(table: str, key: str, text: str = "text") -> str:
@@ -288,7 +304,7 @@ def _code(c: str) -> str:
     digits = " OR ".join(f"unicode({c}) BETWEEN {a} AND {b}" for a, b in _OTHER_DIGITS)
     return f"""CASE WHEN regexp_matches({c}, '^\\p{{L}}') THEN unicode(lower({c})) - 96 WHEN regexp_matches({c}, '^\\p{{Nd}}') OR (unicode({c}) > 127 AND ({digits})) THEN 0
  WHEN {c} IN {_in([x for x in CANDIDATES if x not in chr(10) + chr(13)])} THEN -1 WHEN {c} IN (chr(10), chr(13)) THEN -2
- WHEN {c} IN (' ', chr(9), chr(160)) THEN -3 WHEN regexp_matches({c}, '^{_PUNCT}') AND unicode({c}) NOT IN (1418, 9002, 69293) THEN -4 ELSE -5 END"""
+ WHEN {c} IN (' ', chr(9), chr(160)) THEN -3 WHEN regexp_matches({c}, '^{_PUNCT}') THEN -4 ELSE -5 END"""
 
 
 _CODE = _code("c")
@@ -444,4 +460,6 @@ SELECT (n - (pp - tp) - (tt - tp)) / n AS accuracy, tp / pp AS "precision", tp /
     "document_windows": f"""WITH e AS (SELECT k, pos, c, CAST({_CODE} AS BIGINT) AS code FROM ({_spread("documents", "doc_id")}))
 SELECT o.k AS k, coalesce(e.code, -3) AS code, CAST(count(*) AS BIGINT) AS n FROM (SELECT k, pos FROM e WHERE c IN {_CAND}) p, (SELECT unnest(range(11)) AS k) o LEFT JOIN e ON e.k = p.k AND e.pos = p.pos + o.k - 5 GROUP BY 1, 2""",
 }
+SQL["sql_sentence_rows"] = f'SELECT k AS page_id, ord, "start", "end", substr(t, "start" + 1, "end" - "start") AS sentence FROM ({_segments("pages", "page_id", "html")})'
+SQL["sql_paragraph_rows"] = SQL["paragraph_spans"]
 assert len(FLAGS) == 8

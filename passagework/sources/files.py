@@ -12,21 +12,40 @@ from pyspark.sql import functions as F
 
 
 def training_texts(spark: SparkSession, data: str | list[str], max_samples: int | None = None) -> DataFrame:
-    """(text) from a list, a .jsonl.gz file (records with text; bad lines are skipped) or a plain file (lines with their ends).
-
-    The last line of a plain file has an end only if it has one there.
-    """
+    """(text) from a list, a .jsonl.gz file (records with text; bad lines are skipped) or a plain file (``lines_with_ends``)."""
     if not isinstance(data, str):
         rows = spark.createDataFrame([(t,) for t in data], "text string")
     elif data.endswith(".jsonl.gz"):
         rows = spark.read.schema("text string, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(data).where("text is not null").select("text")
     else:
-        # a file is read whole, as a line does not know whether it was the last
-        whole = spark.read.text(data, wholetext=True)
-        rows = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))).alias("text"))
+        rows = lines_with_ends(spark, data)
     return rows.limit(max_samples) if max_samples is not None else rows
 
 
+def lines_with_ends(spark: SparkSession, path: str) -> DataFrame:
+    """(text): the lines of plain files with their ends, which are "\\n" whatever stands there (\\n, \\r\\n or \\r); a last line without an end has none.
+
+    Files are split like any text source, however large.  Whether a file's last line has
+    an end follows from the bytes of all of its lines against its size, and which line
+    is the last from the file's last block; one more scan finds out.  Compressed files,
+    which cannot be split and do not tell their size, are read whole.
+    """
+    if path.rsplit(".", 1)[-1] in ("gz", "bz2", "zst", "deflate", "lz4", "snappy"):
+        rows = spark.read.text(path, wholetext=True).withColumn("_end", F.lit(""))
+    else:
+        m = "_metadata"
+        rows = spark.read.text(path, lineSep="\n").select(
+            "value", F.monotonically_increasing_id().alias("_id"), F.col(f"{m}.file_path").alias("_file"), F.col(f"{m}.file_size").alias("_size"),
+            (F.col(f"{m}.file_block_start") + F.col(f"{m}.file_block_length")).alias("_upto"),
+        )
+        # the last line of a file may have begun in a block before the last: ids grow along a file's blocks in a task, blocks by their ends
+        files = rows.groupBy("_file").agg(F.sum(F.octet_length("value") + 1).alias("_bytes"), F.max("_size").alias("_size"), F.max_by("_id", F.struct("_upto", "_id")).alias("_id"))
+        bare = files.where("_bytes > _size").select("_file", "_id", F.lit("").alias("_end"))
+        rows = rows.join(bare, ["_file", "_id"], "left").withColumn("_end", F.coalesce("_end", F.lit("\n")))
+    text = F.regexp_replace(F.concat("value", "_end"), "\r\n?", "\n")
+    return rows.select(F.explode(F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))).alias("text"))
+
+
 def load_jsonl(spark: SparkSession, path: str, key: str = "text", max_samples: int | None = None) -> DataFrame:
     """(text) of one key, empty where it is missing; bad lines fail."""
     lines = spark.read.text(path)
