@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,23 +43,36 @@ class Place:
         return F.substring(self.after, 2, 1)
 
 
-def window(left: int, right: int, at: Place | None = None) -> Column:
-    """Codes of the characters from left before to right after, padded as white space."""
+def window(left: int, right: int, at: Place | None = None, code: Callable[[Column], Column] = encode) -> Column:
+    """Codes, by any encoder, of the characters from left before to right after, padded as white space."""
     at = at or Place.of()
     padded = F.concat(
         F.transform(F.sequence(F.lit(-left), F.lit(right)), lambda k: F.when(k < 0, F.substring(at.before, F.length(at.before) + k + 1, F.lit(1))).otherwise(F.substring(at.after, k + 1, F.lit(1))))
     )
-    inside = F.transform(padded, lambda c, i: F.when((i - left < -F.length(at.before)) | (i - left >= F.length(at.after)), F.lit(PADDING)).otherwise(encode(c)))
+    inside = F.transform(padded, lambda c, i: F.when((i - left < -F.length(at.before)) | (i - left >= F.length(at.after)), F.lit(PADDING)).otherwise(code(c)))
     return inside
 
 
 def abbreviation(entries: list[str] | Column, at: Place) -> Column:
-    """1 where a full stop ends a run of letters, digits and stops that is a known abbreviation."""
+    """1 where a full stop ends a run of letters, digits and stops that is a known abbreviation.
+
+    entries: a list, an array column, or an integer column with the answer itself, as
+    ``abbreviations.marked`` joins it from a table of any size.
+    """
+    if isinstance(entries, Known):
+        return entries.flag
     run = F.concat(F.regexp_extract(at.last(longest(entries)), r"[\p{L}\p{N}.]*\z", 0), at.c)
     known = F.array_contains(entries, run) if isinstance(entries, Column) else run.isin(*entries) if entries else F.lit(False)
     return F.when((at.c == ".") & known, 1).otherwise(0)
 
 
+@dataclass(frozen=True)
+class Known:
+    """Stands for a list of abbreviations where the answer is a column already."""
+
+    flag: Column
+
+
 def longest(entries: list[str] | Column) -> int | Column:
     """Characters of the longest entry, and so enough before a full stop to see that a run is longer than any."""
     return F.coalesce(F.array_max(F.transform(entries, F.length)), F.lit(0)) if isinstance(entries, Column) else max(map(len, entries), default=0)
@@ -134,14 +148,14 @@ def feature_count(left: int, right: int) -> int:
     return left + right + 1 + len(FLAGS)
 
 
-def features(abbreviations: list[str] | Column, left: int = 5, right: int = 5, variant: str = "array", at: Place | None = None) -> Column:
+def features(abbreviations: list[str] | Column, left: int = 5, right: int = 5, variant: str = "array", at: Place | None = None, code: Callable[[Column], Column] = encode) -> Column:
     """The window's codes, then the flags, as one array."""
-    return F.concat(window(left, right, at), F.array(*flags(abbreviations, variant, at)))
+    return F.concat(window(left, right, at, code), F.array(*flags(abbreviations, variant, at)))
 
 
-def with_features(places: DataFrame, abbreviations: list[str] | Column, left: int = 5, right: int = 5, variant: str = "array") -> DataFrame:
+def with_features(places: DataFrame, abbreviations: list[str] | Column | Known, left: int = 5, right: int = 5, variant: str = "array") -> DataFrame:
     """places with column features: the window's codes, then the flags."""
-    keep = [c for c in places.columns if c not in ("before", "after", "straight", "opened", "closed", "single", "single_opened", "single_closed")]
+    keep = [c for c in places.columns if c not in ("before", "after", "straight", "opened", "closed", "single", "single_opened", "single_closed", "_known")]
     return places.select(*keep, features(abbreviations, left, right, variant).alias("features"))
 
 
