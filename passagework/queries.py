@@ -12,7 +12,7 @@ from .functions.chars import BULLETS, CANDIDATES, LIST_INTROS, LIST_MARKERS, PUN
 from .functions.features import FLAGS, flags, window, with_features
 from .functions.labels import annotate, boundaries, clean_text
 from .functions import sql
-from .operators import forest
+from .operators import abbreviations, forest
 from .operators.abbreviations import DEFAULT
 from .operators.segments import corpus_statistics, paragraph_spans, sentence_spans, sentences, tagged
 from .plans.rules import passes, rule_boundaries, scored
@@ -252,6 +252,13 @@ def sql_paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(spark.sql("SELECT c.conv_id, p.ord, p.start, p.`end`, p.paragraph FROM {turns} c, LATERAL paragraph_rows(c.text) p", turns=_joined_turns(spark, sf_dir)))
 
 
+def abbreviation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full stops of the documents that end an abbreviation of a table, which is joined and not listed."""
+    table = abbreviations.table(spark)
+    places = surroundings(_documents(spark, sf_dir), mode="full", reach=max(50, abbreviations.longest(table)))
+    return _longs(abbreviations.marked(places, table).where("_known = 1").select("doc_id", "pos"))
+
+
 def document_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window features of every candidate of all documents, counted by place in the window and code."""
     rows = surroundings(_documents(spark, sf_dir), mode="full").select(F.posexplode(window(5, 5)).alias("k", "code"))
@@ -266,7 +273,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forest_probabilities": forest_probabilities, "forest_evaluation": forest_evaluation, "forest_sentences": forest_sentences, "training_rows_rate0": training_rows(0.0), "training_rows_rate1": training_rows(1.0),
     "forest_trained": forest_trained, "forest_importances": forest_importances, "forest_selected": forest_selected, "grid_search": grid_search, "sql_functions": sql_functions,
     "sql_sentence_rows": sql_sentence_rows, "sql_paragraph_rows": sql_paragraph_rows,
-    "document_windows": document_windows,
+    "abbreviation_join": abbreviation_join, "document_windows": document_windows,
 }
 
 
@@ -314,13 +321,16 @@ def _rule(table: str, key: str, text: str = "text") -> str:
     """k, pos, p of every candidate by the rule."""
     longest = max(map(len, DEFAULT))
     abbr = ", ".join(_q(a) for a in DEFAULT)
+    quotes = "('\"', '”', '''', '’')"
     ends = "(nx IS NULL OR nx IN (' ', chr(10), chr(9)))"
-    known = lambda last: f"regexp_extract(array_to_string(l[greatest({last} - {longest}, 1):{last}], ''), '[\\p{{L}}\\p{{N}}.]*$') IN ({abbr})"
-    closes = f"(pos > 0 AND l[pos] IN ('.', '!', '?') AND NOT regexp_matches(coalesce(l[pos + 3], ''), '^\\p{{Ll}}') AND NOT (l[pos] = '.' AND {known('pos')}))"
-    return f"""SELECT k, pos, CASE WHEN c = chr(10) THEN 0.4 WHEN c NOT IN ('.', '!', '?') THEN CASE WHEN c IN ('"', '”', '''', '’') AND {ends} THEN CASE WHEN {closes} THEN 0.9 WHEN c IN ('"', '”') THEN 0.3 ELSE 0.1 END ELSE 0.1 END
- WHEN c = '.' AND {known('pos + 1')} THEN 0.2 WHEN {ends} THEN 0.9 ELSE 0.3 END AS p
- FROM (SELECT k, l, pos, l[pos + 1] AS c, CASE WHEN pos + 2 <= len(l) THEN l[pos + 2] END AS nx FROM (
-  SELECT k, l, unnest(list_filter(range(len(l)), lambda i: l[i + 1] IN {_CAND})) AS pos FROM (SELECT {key} AS k, string_split({text}, '') AS l FROM {table} WHERE length({text}) > 0)))"""
+    known = f"regexp_extract(tail, '[\\p{{L}}\\p{{N}}.]*$') IN ({abbr})"
+    closes = f"(pv IN ('.', '!', '?') AND NOT regexp_matches(n2, '^\\p{{Ll}}') AND NOT coalesce({known}, false))"
+    upto = lambda last: f"array_to_string(l[greatest({last} - {longest}, 1):{last}], '')"
+    return f"""SELECT k, pos, CASE WHEN c = chr(10) THEN 0.4 WHEN c IN {quotes} AND {ends} THEN CASE WHEN {closes} THEN 0.9 WHEN c IN ('"', '”') THEN 0.3 ELSE 0.1 END
+ WHEN c NOT IN ('.', '!', '?') THEN 0.1 WHEN c = '.' AND {known} THEN 0.2 WHEN {ends} THEN 0.9 ELSE 0.3 END AS p
+ FROM (SELECT k, pos, c, pv, nx, n2, CASE WHEN c = '.' THEN {upto('pos + 1')} WHEN pv = '.' AND c IN {quotes} THEN {upto('pos')} END AS tail
+ FROM (SELECT k, l, pos, l[pos + 1] AS c, CASE WHEN pos > 0 THEN l[pos] ELSE '' END AS pv, CASE WHEN pos + 2 <= len(l) THEN l[pos + 2] END AS nx, CASE WHEN pos + 3 <= len(l) THEN l[pos + 3] ELSE '' END AS n2 FROM (
+  SELECT k, l, unnest(list_filter(range(len(l)), lambda i: l[i + 1] IN {_CAND})) AS pos FROM (SELECT {key} AS k, string_split({text}, '') AS l FROM {table} WHERE length({text}) > 0))))"""
 
 
 def _segments(table: str, key: str, text: str = "text", more: str = "") -> str:
@@ -460,6 +470,8 @@ SELECT (n - (pp - tp) - (tt - tp)) / n AS accuracy, tp / pp AS "precision", tp /
     "document_windows": f"""WITH e AS (SELECT k, pos, c, CAST({_CODE} AS BIGINT) AS code FROM ({_spread("documents", "doc_id")}))
 SELECT o.k AS k, coalesce(e.code, -3) AS code, CAST(count(*) AS BIGINT) AS n FROM (SELECT k, pos FROM e WHERE c IN {_CAND}) p, (SELECT unnest(range(11)) AS k) o LEFT JOIN e ON e.k = p.k AND e.pos = p.pos + o.k - 5 GROUP BY 1, 2""",
 }
+SQL["abbreviation_join"] = f"""SELECT k AS doc_id, pos FROM (SELECT k, l, pos FROM (SELECT k, l, unnest(list_filter(range(len(l)), lambda i: l[i + 1] = '.')) AS pos
+ FROM (SELECT doc_id AS k, string_split(text, '') AS l FROM documents WHERE length(text) > 0))) WHERE regexp_extract(array_to_string(l[greatest(pos - 19, 1):pos + 1], ''), '[\\p{{L}}\\p{{N}}.]*$') IN ({", ".join(_q(a) for a in DEFAULT)})"""
 SQL["sql_sentence_rows"] = f'SELECT k AS page_id, ord, "start", "end", substr(t, "start" + 1, "end" - "start") AS sentence FROM ({_segments("pages", "page_id", "html")})'
 SQL["sql_paragraph_rows"] = SQL["paragraph_spans"]
 assert len(FLAGS) == 8
