@@ -1,18 +1,21 @@
 """Licence scans by conditional compression.
 
-A candidate block is a stretch of words that holds enough of a template's words to be
+A candidate block is a stretch of words that holds enough of some template's words to be
 its wording, whatever their order; no stretch that wording could confirm is left out.
-Every such template is confirmed by wording: the exact differences, word by word,
-between the template and the part of the block that it aligns with.  Decisive words,
-which are names, versions and negations, must be the same: a block that loses, changes
-or adds one is another licence, or none.  The block is
-compressed without a dictionary and with the template as a raw zstandard dictionary;
-how much smaller it gets ranks templates that cover the same place equally well, and
-drops none.
+Each block is compressed bare and with every template that it can hold as a raw
+zstandard dictionary, and the bytes that a dictionary saves rank the templates.  They are confirmed in
+that order by wording: the exact differences, word by word, between the template and
+the part of the block that it aligns with.  The first that is confirmed takes its
+places; its words are taken out of the block, and what is left is ranked anew, until
+nothing is confirmed.  A rank decides who is first and drops nobody: a template whose
+wording stands in what the better ones left is always found.  Decisive words, which
+are names, versions and negations, must be the same: a block that loses, changes or
+adds one is another licence, or none.
 
 Defined results: null and empty texts give no rows, nor does an empty set of templates.  Names,
 years and other fill-ins (``<...>`` in a template) match any few words.  Repeated
-rows are scanned alike.  Texts are whole: every word of a text that can hold a template is looked at.
+rows are scanned alike.  Texts are whole: every word of a text that can hold a template is looked at,
+in blocks of bounded length that overlap by the widest template.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ TEMPLATES = {
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "LGPL-notice": "This library is licensed under the GNU Lesser General Public License, version <version>.",
     "AGPL-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <n> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <n> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <n> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <n> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. <n> Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -106,8 +112,16 @@ class Template:
         self.want = [w for w, _, _ in _words(wording, _WORDING)]
         self.counts = Counter(w for w in self.want if not w.startswith("<"))
         self.fixed = self.counts.total()
-        self.width = len(self.want) + 4 + 8 * (self.fixed < len(self.want))
-        self.packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict((re.sub("<[^>]*>", " ", wording) + "\n").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        self.fills = len(self.want) - self.fixed
+        self.width = len(self.want) + 4 + 8 * min(self.fills, 4)
+        self.packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(self._packed() or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+    def _packed(self) -> bytes:
+        return " ".join(w for w in self.want if not w.startswith("<")).encode("utf-8", "surrogatepass")
+
+
+#: Stands for a word that a find has taken; no wording holds it.
+TAKEN = "\0"
 
 
 class Scanner:
@@ -117,22 +131,94 @@ class Scanner:
         self.least = least
         self.bare = zstandard.ZstdCompressor(level=3)
         self.known = [Template(name, wording) for name, wording in templates.items()]
+        self.widest = max((t.width for t in self.known), default=0)
 
     def scan(self, text: str) -> list[tuple]:
         own = _words(text)
+        rows = []
+        for lo, hi, last, able in self._blocks(own):
+            rows += self._settled(own, lo, hi, last, able)
+        return sorted(rows)
+
+    def _blocks(self, own: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int, list[Template]]]:
+        """(first word, end, where the next block begins, templates that can stand in it) of the candidate blocks, from left to right.
+
+        Finds that begin where the next block does belong to that one, which holds them whole.
+        """
         at = defaultdict(list)
         for i, (w, _, _) in enumerate(own):
             at[w].append(i)
-        rows = []
+        stretches = []
         for template in self.known:
-            if sum(min(n, len(at.get(w, ()))) for w, n in template.counts.items()) < self.least * template.fixed:
-                continue
-            places = sorted(i for w in template.counts for i in at.get(w, ()))
-            for lo, hi, coverage, differences in self._places(own, places, template):
-                data = text[own[lo][1] : own[min(len(own), lo + template.width) - 1][2]].encode("utf-8", "surrogatepass")
-                gain = 1 - len(template.packer.compress(data)) / len(self.bare.compress(data))
-                rows.append((own[lo][1], own[hi - 1][2], template.name, round(gain, 6), coverage, differences))
-        return _best(rows)
+            if sum(min(n, len(at.get(w, ()))) for w, n in template.counts.items()) >= self.least * template.fixed:
+                places = sorted(i for w in template.counts for i in at.get(w, ()))
+                stretches += [(a, z, template) for a, z in self._able(own, places, template)]
+        stretches.sort(key=lambda x: x[:2])
+        starts, size, k = [a for a, _, _ in stretches], 4 * self.widest, 0
+        while k < len(stretches):
+            lo, hi = stretches[k][:2]
+            while k < len(stretches) and stretches[k][0] <= hi:
+                hi = max(hi, stretches[k][1])
+                k += 1
+            hi = min(hi, len(own))
+            # a long run of stretches goes in blocks that overlap by the widest template
+            while lo < hi:
+                end = min(lo + size, hi)
+                last = end if end == hi else end - self.widest
+                # no stretch is longer than twice the widest template
+                near = stretches[bisect_left(starts, lo - 2 * self.widest) : bisect_left(starts, end)]
+                yield lo, end, last, list({t.name: t for _, z, t in near if z > lo}.values())
+                lo = last
+
+    def _able(self, own: list[tuple[str, int, int]], places: list[int], template: Template) -> Iterator[tuple[int, int]]:
+        """Merged stretches from a word of the template on, as wide as it can be, that share enough words with it in any order."""
+        held: Counter = Counter()
+        common, upto, open_ = 0, 0, None
+        for i, place in enumerate(places):
+            while upto < len(places) and places[upto] < place + template.width:
+                w = own[places[upto]][0]
+                held[w] += 1
+                common += held[w] <= template.counts[w]
+                upto += 1
+            if common >= self.least * template.fixed:
+                # a few words more, as others are looked at from the parts of an alignment on
+                end = place + 2 * template.width
+                if open_ and place <= open_[1] and end - open_[0] <= 2 * self.widest:
+                    open_[1] = end
+                else:
+                    if open_:
+                        yield open_[0], open_[1]
+                    open_ = [place, end]
+            w = own[place][0]
+            common -= held[w] <= template.counts[w]
+            held[w] -= 1
+        if open_:
+            yield open_[0], open_[1]
+
+    def ranked(self, words: list[str], able: list[Template]) -> list[tuple[int, float, Template]]:
+        """(bytes saved, share of the bare size, template), most bytes first."""
+        data = " ".join(w for w in words if w != TAKEN).encode("utf-8", "surrogatepass")
+        bare = len(self.bare.compress(data))
+        saved = [(bare - len(t.packer.compress(data)), t) for t in able]
+        return [(n, n / bare, t) for n, t in sorted(saved, key=lambda x: (-x[0], x[1].name))]
+
+    def _settled(self, own: list[tuple[str, int, int]], lo: int, hi: int, last: int, able: list[Template]) -> Iterator[tuple]:
+        """The finds of a block that begin before last; their words are taken out of own."""
+        while able:
+            words = [own[i][0] for i in range(lo, hi)]
+            for _, share, template in self.ranked(words, able):
+                # what is not confirmed now will not be when there are fewer words
+                able = [t for t in able if t is not template]
+                places = [i for i in range(lo, hi) if own[i][0] in template.counts]
+                got = sorted(g for g in self._places(own, places, template) if g[0] < last)
+                for a, z, coverage, differences in got:
+                    yield own[a][1], own[z - 1][2], template.name, round(share, 6), coverage, differences
+                for a, z, _, _ in got:
+                    own[a:z] = [(TAKEN, *own[i][1:]) for i in range(a, z)]
+                if got:
+                    break
+            else:
+                return
 
     def _places(self, own: list[tuple[str, int, int]], places: list[int], template: Template) -> Iterator[tuple[int, int, float, str]]:
         """(first word, end, coverage, differences) of all stretches of own where the wording stands; places are those of its words.
@@ -194,15 +280,6 @@ class Scanner:
         return (at + lo, at + hi, round(min(coverage, 1.0), 6), "; ".join(differences)), [at + m.a for m in parts]
 
 
-def _best(rows: list[tuple]) -> list[tuple]:
-    """Of overlapping finds, the one that covers most with the fewest differences; by place."""
-    kept: list[tuple] = []
-    for r in sorted(rows, key=lambda r: (-(r[4] * (r[1] - r[0])), len(r[5]), -r[3], r[0], r[2])):
-        if all(r[1] <= k[0] or k[1] <= r[0] for k in kept):
-            kept.append(r)
-    return sorted(kept)
-
-
 def scan(docs: DataFrame, into: str, templates: dict[str, str] | None = None, least: float = 0.85) -> DataFrame:
     """docs whose text can hold a template, with one more column: the licences confirmed in it.
 

@@ -469,6 +469,65 @@ def test_templates_of_any_kind(spark):
             assert re.search(licenses.gate(templates, 0.85).replace(r"\p{L}\p{N}", r"a-z0-9").replace("(?iu)", "(?i)"), t)
 
 
+def damaged(r, wording, share):
+    """A wording of which some words are lost, changed or put in."""
+    out = []
+    for w in re.sub("<[^>]*>", lambda _: r.choice(["1.", "x", ""]), wording).split():
+        if r.random() < share:
+            out += r.choice([[], [w + "x"], [w, "also"]])
+        else:
+            out.append(w)
+    return " ".join(out)
+
+
+def test_ranks_lose_no_license():
+    """Whatever a template alone is confirmed in is found, or taken by a better one, in texts of many damaged wordings."""
+    r = random.Random(42)
+    names = sorted(licenses.TEMPLATES)
+    joint, alone = licenses.Scanner(licenses.TEMPLATES, 0.85), {n: licenses.Scanner({n: licenses.TEMPLATES[n]}, 0.85) for n in names}
+    found = 0
+    for _ in range(60):
+        parts = [damaged(r, licenses.TEMPLATES[r.choice(names)], r.choice([0, 0.03, 0.15])) for _ in range(r.randint(1, 30))]
+        t = r.choice([" ", "\n", " some filler words here and there "]).join(parts)
+        got = joint.scan(t)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+        for n in names:
+            for place in alone[n].scan(t):
+                assert any(place[0] < g[1] and g[0] < place[1] for g in got), (n, place, t)
+                found += 1
+    assert found > 300
+
+
+def test_ranks_decide_between_near_equals(monkeypatch):
+    one = "the authors of this program let everyone copy change and share it with all friends and all neighbours for ever"
+    near = {"A": one, "B": one.replace("program", "collection of fonts"), "C": one + " and without any fee whatsoever to anybody at all"}
+    scanner = licenses.Scanner(near, 0.85)
+    for n in near:
+        assert [(g[2], g[5]) for g in scanner.scan(f"intro {near[n]} outro")] == [(n, "")]
+    ranked = licenses.Scanner.ranked
+    monkeypatch.setattr(licenses.Scanner, "ranked", lambda self, words, able: ranked(self, words, able)[::-1])
+    assert [g[2] for g in scanner.scan(near["B"])] == ["A"]
+    monkeypatch.undo()
+    asked = []
+    places = licenses.Scanner._places
+    monkeypatch.setattr(licenses.Scanner, "_places", lambda self, own, at, template: asked.append(template.name) or places(self, own, at, template))
+    scanner.scan(near["B"])
+    assert asked[0] == "B"
+
+
+def test_whole_license_bodies(spark):
+    w = licenses.TEMPLATES
+    said = {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "MIT-full", 4: "BSD", 5: "MIT"}
+    fill = lambda t: re.sub("<n>", lambda m, k=iter("123"): next(k) + ".", t)
+    rows = [(i, f"Copyright (c) 2020 Someone\n\n{fill(w[n])}\n\nint main() {{}}", "en", "a") for i, n in said.items()]
+    rows.append((6, "\n".join(fill(w[n]) for n in [*said.values()] * 12), "en", "a"))
+    rows.append((7, "Copyright. " * 3 + (w["MIT-notice"] + " ") * 700, "en", "a"))
+    got = {}
+    for x in licenses.op1_licenses(docs(spark, rows + [rows[0]])).orderBy("doc_id", "start").collect():
+        got.setdefault(x.doc_id, []).append(x.license)
+    assert got == {**{i: [n] for i, n in said.items()}, 1: ["BSD-2-Clause"] * 2, 6: [*said.values()] * 12, 7: ["MIT-notice"] * 700}
+
+
 def cheapest(roles):
     """Least cost over all ways of putting out turns, by plain search over states."""
     cost = {chat.START: 0.0}
