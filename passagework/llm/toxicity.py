@@ -266,11 +266,18 @@ class ToxicityModel:
 
 
 def train(labelled: DataFrame, max_calibration: int = 10_000, discounts: tuple[float, ...] = (10.0, 20.0, 40.0), factors: tuple[float, ...] = (4.0,), most_rows: int = MOST_ROWS) -> ToxicityModel:
-    """Fit from rows (text, y, part): the settings and the logistic on at most about max_calibration rows of part a (0), which the counts of that step leave out; then counts of all rows."""
+    """Fit from rows (text, y, part): the settings and the logistic on at most about max_calibration rows of part a (0), which the counts of that step leave out; then counts of all rows.
+
+    Where part a has labels of one class alone, all rows stand for it.
+    """
     spark = labelled.sparkSession
     table, path = scratch(gather(labelled))
-    held_back = labelled.where("part = 0").select("text", "y")
-    n = held_back.count()
+    in_a = F.when(F.col("part") == 0, 1).otherwise(0)
+    sums = labelled.agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(in_a).alias("n_a"), F.sum(in_a * F.col("y")).alias("y_a")).first()
+    base = sums["y"] / sums["n"] if sums["n"] else 0.0
+    apart = 0 < (sums["y_a"] or 0) < (sums["n_a"] or 0)
+    held_back = (labelled.where("part = 0") if apart else labelled).select("text", "y")
+    n = sums["n_a"] if apart else sums["n"]
     if n > max_calibration:
         held_back = held_back.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.lit(int((1 << 40) * max_calibration / n)))
     counts, folders = counts_of(table, ("b",), min(discounts))
@@ -280,10 +287,10 @@ def train(labelled: DataFrame, max_calibration: int = 10_000, discounts: tuple[f
     for folder in folders:
         discard(spark, folder)
     y = seen["y"].to_numpy(float)
-    base = float(y.mean()) if len(y) else 0.0
+    share = float(y.mean()) if len(y) else 0.0
     best = (np.inf, 0.0, float(np.log((base + 1e-9) / (1 - base + 1e-9))), settings[-1])
     for i, setting in enumerate(settings):
-        if not 0 < base < 1:
+        if not 0 < share < 1:
             break
         x = seen[f"x{i}"].to_numpy(float)
         slope, offset = _logistic(x, y)

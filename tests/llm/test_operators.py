@@ -323,6 +323,12 @@ def test_toxicity(spark):
     held = [i for i in y if got[i].held_out]
     assert np.mean([got[i].predicted == y[i] for i in held]) > 0.95
     assert {r.predicted for r in toxicity.op5_toxicity(df, marks.limit(0)).collect()} == {0}
+    # labels of one class alone where settings are chosen
+    uneven = marks.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1) | (F.col("toxic") == 0))
+    got = {r.doc_id: r for r in toxicity.op5_toxicity(df, uneven).collect()}
+    assert np.mean([got[i].predicted == y[i] for i in held]) > 0.95
+    known = [y[i] for i in y if zlib.crc32(str(i).encode()) % 5 > 1 or (zlib.crc32(str(i).encode()) % 5 == 1 and not y[i])]
+    assert abs(got[400].score - got[401].score) < 1e-12 and abs(got[400].score - np.mean(known)) < 0.02
 
 
 def test_quality(spark):
