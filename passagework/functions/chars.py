@@ -38,8 +38,12 @@ LIST_MARKERS = (*dict.fromkeys([*(f"({x})" for x in _COUNTED), *(f"{x}." for x i
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 _BLANK = r"[\x20\t\xA0  -    　]"
 _PUNCTUATION = "[" + "".join(rf"\x{{{p:X}}}" for p in PUNCTUATION) + "]"
-#: Digits that are no decimal digits, such as superscripts and circled ones.
-_DIGITS = "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal())
+#: Digits that are no decimal digits, such as superscripts and circled ones: first and last of each run of code points.
+OTHER_DIGITS = (
+    (0xB2, 0xB3), (0xB9, 0xB9), (0x1369, 0x1371), (0x19DA, 0x19DA), (0x2070, 0x2070), (0x2074, 0x2079), (0x2080, 0x2089), (0x2460, 0x2468), (0x2474, 0x247C), (0x2488, 0x2490), (0x24EA, 0x24EA),
+    (0x24F5, 0x24FD), (0x24FF, 0x24FF), (0x2776, 0x277E), (0x2780, 0x2788), (0x278A, 0x2792), (0x10A40, 0x10A43), (0x10E60, 0x10E68), (0x11052, 0x1105A), (0x1F100, 0x1F10A),
+)
+_DIGITS = "".join(chr(c) for a, b in OTHER_DIGITS for c in range(a, b + 1))
 
 
 def once(value: Column, use) -> Column:

@@ -62,11 +62,12 @@ class Segmenter:
     """A trained forest with its settings; selected: feature indexes in order of importance, or None for all.
 
     The model is Spark's, or the trees themselves where they were grown one by one
-    (``growth``), with the importance of each feature that they use.
+    (``growth``), with the importance of each feature that they use.  Without a model
+    it is not trained: scoring, saving and importances then raise ValueError.
     """
 
     config: Config
-    model: RandomForestClassificationModel | Trees
+    model: RandomForestClassificationModel | Trees | None = None
     selected: tuple[int, ...] | None = None
     gains: tuple[float, ...] | None = None
 
@@ -137,14 +138,21 @@ def train(annotated: DataFrame, config: Config | None = None, text: str = "text"
     return made, scored_rows
 
 
+def _trained(made: Segmenter) -> None:
+    if made.model is None:
+        raise ValueError("the segmenter is not trained")
+
+
 def importances(made: Segmenter) -> dict[int, float]:
     """Importance by feature index; they sum to 1."""
+    _trained(made)
     index = made.selected or range(feature_count(made.config.left, made.config.right))
     return dict(zip(index, made.gains, strict=True))
 
 
 def probabilities(rows: DataFrame, made: Segmenter) -> DataFrame:
     """rows with column p, the probability of a boundary."""
+    _trained(made)
     if isinstance(made.model, Trees):
         return rows.withColumn("p", made.model.probability(F.col("features")))
     out = made.model.setFeaturesCol("vector").transform(sliced(rows, made.selected))
@@ -157,6 +165,7 @@ def with_prediction(rows: DataFrame, threshold: float) -> DataFrame:
 
 def trees_of(made: Segmenter) -> Trees:
     """The forest of a segmenter as node arrays; features by their place before selection."""
+    _trained(made)
     return made.model if isinstance(made.model, Trees) else trees_from_nodes(growth.nodes(made.model)).renumbered(made.selected)
 
 
@@ -217,6 +226,7 @@ def evaluate(annotated: DataFrame, made: Segmenter, text: str = "text", threshol
 
 def save(made: Segmenter, path: str) -> None:
     """The forest and its settings as a folder; replaces what was there."""
+    _trained(made)
     spark = SparkSession.active()
     if isinstance(made.model, Trees):
         made.model.table(spark).write.mode("overwrite").parquet(f"{path}/trees")

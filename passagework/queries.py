@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.chars import BULLETS, CANDIDATES, LIST_INTROS, LIST_MARKERS, PUNCTUATION, candidate_positions, characters, encode, encode_one_hot, exploded, surroundings
+from .functions.chars import BULLETS, CANDIDATES, LIST_INTROS, LIST_MARKERS, OTHER_DIGITS, PUNCTUATION, candidate_positions, characters, encode, encode_one_hot, exploded, surroundings
 from .functions.features import FLAGS, flags, window, with_features
 from .functions.labels import annotate, boundaries, clean_text
 from .functions import sql
@@ -300,15 +300,8 @@ def _spread(table: str, key: str, text: str = "text") -> str:
     return f"SELECT k, unnest(range(len(l))) AS pos, unnest(l) AS c, unnest(l[2:] || ['']) AS nx FROM (SELECT {key} AS k, string_split({text}, '') AS l FROM {table} WHERE length({text}) > 0)"
 
 
-#: Digits that are no decimal digits: first and last of each run of code points.
-_OTHER_DIGITS = (
-    (0xB2, 0xB3), (0xB9, 0xB9), (0x1369, 0x1371), (0x19DA, 0x19DA), (0x2070, 0x2070), (0x2074, 0x2079), (0x2080, 0x2089), (0x2460, 0x2468), (0x2474, 0x247C), (0x2488, 0x2490), (0x24EA, 0x24EA),
-    (0x24F5, 0x24FD), (0x24FF, 0x24FF), (0x2776, 0x277E), (0x2780, 0x2788), (0x278A, 0x2792), (0x10A40, 0x10A43), (0x10E60, 0x10E68), (0x11052, 0x1105A), (0x1F100, 0x1F10A),
-)
-
-
 def _code(c: str) -> str:
-    digits = " OR ".join(f"unicode({c}) BETWEEN {a} AND {b}" for a, b in _OTHER_DIGITS)
+    digits = " OR ".join(f"unicode({c}) BETWEEN {a} AND {b}" for a, b in OTHER_DIGITS)
     return f"""CASE WHEN regexp_matches({c}, '^\\p{{L}}') THEN unicode(lower({c})) - 96 WHEN regexp_matches({c}, '^\\p{{Nd}}') OR (unicode({c}) > 127 AND ({digits})) THEN 0
  WHEN {c} IN {_in([x for x in CANDIDATES if x not in chr(10) + chr(13)])} THEN -1 WHEN {c} IN (chr(10), chr(13)) THEN -2
  WHEN {c} IN (' ', chr(9), chr(160)) THEN -3 WHEN regexp_matches({c}, '^{_PUNCT}') THEN -4 ELSE -5 END"""

@@ -149,6 +149,19 @@ def test_files_of_many_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_untrained_segmenters_refuse(spark, tmp_path):
+    bare = forest.Segmenter(forest.Config())
+    for use in (lambda: forest.save(bare, str(tmp_path / "m")), lambda: forest.forest_boundaries(texts(spark, ["a."]), bare), lambda: forest.importances(bare), lambda: forest.evaluate(annotated(spark, 1), bare)):
+        with pytest.raises(ValueError, match="not trained"):
+            use()
+
+
+def test_colon_flag_of_the_list_variant(spark):
+    places = surroundings(texts(spark, ["a: b c. d"]), mode="full")
+    got = {v: {r.pos: r.near_colon for r in places.select("pos", *flags([], v)).collect()} for v in ("array", "list")}
+    assert got["list"] == {1: 0, 6: 1} and got["array"] == {1: 0, 6: 0}
+
+
 def test_analysis_report(spark):
     from passagework.functions.features import analysis
 
