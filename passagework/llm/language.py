@@ -29,6 +29,8 @@ from . import tokens
 from .common import fold, fresh
 
 UNDETERMINED = "und"
+#: Languages that a model can hold.
+MOST_LANGUAGES = 1_000
 RESULT = "lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
@@ -64,6 +66,17 @@ def _plain(code: np.ndarray) -> np.ndarray:
     return code
 
 
+def even_share(sizes: list[int], most: int) -> float:
+    """The level at which sizes (sorted) that are cut to it add up to most."""
+    left = most
+    for i, n in enumerate(sizes):
+        level = left / (len(sizes) - i)
+        if n > level:
+            return level
+        left -= n
+    return float(sizes[-1]) if sizes else 0.0
+
+
 def train(
     docs: DataFrame,
     text: str = "text",
@@ -72,15 +85,22 @@ def train(
     bits: int = 16,
     orders: tuple[int, ...] = (2, 3, 4),
     seed: int = 7,
+    most: int = MOST_LANGUAGES,
 ) -> LanguageModel:
-    """Learn from about max_rows labelled rows, drawn evenly by a hash of the text, whole texts each.
+    """Learn from about max_rows labelled rows, drawn by a hash of the text, whole texts each.
 
-    max_rows bounds what is learned from: all rows where there are no more.
+    max_rows bounds what is learned from: all rows where there are no more, and else
+    the same number of each language, or all that a language has.  More than ``most``
+    languages fail, as a model holds a column for each.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("t", "l", F.lit(seed)), F.lit(1 << 40)) < F.lit(int((1 << 40) * max_rows / n)))
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages")
+    if sum(sizes.values()) > max_rows:
+        level = even_share(sorted(sizes.values()), max_rows)
+        limits = [x for l, n in sorted(sizes.items()) for x in (F.lit(l), F.lit(int((1 << 40) * min(1.0, level / n))))]
+        rows = rows.where(F.pmod(F.xxhash64("t", "l", F.lit(seed)), F.lit(1 << 40)) < F.element_at(F.create_map(*limits), F.col("l")))
     size = 1 << bits
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

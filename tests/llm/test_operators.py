@@ -58,6 +58,19 @@ def test_language(spark):
     assert language.op7_language(nobody).first().lang_pred == "und"
 
 
+def test_rare_languages_are_learned(spark):
+    assert language.even_share([3, 100, 5000], 300) == 197 and language.even_share([10, 20], 300) == 20.0 and language.even_share([50, 50], 10) == 5
+    r = random.Random(8)
+    say = lambda lang: " ".join(r.choice(WORDS[lang]) for _ in range(30))
+    rows = [(i, say("en" if i % 2 else "de"), "en" if i % 2 else "de", "a") for i in range(3000)] + [(3000 + i, say("fr"), "fr", "a") for i in range(3)]
+    model = language.train(docs(spark, rows), max_rows=300)
+    assert model.languages == ("de", "en", "fr")
+    probe = docs(spark, [(1, say("fr"), None, "a"), (2, say("en"), None, "a")])
+    assert {x.doc_id: x.r.lang_pred for x in probe.select("doc_id", language.identify("text", model).alias("r")).collect()} == {1: "fr", 2: "en"}
+    with pytest.raises(ValueError, match="languages"):
+        language.train(docs(spark, rows), most=2)
+
+
 def brute_groups(prints, bits=3):
     root = {i: i for i in prints}
 
