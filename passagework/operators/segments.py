@@ -39,11 +39,15 @@ def sentence_spans(docs: DataFrame, bounds: str = "bounds", text: str = "text",
     are left out and leave gaps.
     """
     others = [c for c in docs.columns if c not in (bounds, text)]
-    rows = docs.withColumns({"_ch": characters(text)}).withColumn("_spans", _spans(F.col(bounds), F.size("_ch")))
-    named = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array_join(F.slice("_ch", s["start"] + 1, s["end"] - s["start"]), "").alias("sentence")))
+    row = F.struct(characters(text).alias("ch"), F.col(bounds).alias("b"))
+    named = once(row, lambda r: F.transform(_spans(r["b"], F.size(r["ch"])), lambda s: _sentence(r["ch"], s)))
     if not blank:
         named = F.filter(named, lambda s: ~s["sentence"].rlike(rf"^{SPACE}*\z"))
-    return rows.select(*others, F.posexplode(named).alias("ord", "_s")).select(*others, "ord", "_s.*")
+    return docs.select(*others, F.posexplode(named).alias("ord", "_s")).select(*others, "ord", "_s.*")
+
+
+def _sentence(ch: Column, s: Column) -> Column:
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array_join(F.slice(ch, s["start"] + 1, s["end"] - s["start"]), "").alias("sentence"))
 
 
 def tagged(docs: DataFrame, bounds: str = "bounds", text: str = "text", into: str = "tagged") -> DataFrame:
@@ -108,20 +112,29 @@ def paragraph_spans(docs: DataFrame, bounds: str = "bounds", text: str = "text")
     it.  Spans cover the text; a paragraph of white space joins the one before.
     """
     others = [c for c in docs.columns if c not in (bounds, text)]
-    rows = docs.withColumn("_ch", characters(text)).withColumn("_n", F.size("_ch"))
-    piece = lambda a, b: F.array_join(F.slice("_ch", a + 1, b - a), "")
+    row = F.struct(characters(text).alias("ch"), F.col(bounds).alias("b"))
+    whole = once(row, lambda r: _paragraphs(r["ch"], r["b"]))
+    return docs.select(*others, F.posexplode(whole).alias("ord", "_s")).select(*others, "ord", "_s.*")
+
+
+def _paragraphs(ch: Column, bounds: Column) -> Column:
+    n = F.size(ch)
+    piece = lambda a, b: F.array_join(F.slice(ch, a + 1, b - a), "")
     ahead = rf"^(?s:.{{0,3}})\n{SPACE}*\n"
-    ends = F.filter(bounds, lambda p: (p < F.col("_n")) & piece(p, F.least(p + 10, F.col("_n"))).rlike(ahead))
-    rows = rows.withColumn("_parts", F.transform(_spans(ends, F.col("_n")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), strip(piece(s["start"], s["end"])).alias("paragraph"))))
-    rows = rows.withColumn("_full", F.when((F.size(bounds) == 0), F.col("_parts")).otherwise(F.filter("_parts", lambda s: s["paragraph"] != "")))
-    size = F.size("_full")
-    whole = F.transform(
-        "_full",
-        lambda s, i: F.struct(
-            F.when(i == 0, 0).otherwise(s["start"]).alias("start"), F.when(i == size - 1, F.col("_n")).otherwise(F.try_element_at(F.col("_full"), i + 2)["start"]).alias("end"), s["paragraph"].alias("paragraph")
-        ),
-    )
-    return rows.select(*others, F.posexplode(whole).alias("ord", "_s")).select(*others, "ord", "_s.*")
+    ends = F.filter(bounds, lambda p: (p < n) & piece(p, F.least(p + 10, n)).rlike(ahead))
+    parts = F.transform(_spans(ends, n), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), strip(piece(s["start"], s["end"])).alias("paragraph")))
+    # a text without any boundary is one paragraph, be it blank
+    full = F.filter(parts, lambda s: (s["paragraph"] != "") | (F.size(bounds) == 0))
+
+    def joined(f: Column) -> Column:
+        return F.transform(
+            f,
+            lambda s, i: F.struct(
+                F.when(i == 0, 0).otherwise(s["start"]).alias("start"), F.when(i == F.size(f) - 1, n).otherwise(F.try_element_at(f, i + 2)["start"]).alias("end"), s["paragraph"].alias("paragraph")
+            ),
+        )
+
+    return once(full, joined)
 
 
 def corpus_statistics(segments: DataFrame, column: str, *by: str) -> DataFrame:

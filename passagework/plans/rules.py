@@ -14,7 +14,8 @@ from collections.abc import Iterable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import CANDIDATES, CLOSING_QUOTES, PRIMARY, once, pieces, places
+from ..functions.chars import CANDIDATES, CLOSING_QUOTES, PRIMARY, SPACE, once, pieces, places, running
+from ..operators.segments import sentence_spans
 
 THRESHOLD = 0.5
 #: Characters after a candidate that decide about it.
@@ -123,12 +124,39 @@ def sentence_end(abbreviations: Sequence[str]) -> str:
 _RUN = r"[\p{L}\p{N}.]*\z"
 
 
+#: A list of more entries is looked up candidate by candidate and not put into one pattern.
+IN_PATTERN = 500
+
+
+def _parts(text: str | Column, abbreviations: Sequence[str]) -> Column:
+    """The text between its boundaries at the default threshold, by one split; the last part is what follows the last boundary, be it empty."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.split(F.coalesce(c, F.lit("")), sentence_end(abbreviations), -1)
+
+
 def boundaries(text: str | Column, abbreviations: list[str] | None = None, threshold: float = THRESHOLD) -> Column:
     """Array of the boundaries of a text by the rule."""
-    kept = F.filter(_scores(text, abbreviations or []), lambda s: passes(s["p"], threshold))
+    known = abbreviations or []
+    if threshold == THRESHOLD and len(known) <= IN_PATTERN:
+        ends = running(F.transform(_parts(text, known), F.length))
+        return once(ends, lambda e: F.slice(e, F.lit(1), F.size(e) - 1))
+    kept = F.filter(_scores(text, known), lambda s: passes(s["p"], threshold))
     return F.transform(kept, lambda s: s["pos"] + 1)
 
 
+def rule_sentences(docs: DataFrame, abbreviations: list[str] | None = None, threshold: float = THRESHOLD, text: str = "text", blank: bool = True) -> DataFrame:
+    """``sentence_spans`` of the rule's boundaries; at the default threshold one split gives the sentences themselves, and places are sums of their lengths."""
+    known = abbreviations or []
+    if threshold != THRESHOLD or len(known) > IN_PATTERN:
+        return sentence_spans(rule_boundaries(docs, known, threshold, text), "bounds", text, blank)
+    parts = F.filter(_parts(text, known), lambda x: x != "")
+    placed = once(parts, lambda p: F.zip_with(p, running(F.transform(p, F.length)), lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("sentence"))))
+    if not blank:
+        placed = F.filter(placed, lambda s: ~s["sentence"].rlike(rf"^{SPACE}*\z"))
+    others = [c for c in docs.columns if c != text]
+    return docs.select(*others, F.posexplode(placed).alias("ord", "_s")).select(*others, "ord", "_s.*")
+
+
 def rule_boundaries(docs: DataFrame, abbreviations: list[str] | None = None, threshold: float = THRESHOLD, text: str = "text", into: str = "bounds") -> DataFrame:
     """docs with the array of boundaries (places after the boundary characters) by the rule."""
     return docs.withColumn(into, boundaries(text, abbreviations, threshold))

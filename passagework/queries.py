@@ -15,7 +15,7 @@ from .functions import sql
 from .operators import abbreviations, forest
 from .operators.abbreviations import DEFAULT
 from .operators.segments import corpus_statistics, paragraph_spans, sentence_spans, sentences, tagged
-from .plans.rules import passes, rule_boundaries, scored
+from .plans.rules import passes, rule_boundaries, rule_sentences, scored
 from .plans.search import best_model
 from .streaming.chunks import adjoined, chunked_boundaries, chunked_forest, cut, forest_reach
 
@@ -90,11 +90,11 @@ def rule_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _longs(sentence_spans(_bounded(spark, sf_dir)))
+    return _longs(rule_sentences(_documents(spark, sf_dir), list(DEFAULT)))
 
 
 def nonblank_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _longs(sentence_spans(_bounded(spark, sf_dir), blank=False).select("doc_id", "start", "end"))
+    return _longs(rule_sentences(_documents(spark, sf_dir), list(DEFAULT), blank=False).select("doc_id", "start", "end"))
 
 
 def segment_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "lang", "text")
-    return corpus_statistics(sentence_spans(rule_boundaries(docs, list(DEFAULT))), "sentence", "lang")
+    return corpus_statistics(rule_sentences(docs, list(DEFAULT)), "sentence", "lang")
 
 
 def _differences(one: DataFrame, other: DataFrame) -> DataFrame:

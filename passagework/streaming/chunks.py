@@ -19,7 +19,6 @@ from ..functions.chars import CANDIDATES, exploded, once, quotes_in, running
 from ..functions.features import reach
 from ..operators import forest
 from ..operators.abbreviations import DEFAULT
-from ..operators.segments import sentence_spans
 from ..plans import rules
 
 #: Parts whose counts are summed up in one group of the prefix scan.
@@ -138,4 +137,4 @@ def chunked_forest(pieces: DataFrame, config: forest.Config, trees: forest.Trees
 
 def sentence_stream(docs: DataFrame, abbreviations: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """Sentences of a stream (or table) of whole documents, without state."""
-    return sentence_spans(rules.rule_boundaries(docs, list(DEFAULT) if abbreviations is None else abbreviations, threshold))
+    return rules.rule_sentences(docs, list(DEFAULT) if abbreviations is None else abbreviations, threshold)
