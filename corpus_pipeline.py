@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs.  Every stage but the last returns
-the columns of documents for the rows that it keeps.  Nulls, empty texts and repeated
-rows are treated as the stages' operators say.
+the columns of documents for the rows that it keeps, under whatever names there are
+besides; the names that operators use inside step aside for them.
+
+Nulls, empty and very long texts, ties and repeated rows are treated as the stages'
+operators say: texts without a letter go with the first stage, of equal texts the largest
+doc_id stays (of rows that repeat it, one), of near copies the smallest, very long
+texts are read whole, in pieces.  An empty table stays empty through all stages.
 """
 
 from __future__ import annotations

@@ -750,3 +750,15 @@ def test_pii_gates_lose_no_match(spark):
         found = df.where(F.col("norm_").rlike(pattern))
         assert found.count() > 10, kind
         assert found.where(~gates[kind]).count() == 0, kind
+
+
+def test_stages_of_odd_tables(spark):
+    """Every stage on an empty table, and on nulls, repeats, a long text and columns with names of the operators' own."""
+    import corpus_pipeline
+
+    rows = [*corpus(31, 30), (None, "der die und nicht schön", "de", None), (None, None, None, None), (5, "the house of words and that", "en", "a"), (5, "the house of words and that", "en", "a"), (9000, "words with that house " * 60_000, "en", "b")]
+    for table, left in ((docs(spark, rows), True), (docs(spark, rows).limit(0), False)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, "/root/testdata/sf0.001")
+            assert bool(out.count()) == left
+            assert i + 1 == len(corpus_pipeline.STAGES) or out.columns == table.columns
