@@ -58,7 +58,10 @@ def forest(rows: DataFrame, trees: int, depth: int, min_leaf: int, min_split: in
     if trees < 1 or depth < 0:
         raise ValueError("a forest needs trees and a depth of at least 0")
     rows = rows.select("label", "vector", "key").persist()
-    width = len(rows.first()["vector"])
+    one = rows.first()
+    if one is None:
+        raise ValueError("nothing to train on")
+    width = len(one["vector"])
 
     def grown(tree: int) -> pd.DataFrame:
         own = bootstrap(rows, seed, tree, balanced, per_tree)

@@ -491,6 +491,8 @@ def test_grown_forest(spark, tmp_path):
         assert bounds(made) == bounds(again) and bounds(made)[1] == [] and again.gains == made.gains and again.selected == made.selected
     from passagework.operators import growth
 
+    with pytest.raises(ValueError, match="nothing"):
+        forest.train(data.limit(0), per_tree=True)
     whole, _ = forest.train(data, trees=2, depth=8, left=3, right=3, sample_rate=0.3, min_leaf=1)
     before = growth.nodes(whole.model)
     one = before[before["tree"] == 0].reset_index(drop=True)
