@@ -140,7 +140,8 @@ def mix(docs: DataFrame, block: int = 64, slots_per_shard: int = 4096, cap: floa
     pieces = placed.where("size > 0").withColumn("index", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     inside = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block) - F.greatest(F.col("start"), F.col("index") * block)
     pieces = pieces.select("source", "part", "nth", "index", inside.alias("inside"))
-    taken = slots(plan, slots_per_shard, seed).groupBy("source", "index").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
+    # one row for each block of the corpus: Spark takes what is exploded from the plan's few rows for small and would send it whole through the driver
+    taken = slots(plan, slots_per_shard, seed).groupBy("source", "index").agg(F.count("*").alias("times"), F.min("shard").alias("shard")).hint("merge")
     got = pieces.join(taken, same(pieces, taken) & (pieces["index"] == taken["index"])).groupBy(pieces["source"].alias("s"), "part", "nth")
     got = got.agg(F.sum(F.col("inside") * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
     out = placed.join(got, placed["source"].eqNullSafe(got["s"]) & (placed["part"] == got["part"]) & (placed["nth"] == got["nth"]), "left")

@@ -211,6 +211,15 @@ def test_mixing_of_a_small_source(spark):
     assert abs(got[3].taken - 8800) <= 64
 
 
+def test_blocks_of_a_mix_are_not_sent_to_all(spark):
+    """Slots come from one row per source, but are as many as the corpus has blocks: their join is a shuffle at any size."""
+    df = mixing.op3_mixing(docs(spark, corpus(6, 120)))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [x for x in plan.splitlines() if "Join [" in x and "index#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_every_shard_is_a_fair_draw(spark):
     """Counts of all shards, the last one too, against the multinomial's expectation; totals are the quotas."""
     sources = spark.createDataFrame([("a", 64 * 3000, 10), ("b", 64 * 9000, 10), (None, 64 * 8000, 10)], "source string, source_size long, rows long")
