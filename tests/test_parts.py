@@ -3,17 +3,22 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
+from passagework import queries
+from passagework.functions import batches
 from passagework.functions.chars import CANDIDATES, surroundings
 from passagework.functions.features import Known, flags, with_features
+from passagework.functions.labels import labelled_characters
 from passagework.operators import abbreviations, forest
 from passagework.operators.stages import ENCODERS, Boundaries, Places
 from passagework.plans.search import best_model, figures_by_threshold, narrowed
 from passagework.sources import files, registry
+from passagework.streaming import chunks
 
 ANNOTATED = ["This is one.<|sentence|> Dr. Who is here.<|sentence|> Is he?<|sentence|> Yes.<|sentence|><|paragraph|>", 'He said: "No; never."<|sentence|> See Fig. 3, then go on!<|sentence|> Done.<|sentence|>']
 
@@ -61,6 +66,60 @@ def test_windows_are_slices(spark):
     assert base.sample_rate == 0.5
 
 
+ODD = ["", None, ".", "\n", "a" * 70 + ".", "U.S.A. v. Dr. X; e.g. 'no'.", "as follows: (1) one; (ii) two, and three; x. four; or five.", "He said: \u201cGo.\u201d \u2018no\u2019 \"yes\" \U0001d4d0. \u00b2; \u00df! \u01c5? z", "include: a; b; c as well as d", "viii. ix. 10. \u2022 x: y\r\n(x) z:"]
+ALPHABET = ["a", "b", "i", "v", "x", "1", "0", "(", ")", ".", ".", ";", ":", ",", " ", " ", "\"", "\u201c", "\u201d", "'", "\u2018", "\u2019", "\n", "\r", "\u2022", "Dr.", "No.", " and ", " or ", " as well as ", "following:", "include:", "\U0001d4d0", "\u00e9", "\u00b2", "A", "?", "!"]
+
+
+def odd_texts(n, seed):
+    r = random.Random(seed)
+    return ODD + ["".join(r.choice(ALPHABET) for _ in range(r.choice((3, 20, 90, 400)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("mode, variant, left, right, reach", [("full", "array", 5, 5, 50), ("reference", "array", 3, 2, 50), ("reference", "list", 1, 0, 60), ("reference", "array", 0, 0, 50), ("full", "list", 9, 7, 55)])
+def test_batches_describe_places_as_expressions_do(spark, mode, variant, left, right, reach):
+    df = texts(spark, odd_texts(120, left)).repartition(3)
+    entries = [*abbreviations.DEFAULT, "abc.", "a.1."]
+    for everywhere in (False, True):
+        want = with_features(surroundings(df, "text", everywhere, left, right, mode, reach), entries, left, right, variant)
+        got = batches.placed(df, batches.Look(left, right, mode, reach, tuple(entries), variant, everywhere=everywhere))
+        rows = lambda x: sorted((r.doc_id, r.pos, tuple(r.features)) for r in x.select("doc_id", "pos", "features").collect())
+        assert rows(got) == rows(want)
+
+
+def test_batches_go_in_groups(monkeypatch):
+    monkeypatch.setattr(batches, "CHARACTERS", 100)
+    given = odd_texts(60, 1)
+    got = list(batches.groups(pa.RecordBatch.from_arrays([pa.array(given)], ["t"]), 0))
+    assert [t for g in got for t in g.column(0).to_pylist()] == given and all(g.num_rows == 1 or sum(len((t or "").encode()) for t in g.column(0).to_pylist()) <= 100 for g in got) and len(got) > 20
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.2, 1.0])
+def test_training_rows_without_a_row_for_every_character(spark, rate):
+    """The rows that train, with their sample, are those of a filter over all characters."""
+    r = random.Random(2)
+    df = spark.createDataFrame([("".join(w + r.choice(("", "", "<|sentence|>", "<|paragraph|>")) for w in (t or "")),) for t in odd_texts(25, 5)] + [(None,)], "text string")
+    config = forest.Config(left=3, right=2, sample_rate=rate, seed=7)
+    rows = labelled_characters(df.select("text", F.xxhash64("text", F.lit(7)).alias("_key")), list(config.abbreviations), 3, 2)
+    drawn = F.pmod(F.xxhash64("_key", "pos"), F.lit(1 << 40)) < F.lit(int(rate * (1 << 40)))
+    want = rows.where((F.col("label") == 1) | F.col("c").isin(*CANDIDATES) | drawn).select("label", "features", F.xxhash64("_key", "pos").alias("key"))
+    got = forest.training_rows(df, config)
+    listed = lambda x: sorted((y.label, tuple(y.features), y.key) for y in x.collect())
+    assert listed(got) == listed(want)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conversations_are_dealt_over_all_tasks(spark):
+    """What is worked out of conversations costs far more than their bytes, by which Spark would put them into one task."""
+    assert queries._annotated(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_ends_are_sent_no_further_than_needed(spark):
+    """A short last piece asks for no more neighbours than a long one."""
+    pieces = chunks.cut(texts(spark, ["abcd. " * 90 + "x"]), 100).select("doc_id", "part", "offset", "text")
+    plan = chunks.adjoined(pieces, around=(50, 50))._jdf.queryExecution().analyzed().toString()
+    assert "sequence(1, 1, " in plan
+
+
 def test_figures_of_all_thresholds(spark):
     r = random.Random(3)
     rows = spark.createDataFrame([(r.randint(0, 1), r.choice([0.0, 0.3, 0.5, 0.50001, 0.7, r.random(), 1.0])) for _ in range(400)], "label int, p double")
