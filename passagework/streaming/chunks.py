@@ -24,7 +24,7 @@ from ..plans import rules
 #: Parts whose counts are summed up in one group of the prefix scan.
 BLOCK = 1024
 _QUOTES = ("straight", "opened", "closed", "single", "single_opened", "single_closed")
-_ANY = "[^" + "".join(CANDIDATES) + "]"
+_ANY = "[" + "".join(CANDIDATES) + "]"
 
 
 def rule_reach(abbreviations: Iterable[str] = DEFAULT) -> tuple[int, int]:
@@ -41,7 +41,7 @@ def forest_reach(config: forest.Config) -> tuple[int, int]:
 def _counts(text: str | Column) -> Column:
     """Struct of quotes by kind and candidates of a piece."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.struct(*(quotes_in(t)[q].alias(q) for q in _QUOTES), F.length(F.regexp_replace(t, _ANY, "")).alias("candidates"))
+    return F.struct(*(quotes_in(t)[q].alias(q) for q in _QUOTES), F.regexp_count(t, F.lit(_ANY)).alias("candidates"))
 
 
 def cut(docs: DataFrame, size: int = 10_000, key: str = "doc_id", text: str = "text", around: tuple[int, int] | None = None, carry: bool = False) -> DataFrame:
@@ -87,9 +87,10 @@ def adjoined(pieces: DataFrame, key: str = "doc_id", text: str = "text", around:
     """
     behind, ahead = around or rule_reach()
     at, part = [key, "part"], pieces.schema["part"].dataType
-    # an end may reach over several short pieces, so each sends its ends to as many neighbours as can need them
-    sizes = pieces.agg(F.max("part").alias("last"), F.min(F.length(text)).alias("n")).first()
-    hops = max(1, min(-(-max(behind, ahead) // max(sizes["n"] or 1, 1)), sizes["last"] or 1))
+    # an end may reach over several short pieces, so each sends its ends to as many neighbours as can need them; nothing reaches over a last piece, however short
+    sizes = pieces.select(key, "part", F.length(text).alias("n"))
+    sizes = sizes.join(sizes.select(key, (F.col("part") - 1).cast(part).alias("part")), at, "left_semi").agg(F.max("part").alias("last"), F.min("n").alias("n")).first()
+    hops = max(1, min(-(-max(behind, ahead) // max(sizes["n"] or 1, 1)), (sizes["last"] or 0) + 1))
 
     def sent(side: int, name: str, end: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.lit(hops)), lambda k: F.struct((F.col("part") + side * k).cast(part).alias("part"), (-side * k).alias("k"), F.lit(name).alias("side"), end.alias("t")))
