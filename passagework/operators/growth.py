@@ -3,14 +3,15 @@
 A tree's bootstrap gives every row a Poisson count from a hash of its key, the seed and
 the tree, and weighs classes over that bootstrap.  Spark's trees end at a depth of
 DEEPEST; leaves that are not finished there get trees of their own on the rows that
-reach them.  Trees are independent of each other and are fitted side by side.
+reach them.  Trees are independent of each other and are fitted side by side, fewer at a
+time the more rows there are.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -26,15 +27,21 @@ from .trees import Trees, trees_from_nodes
 
 #: Spark's trees go no deeper.
 DEEPEST = 30
-#: Trees that are fitted at the same time.
+#: Trees that are fitted at the same time, at most.
 TOGETHER = 8
+#: Rows a core that the fits of one time keep in memory, about.
+HELD = 1 << 20
 #: A Poisson count of 1 on average goes no higher than this in 2^40 draws.
 _MOST = 14
 
 
+def _uniform(key: Column, seed: int, tree: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed), F.lit(tree)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def drawn(key: Column, seed: int, tree: int) -> Column:
     """How often a row stands in a tree's bootstrap: a Poisson count with mean 1, from a hash."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed), F.lit(tree)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    u = _uniform(key, seed, tree)
     below, steps = 0.0, []
     for k in range(_MOST):
         below += math.exp(-1) / math.factorial(k)
@@ -42,32 +49,46 @@ def drawn(key: Column, seed: int, tree: int) -> Column:
     return sum(steps[1:], steps[0])
 
 
-def bootstrap(rows: DataFrame, seed: int, tree: int, balanced: bool, per_tree: bool) -> DataFrame:
-    """The rows of a tree's bootstrap with their weight: count, times n / (2 n_class) over the bootstrap, or over all rows."""
-    counted = rows.withColumn("count", drawn(F.col("key"), seed, tree))
-    some = counted.where("count > 0")
+def class_counts(rows: DataFrame, seed: int, trees: Sequence[int], per_tree: bool) -> list[dict[int, float]]:
+    """By tree, how many rows of each label its bootstrap has, or all rows have; from one pass."""
+    of = [F.sum(drawn(F.col("key"), seed, t)) if per_tree else F.count("*") for t in trees]
+    n = rows.groupBy("label").agg(*(c.alias(f"n{i}") for i, c in enumerate(of))).collect()
+    return [{r["label"]: float(r[f"n{i}"]) for r in n} for i in range(len(of))]
+
+
+def bootstrap(rows: DataFrame, seed: int, tree: int, balanced: bool, per_tree: bool, n: dict[int, float] | None = None) -> DataFrame:
+    """The rows of a tree's bootstrap with their weight: count, times n / (2 n_class) over the bootstrap, or over all rows; n as ``class_counts`` gives it."""
+    # rows with a count of 0 go by one comparison, and not by the sum of all
+    some = rows.where(_uniform(F.col("key"), seed, tree) >= math.exp(-1)).withColumn("count", drawn(F.col("key"), seed, tree))
     if not balanced:
         return some.withColumn("weight", F.col("count").cast("double"))
-    n = {r["label"]: float(r["n"]) for r in counted.groupBy("label").agg((F.sum("count") if per_tree else F.count("*")).alias("n")).collect()}
+    n = class_counts(rows, seed, [tree], per_tree)[0] if n is None else n
     weight = {k: sum(n.values()) / (2 * v) if v else 0.0 for k, v in n.items()}
     return some.withColumn("weight", F.col("count") * F.when(F.col("label") == 1, weight.get(1, 1.0)).otherwise(weight.get(0, 1.0)))
 
 
+def side_by_side(spark: SparkSession, rows: int, most: int) -> int:
+    """How many fits over so many rows go on at the same time: each keeps its rows in memory, and two of many rows leave no core idle."""
+    return max(1, min(most, max(2, HELD * spark.sparkContext.defaultParallelism // max(rows, 1))))
+
+
 def forest(rows: DataFrame, trees: int, depth: int, min_leaf: int, min_split: int, seed: int, balanced: bool, per_tree: bool) -> tuple[Trees, np.ndarray]:
     """Trees over rows (label, vector, key) and the importances of the vector's features: means over the trees of their shares of the weighted gain."""
     if trees < 1 or depth < 0:
         raise ValueError("a forest needs trees and a depth of at least 0")
+    spark = rows.sparkSession
     rows = rows.select("label", "vector", "key").persist()
     one = rows.first()
     if one is None:
         raise ValueError("nothing to train on")
     width = len(one["vector"])
+    counts = class_counts(rows, seed, range(trees), per_tree) if balanced else [None] * trees
 
     def grown(tree: int) -> pd.DataFrame:
-        own = bootstrap(rows, seed, tree, balanced, per_tree)
+        own = bootstrap(rows, seed, tree, balanced, per_tree, counts[tree])
         return _grown(own, depth, min_leaf, min_split, seed * 100_003 + tree)
 
-    with ThreadPoolExecutor(min(TOGETHER, trees)) as pool:
+    with ThreadPoolExecutor(side_by_side(spark, rows.count(), min(TOGETHER, trees))) as pool:
         made = list(pool.map(inheritable_thread_target(SparkSession.active())(grown), range(trees)))
     rows.unpersist()
     shares = np.zeros(width)

@@ -14,7 +14,7 @@ from passagework.functions import batches
 from passagework.functions.chars import CANDIDATES, surroundings
 from passagework.functions.features import Known, flags, with_features
 from passagework.functions.labels import labelled_characters
-from passagework.operators import abbreviations, forest
+from passagework.operators import abbreviations, forest, growth
 from passagework.operators.stages import ENCODERS, Boundaries, Places
 from passagework.plans.search import best_model, figures_by_threshold, narrowed
 from passagework.sources import files, registry
@@ -228,3 +228,22 @@ def test_analysis_report(spark):
     clean = [re.sub(r"<\|\w+\|>", "", t) for t in ANNOTATED]
     assert totals.first().asDict() == {"characters": sum(map(len, clean)), "boundaries": 7, "candidates": sum(c in CANDIDATES for t in clean for c in t)}
     assert rows.count() == sum(map(len, clean)) and analysis(annotated(spark, 1).limit(0), [])[1].first().boundaries == 0
+
+
+def test_trees_take_few_passes_and_little_memory(spark, monkeypatch):
+    """Bootstraps of all trees are counted in one pass; fits go on side by side only as far as their rows may be held; a fit without metrics is that of train."""
+    rows = spark.createDataFrame([(int(i % 9 == 0), i) for i in range(2000)], "label int, key long")
+    counts = growth.class_counts(rows, 5, range(3), True)
+    for tree in range(3):
+        got = growth.bootstrap(rows, 5, tree, True, True, counts[tree]).collect()
+        assert {label: sum(x["count"] for x in got if x.label == label) for label in (0, 1)} == counts[tree]
+        assert sorted((x.key, x["count"]) for x in got) == sorted((x.key, x.n) for x in rows.select("key", growth.drawn(F.col("key"), 5, tree).alias("n")).where("n > 0").collect())
+    cores = spark.sparkContext.defaultParallelism
+    assert [growth.side_by_side(spark, n, 8) for n in (0, 10, growth.HELD * cores // 4, growth.HELD * cores * 50)] == [8, 8, 4, 2] and growth.side_by_side(spark, 10, 1) == 1
+    passes, real = [], growth.class_counts
+    monkeypatch.setattr(growth, "class_counts", lambda *a: passes.append(a) or real(*a))
+    config = forest.Config(left=2, right=2, trees=4, depth=4, per_tree=True, min_split=4, sample_rate=0.3)
+    made = forest.fitted(annotated(spark), config)
+    assert len(passes) == 1
+    like, _ = forest.train(annotated(spark), config)
+    assert made.gains == like.gains and (made.model.number == like.model.number).all()
