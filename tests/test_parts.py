@@ -247,3 +247,10 @@ def test_trees_take_few_passes_and_little_memory(spark, monkeypatch):
     assert len(passes) == 1
     like, _ = forest.train(annotated(spark), config)
     assert made.gains == like.gains and (made.model.number == like.model.number).all()
+
+
+def test_search_makes_vectors_once_for_each_pair_of_windows(spark, monkeypatch):
+    made, real = [], forest.array_to_vector
+    monkeypatch.setattr(forest, "array_to_vector", lambda c: made.append(c) or real(c))
+    _, tried = best_model(annotated(spark), None, (2, 3), (2,), (2,), (2, 3), (0.5,), forest.Config(sample_rate=0.3))
+    assert [(t["left"], t["depth"]) for t in tried] == [(2, 2), (2, 3), (3, 2), (3, 3)] and len(made) == 2
