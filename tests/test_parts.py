@@ -254,3 +254,31 @@ def test_search_makes_vectors_once_for_each_pair_of_windows(spark, monkeypatch):
     monkeypatch.setattr(forest, "array_to_vector", lambda c: made.append(c) or real(c))
     _, tried = best_model(annotated(spark), None, (2, 3), (2,), (2,), (2, 3), (0.5,), forest.Config(sample_rate=0.3))
     assert [(t["left"], t["depth"]) for t in tried] == [(2, 2), (2, 3), (3, 2), (3, 3)] and len(made) == 2
+
+
+def test_rows_that_are_alike_train_as_one(spark, monkeypatch):
+    """Rows of a kind are counted together, and their copies make the same trees as all of them do, by selected features, too."""
+    r = random.Random(5)
+    kinds = [[r.randint(0, 6), r.randint(0, 6), r.randint(0, 1)] for _ in range(60)]
+    data = [(int(x[0] + x[1] + r.randint(0, 3) > 7), x, i) for i, x in enumerate(r.choices(kinds, [1 / (1 + k) for k in range(60)], k=4000))]
+    rows = spark.createDataFrame(data, "label int, features array<int>, key long").repartition(3)
+    held = growth.alike(rows, 3, range(2)).persist()
+    assert held.count() < 121 and growth.class_counts(held, 3, range(2), True) == growth.class_counts(rows, 3, range(2), True)
+    assert growth.class_counts(held, 3, [1], False) == growth.class_counts(rows, 3, [1], False)
+    for tree in range(2):
+        every = growth.bootstrap(forest.sliced(rows, None), 3, tree, True, True)
+        few = growth.bootstrap(held, 3, tree, True, True, None, 8)
+        sums = lambda df: {(x.label, tuple(x.vector)): (x.c, x.n, round(x.w, 6)) for x in df.groupBy("label", "vector").agg(F.sum("count").alias("c"), F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+        a, b = sums(every), sums(few)
+        assert {k: (c, min(n, 8), w) for k, (c, n, w) in a.items()} == b and max(n for _, n, _ in a.values()) > 8
+        grown = [growth._grown(x.select("label", "vector", "weight"), 6, 4, 8, 7) for x in (every, few)]
+        for c in ("id", "left", "right", "feature", "threshold"):
+            assert (grown[0][c] == grown[1][c]).all()
+        assert len(grown[0]) > 5 and all(abs(grown[0][c] - grown[1][c]).max() < 1e-6 for c in ("zero", "one"))
+    seen, real = [], growth._grown
+    monkeypatch.setattr(growth, "_grown", lambda df, *a: seen.append((df.count(), len(df.first()["vector"]))) or real(df, *a))
+    monkeypatch.setattr(growth, "TOGETHER", 2)
+    config = forest.Config(trees=3, depth=4, min_leaf=4, min_split=8, per_tree=True)
+    both = [forest.fit(rows, config, s) for s in (None, (1, 0))]
+    assert all(n <= 8 * 120 for n, _ in seen) and [w for _, w in seen] == [3, 3, 3, 2, 2, 2]
+    assert [len(g) for _, g in both] == [3, 2] and [len(t) for t, _ in both] == [3, 3]
