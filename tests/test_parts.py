@@ -282,3 +282,14 @@ def test_rows_that_are_alike_train_as_one(spark, monkeypatch):
     both = [forest.fit(rows, config, s) for s in (None, (1, 0))]
     assert all(n <= 8 * 120 for n, _ in seen) and [w for _, w in seen] == [3, 3, 3, 2, 2, 2]
     assert [len(g) for _, g in both] == [3, 2] and [len(t) for t, _ in both] == [3, 3]
+
+
+def test_figures_of_a_forest_start_no_python_on_executors(spark, monkeypatch):
+    """The few rows that the driver holds after a fit become a table without a Python worker."""
+    made = forest.Segmenter(forest.Config(), forest.trees_from([0.5]), (4, 2), (0.75, 0.25))
+    monkeypatch.setattr(queries, "_training", lambda spark, sf_dir: None)
+    monkeypatch.setattr(forest, "fitted", lambda rows, config: made)
+    for query, expected in ((queries.forest_importances, [(4, 0.75), (2, 0.25)]), (queries.forest_selected, [(0, 4, 0.75), (1, 2, 0.25)])):
+        rows = query(spark, "")
+        assert [tuple(x) for x in rows.collect()] == expected and {t for _, t in rows.dtypes} == {"bigint", "double"}
+        assert "PythonRDD" not in rows._jdf.queryExecution().toRdd().toDebugString()
